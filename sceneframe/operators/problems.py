@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sceneframe import constants as C
 from sceneframe.functions import naming as N
+from sceneframe.functions.settle import settle
 from sceneframe.functions.text import SPACES, is_blank
 from sceneframe.operators.ordered import numbered, with_totals
 
@@ -30,7 +31,7 @@ def declared_sources() -> Column:
 
 def source_check(drafts: DataFrame) -> DataFrame:
     """Exactly one source of audio: add ``declared``, ``source_problem`` and ``source_kind``."""
-    d = drafts.withColumn("declared", declared_sources())
+    d = settle(drafts, {"declared": declared_sources()})
     only = F.when(F.size("declared") == 1, F.col("declared")[0])
     seconds = F.col("duration")
     problem = (
@@ -41,7 +42,7 @@ def source_check(drafts: DataFrame) -> DataFrame:
         .when((only == "duration") & (seconds > C.MAX_SCENE_SECONDS), "duration_absurd")
     )
     kind = F.when(only == "text", "tts").when(only == "audio_file", "file").when(only == "duration", "silent")
-    checked = d.withColumn("source_problem", problem)
+    checked = settle(d, {"source_problem": problem})
     return checked.withColumn("source_kind", F.when(F.col("source_problem").isNull(), kind))
 
 
@@ -54,7 +55,7 @@ def _word(c: str) -> Column:
 def resolve_aliases(drafts: DataFrame) -> DataFrame:
     """Add ``motion`` and ``anchor``; a word that means nothing leaves them null."""
     pairs = [F.lit(x) for value, words in C.ANCHOR_WORDS.items() for w in words for x in (w, value)]
-    return drafts.withColumns({
+    return settle(drafts, {
         "motion": F.when(_word("zoom_direction").isin(C.MOTION_KINDS), _word("zoom_direction")),
         "anchor": F.try_element_at(F.create_map(*pairs), _word("zoom_anchor")),
     })
@@ -87,8 +88,8 @@ def validate(drafts: DataFrame) -> DataFrame:
         problem("unknown_zoom_anchor", _trim(F.col("zoom_anchor")),
                 usable & _present(F.col("zoom_anchor")) & F.col("anchor").isNull()),
     )
-    checked = d.withColumns({"scene_id": _trim(F.col("id")), "problems": F.array_compact(checks)})
-    return checked.withColumn("caption_text", F.when(F.size("problems") == 0, caption_of()))
+    checked = settle(d, {"scene_id": _trim(F.col("id")), "problems": F.array_compact(checks)})
+    return settle(checked, {"caption_text": F.when(F.size("problems") == 0, caption_of())})
 
 
 def scene_problems(validated: DataFrame) -> DataFrame:

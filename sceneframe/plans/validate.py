@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sceneframe.functions import naming as N
+from sceneframe.functions.settle import settle
 from sceneframe.operators import catalog, problems, stills
 from sceneframe.operators.ordered import numbered
 
@@ -72,7 +73,7 @@ def manifest_problems(drafts: DataFrame, files: DataFrame) -> DataFrame:
             F.struct(F.lit("audio_file").alias("field"), F.col("audio").alias("cell")),
         )).alias("c"),
     ).select("project_id", "scene_id", "position", "c.field", "c.cell").filter("cell IS NOT NULL")
-    worked = cells.withColumn("path", N.lexical_path(F.translate("cell", "\\", "/")))
+    worked = settle(cells, {"path": N.lexical_path(F.translate("cell", "\\", "/"))})
     outside = worked.filter("path IS NULL")
     held = files.select("project_id", N.lexical_path(F.col("path")).alias("path")).distinct()
     missing = worked.filter("path IS NOT NULL").join(held, ["project_id", "path"], "left_anti")

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from sceneframe.constants import MANIFEST_COLUMNS
 from sceneframe.functions import naming as N
+from sceneframe.functions.settle import settle
 from sceneframe.functions.text import clean_cell
 
 SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in MANIFEST_COLUMNS])
@@ -47,15 +48,13 @@ def read_manifest(spark: SparkSession, path: str, project_id: Column | None = No
 def parse_lines(lines: DataFrame) -> DataFrame:
     """Manifest rows held as CSV text in ``line`` beside their ``project_id`` and ``position``."""
     parsed = F.from_csv("line", F.lit(SCHEMA.simpleString()[7:-1].replace(":", " ")), CSV_OPTIONS)
-    return lines.select("project_id", "position", parsed.alias("r")).select("project_id", "position", "r.*")
+    return lines.select("project_id", "position", F.inline(F.array(parsed)))
 
 
 def drafts(rows: DataFrame) -> DataFrame:
     """Manifest rows as drafts, cells trimmed, blanks null, the id taken from the picture."""
-    cleaned = rows.select(
-        "project_id", "position",
-        *[clean_cell(F.col(c)).alias(c) for c in MANIFEST_COLUMNS],
-    )
+    cleaned = settle(rows.select("project_id", "position", *MANIFEST_COLUMNS),
+                     {c: clean_cell(F.col(c)) for c in MANIFEST_COLUMNS})
     identifier = F.coalesce(N.manifest_stem(F.col("image")), F.concat(F.lit("row "), F.col("position").cast("string")))
     return cleaned.select(
         "project_id", "position", identifier.alias("id"), "image", "text", F.col("audio_file").alias("audio"),
