@@ -1,4 +1,4 @@
 """Importing this module registers every query."""
 
-from checks import catalog, validate  # noqa: F401
+from checks import catalog, films, texts, validate  # noqa: F401
 from checks.registry import ORACLES, QUERIES  # noqa: F401
