@@ -216,17 +216,17 @@ register("undrawable", undrawable, f"""
 
 # --- languages and voices ----------------------------------------------------
 _SC = [(n, "".join(f"\\x{{{a:04X}}}-\\x{{{b:04X}}}" for a, b in r)) for n, r in C.SCRIPTS]
-RELATIONS["spoken"] = f"""
+RELATIONS["spoken_line"] = f"""
     SELECT doc_id, line, voice, CASE WHEN top = 'zh' AND regexp_matches(line, '[{dict(_SC)['ja']}]') THEN 'ja' ELSE top END AS language FROM (
       SELECT *, CASE WHEN list_max(ns) > 0 THEN ([{', '.join(f"'{n}'" for n, _ in _SC)}])[list_position(ns, list_max(ns))] END AS top FROM (
         SELECT *, [{', '.join(f"length(line) - length(regexp_replace(line, '[{r}]', '', 'g'))" for _, r in _SC)}] AS ns FROM f_written))"""
 _DV = "CASE language " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in C.DEFAULT_VOICES.items()) + " {e}END"
 register("script_profile", lambda s, d: voices.script_profile(R.f_written(s, d)),
-         "SELECT language, count(*) AS lines, CAST(sum(length(line)) AS BIGINT) AS chars FROM spoken GROUP BY language")
+         "SELECT language, count(*) AS lines, CAST(sum(length(line)) AS BIGINT) AS chars FROM spoken_line GROUP BY language")
 register("default_voice", lambda s, d: voices.default_voices(R.f_written(s, d)).select("doc_id", "language", "default_voice"),
-         f"SELECT doc_id, language, {_DV.format(e=chr(69) + 'LSE ' + repr(C.PROVIDER_DEFAULT_VOICE) + ' ')} AS default_voice FROM spoken")
+         f"SELECT doc_id, language, {_DV.format(e=chr(69) + 'LSE ' + repr(C.PROVIDER_DEFAULT_VOICE) + ' ')} AS default_voice FROM spoken_line")
 register("wrong_script", lambda s, d: voices.wrong_script(R.f_written(s, d)).select("doc_id", "language", "voice", "suggestion"),
-         f"SELECT doc_id, language, voice, {_DV.format(e='')} AS suggestion FROM spoken WHERE language IS NOT NULL AND NOT starts_with(voice, language || '-')")
+         f"SELECT doc_id, language, voice, {_DV.format(e='')} AS suggestion FROM spoken_line WHERE language IS NOT NULL AND NOT starts_with(voice, language || '-')")
 
 
 def voice_choice(spark, sf):
