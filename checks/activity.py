@@ -175,7 +175,7 @@ _EPISODES = """
     SELECT run_id, row_number() OVER (PARTITION BY run_id ORDER BY island) AS episode, started_us, ended_us, refusals, island > 0 AS spoken_any,
       least(CAST(15 * pow(2, least(refusals - 1, 10)) AS BIGINT), 120) AS last_wait,
       (SELECT CAST(sum(least(15 * pow(2, least(x, 10)), 120)) AS BIGINT) FROM (SELECT unnest(range(refusals)) AS x)) AS waited,
-      ended_us - started_us >= CASE WHEN island > 0 THEN 3600 ELSE 180 END * 1000000 AS gave_up
+      ended_us - started_us >= CASE WHEN island > 0 THEN 3600 ELSE 180 END * 1000000::BIGINT AS gave_up
     FROM (SELECT run_id, island, min(us) AS started_us, max(us) AS ended_us, count(*) AS refusals FROM svc_event WHERE refused GROUP BY run_id, island)"""
 
 
