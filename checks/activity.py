@@ -11,6 +11,7 @@ from checks.texts import SP
 from sceneframe import constants as C
 from sceneframe.functions import redact
 from sceneframe.operators import activity
+from sceneframe.operators.sizing import spread
 from sceneframe.sources import logs, toollog
 from sceneframe.streaming import intake, sinks, throttle
 from sceneframe.streaming import logs as log_stream
@@ -37,7 +38,7 @@ def _redact_sql(x: str) -> str:
     return f"array_to_string(list_transform(str_split(replace({x}, chr(13) || chr(10), chr(10)), chr(10)), lambda l: {_line_sql('l')}), chr(10))"
 
 
-register("redact_corpus", lambda s, d: R.table(s, d, "documents").select("doc_id", redact.redact(F.col("text")).alias("text")),
+register("redact_corpus", lambda s, d: spread(R.table(s, d, "documents").select("doc_id", "text")).select("doc_id", redact.redact(F.col("text")).alias("text")),
          f"SELECT doc_id, {_redact_sql('text')} AS text FROM documents")
 
 # --- logs --------------------------------------------------------------------

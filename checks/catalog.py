@@ -174,8 +174,7 @@ PAIRS_SQL = """
 
 
 def pair_two_phase(spark, sf):
-    a = R.f_asset(spark, sf)
-    return pairing.pair_two_phase(a, "audio").unionByName(pairing.pair_two_phase(a, "text"))
+    return pairing.pair_two_phase(R.f_asset(spark, sf), ["audio", "text"])
 
 
 # The oracle gives every pool the stills of every project, also where the pool is empty;

@@ -20,22 +20,27 @@ def scripted(text: Column) -> Column:
     return F.regexp_replace(text, f"[^{_ANY}]+", "")
 
 
-def script_counts(scripted_text: Column) -> Column:
-    """Characters per script, in tie-breaking order."""
-    counts = [
-        F.struct(F.lit(name).alias("script"),
-                 (F.length(scripted_text) - F.length(F.regexp_replace(scripted_text, f"[{_class(ranges)}]+", ""))).alias("n"))
-        for name, ranges in SCRIPTS
-    ]
-    return F.array(*counts)
-
-
-def dominant(scripted_text: Column, counts: Column) -> Column:
-    """The script with most characters, the earlier one on a tie; Han with kana is Japanese."""
-    most = F.array_max(F.transform(counts, lambda c: c["n"]))
-    name = F.get(F.filter(counts, lambda c: c["n"] == most), F.lit(0))["script"]
+def dominant(scripted_text: Column) -> Column:
+    """The script with most characters, the earlier one on a tie; Han with kana is Japanese.
+
+    Each script's characters are taken out in turn, so the text is gone once its own script
+    has been met and the remaining scripts cost nothing.
+    """
+    scripts = F.array(*[F.struct(F.lit(n).alias("script"), F.lit(f"[{_class(r)}]+").alias("ranges")) for n, r in SCRIPTS])
+    start = F.struct(scripted_text.alias("rest"), F.lit(None).cast("string").alias("best"), F.lit(0).alias("n"))
+
+    def step(acc: Column, s: Column) -> Column:
+        rest = F.regexp_replace(acc["rest"], s["ranges"], F.lit(""))
+        n = F.length(acc["rest"]) - F.length(rest)
+        return F.when(acc["rest"] == "", acc).otherwise(F.struct(
+            rest.alias("rest"),
+            F.when(n > acc["n"], s["script"]).otherwise(acc["best"]).alias("best"),
+            F.greatest(n, acc["n"]).alias("n"),
+        ))
+
+    name = F.aggregate(scripts, start, step, lambda acc: acc["best"])
     kana = _class(dict(SCRIPTS)["ja"])
-    return F.when(scripted_text == "", None).when((name == "zh") & scripted_text.rlike(f"[{kana}]"), "ja").otherwise(name)
+    return F.when((name == "zh") & scripted_text.rlike(f"[{kana}]"), "ja").otherwise(name)
 
 
 def default_voice(language: Column) -> Column:

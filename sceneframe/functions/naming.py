@@ -15,18 +15,23 @@ _LARGEST_U128 = "340282366920938463463374607431768211455"
 
 def file_name(path: Column) -> Column:
     """Last segment, either slash direction."""
-    return F.regexp_extract(path, r"([^/\\]*)$", 1)
+    return F.substring_index(F.translate(path, "\\", "/"), "/", -1)
+
+
+def _dotted(name: Column) -> Column:
+    """Whether there is an extension: a dot past the first character."""
+    return F.instr(F.substring(name, 2, 2**31 - 1), ".") > 0
 
 
 def stem(name: Column) -> Column:
     """Name without its last extension; a leading dot is part of the stem."""
-    return F.regexp_extract(name, r"(?s)^(.+?)(\.[^.]*)?$", 1)
+    tail = F.length(F.substring_index(name, ".", -1))
+    return F.when(_dotted(name), F.left(name, F.length(name) - tail - 1)).otherwise(name)
 
 
 def extension(name: Column) -> Column:
     """Text after the last dot, null when there is none past the first character."""
-    found = F.regexp_extract(name, r"(?s)^.+\.([^.]*)$", 1)
-    return F.when(name.rlike(r"(?s)^.+\."), found)
+    return F.when(_dotted(name), F.substring_index(name, ".", -1))
 
 
 def asset_kind(ext: Column) -> Column:

@@ -5,7 +5,7 @@ Assets carry ``project_id, file_no, name, stem, ext, bytes, modified_at``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sceneframe.functions import naming as N
@@ -17,8 +17,8 @@ SLOTS = {"image": "image", "audio": "narration", "text": "text"}
 def from_paths(files: DataFrame) -> DataFrame:
     """Catalog rows from ``path, length, modificationTime``: no dotfiles, no bare names."""
     named = files.select(
-        F.regexp_extract("path", r"([^/]+)/[^/]*$", 1).alias("project"),
-        N.file_name(F.col("path")).alias("name"),
+        _project(F.col("path")).alias("project"),
+        F.substring_index("path", "/", -1).alias("name"),
         F.col("length").alias("bytes"),
         F.col("modificationTime").alias("modified_at"),
     )
@@ -26,10 +26,15 @@ def from_paths(files: DataFrame) -> DataFrame:
     return classified(kept.withColumns({"stem": N.stem(F.col("name")), "ext": N.extension(F.col("name"))}))
 
 
+def _project(path: Column) -> Column:
+    """Name of the folder a file lies in."""
+    return F.substring_index(F.substring_index(path, "/", -2), "/", 1)
+
+
 def interrupted_renames(files: DataFrame) -> DataFrame:
     """Files an unfinished renumbering left behind, counted per project."""
     left = files.filter(N.file_name(F.col("path")).rlike(r"^\.(arranging|removing)-"))
-    return left.groupBy(F.regexp_extract("path", r"([^/]+)/[^/]*$", 1).alias("project")).agg(
+    return left.groupBy(_project(F.col("path")).alias("project")).agg(
         F.count(F.lit(1)).alias("files")
     )
 

@@ -14,16 +14,17 @@ from pyspark.sql import functions as F
 from sceneframe import constants as C
 from sceneframe.functions import text as T
 from sceneframe.functions.settle import settle
+from sceneframe.operators.sizing import spread
 
 
 def paragraphs(chapters: DataFrame) -> DataFrame:
     found = F.posexplode(T.paragraphs(F.col("chapter"))).alias("paragraph", "text")
-    return chapters.select("doc_id", found)
+    return spread(chapters).select("doc_id", found)
 
 
 def _pieces(chapters: DataFrame, cut) -> DataFrame:
     made = F.flatten(F.transform(T.paragraphs(F.col("chapter")), cut))
-    rows = chapters.select("doc_id", F.posexplode(made).alias("piece", "text"))
+    rows = spread(chapters).select("doc_id", F.posexplode(made).alias("piece", "text"))
     chars = F.length("text").cast("bigint")
     return rows.withColumns({"chars": chars, "seconds": chars / F.lit(C.CHARS_PER_SECOND)})
 
@@ -100,7 +101,7 @@ def gap_costs(chapters: DataFrame) -> DataFrame:
     """Every word of every chapter with the cost of a cut after it."""
     # A form feed closes a paragraph's last word; collapsing has left no other.
     closed = F.transform(T.paragraphs(F.col("chapter")), lambda p: F.concat(p, F.lit("\f")))
-    split = settle(chapters.select("doc_id", "chapter"), {"w": F.split(F.array_join(closed, " "), " ")}).drop("chapter")
+    split = settle(spread(chapters.select("doc_id", "chapter")), {"w": F.split(F.array_join(closed, " "), " ")}).drop("chapter")
     following = F.concat(F.slice("w", F.lit(2), F.greatest(F.size("w") - 1, F.lit(0))), F.array(F.lit("")))
     paired = F.arrays_zip(F.col("w").alias("word"), following.alias("next"))
     rows = split.filter("w[0] <> ''").select("doc_id", F.posexplode(paired).alias("i", "z"))
@@ -128,7 +129,7 @@ def straddle_costs(chapters: DataFrame, sentences_per_piece: int) -> DataFrame:
 
     text = F.array_join(F.transform(T.paragraphs(F.col("chapter")), mark), "")
     units = F.regexp_extract_all(text, F.lit("[\\t\\r]?[^\\n\\f\\x0B]+[\\n\\f\\x0B]"), F.lit(0))
-    d = settle(chapters.select("doc_id", "chapter"), {"u": units}).drop("chapter")
+    d = settle(spread(chapters.select("doc_id", "chapter")), {"u": units}).drop("chapter")
     following = F.concat(F.slice("u", F.lit(2), F.greatest(F.size("u") - 1, F.lit(0))), F.array(F.lit("")))
 
     def cost(unit: Column, after: Column) -> Column:

@@ -11,27 +11,24 @@ from sceneframe.operators.catalog import classified, next_numbers
 from sceneframe.operators.ordered import numbered, with_totals
 
 
-def _sides(assets: DataFrame, pool: str) -> DataFrame:
-    """Stills and pool files as one frame, so both are numbered in one pass."""
-    low = F.lower("ext")
-    guess = F.lit(True) if pool == "audio" else low.isin(POSITIONAL_TEXT_EXTENSIONS)
-    return (
-        classified(assets)
-        .filter(F.col("kind").isin("image", pool))
-        .select(
-            "project_id", "folded", "file_no",
-            (F.col("kind") == "image").alias("is_image"),
-            ((F.col("kind") == pool) & guess).alias("may_guess"),
-            N.natural_key(F.col("name")).alias("nat"),
-        )
+def _sides(assets: DataFrame, pools: list[str]) -> DataFrame:
+    """Stills and pool files as one frame, a still once per pool, so all are numbered in one pass."""
+    known = classified(assets).filter(F.col("kind").isin("image", *pools))
+    is_image = F.col("kind") == "image"
+    joined = F.when(is_image, F.array(*[F.lit(p) for p in pools])).otherwise(F.array("kind"))
+    guess = (F.col("kind") == "audio") | F.lower("ext").isin(POSITIONAL_TEXT_EXTENSIONS)
+    keyed = known.select(
+        "project_id", "folded", "file_no", is_image.alias("is_image"), (~is_image & guess).alias("may_guess"),
+        N.natural_key(F.col("name")).alias("nat"), joined.alias("_pools"),
     )
+    return keyed.withColumn("pool", F.explode("_pools")).drop("_pools")
 
 
-def _by_name(assets: DataFrame, pool: str) -> DataFrame:
+def _by_name(assets: DataFrame, pools: list[str]) -> DataFrame:
     """k-th still of a stem beside the k-th file of that stem; either side may be missing."""
-    sides = numbered(_sides(assets, pool), ["project_id", "folded", "is_image"], ["nat", "file_no"], "k")
+    sides = numbered(_sides(assets, pools), ["project_id", "folded", "pool", "is_image"], ["nat", "file_no"], "k")
     image, other = F.col("is_image"), ~F.col("is_image")
-    return sides.groupBy("project_id", "folded", "k").agg(
+    return sides.groupBy("project_id", "pool", "folded", "k").agg(
         F.max(F.when(image, F.col("file_no"))).alias("image_no"),
         F.max(F.when(other, F.col("file_no"))).alias("file_no"),
         F.max(F.when(image, F.col("nat"))).alias("image_nat"),
@@ -41,18 +38,13 @@ def _by_name(assets: DataFrame, pool: str) -> DataFrame:
 
 
 def pair_by_stem(assets: DataFrame, pool: str = "audio") -> DataFrame:
-    return _by_name(assets, pool).filter("image_no IS NOT NULL AND file_no IS NOT NULL").select(
+    return _by_name(assets, [pool]).filter("image_no IS NOT NULL AND file_no IS NOT NULL").select(
         "project_id", "folded", "image_no", "file_no"
     )
 
 
-def pair_two_phase(assets: DataFrame, pool: str) -> DataFrame:
-    """Every still and every pool file once: paired by name or position, or left alone.
-
-    ``phase`` is name, position, alone (a still), spare (a file that could be guessed but ran
-    out of stills) or refused (a file that may never be guessed).
-    """
-    matched = _by_name(assets, pool)
+def _assigned(assets: DataFrame, pools: list[str]) -> DataFrame:
+    matched = _by_name(assets, pools)
     paired = F.col("image_no").isNotNull() & F.col("file_no").isNotNull()
     side = (
         F.when(paired, "name").when(F.col("image_no").isNotNull(), "image")
@@ -60,17 +52,26 @@ def pair_two_phase(assets: DataFrame, pool: str) -> DataFrame:
     )
     ranked = numbered(
         matched.withColumns({"side": side, "nat": F.coalesce("image_nat", "file_nat"), "any_no": F.coalesce("image_no", "file_no")}),
-        ["project_id", "side"], ["nat", "any_no"], "ordinal",
+        ["project_id", "pool", "side"], ["nat", "any_no"], "ordinal",
     )
     tag = F.when(F.col("side").isin("image", "file"), "position").otherwise(F.col("side"))
-    met = ranked.groupBy("project_id", tag.alias("tag"), "ordinal").agg(
-        F.max("image_no").alias("image_no"), F.max("file_no").alias("file_no")
+    met = ranked.groupBy("project_id", "pool", tag.alias("tag"), "ordinal").agg(
+        F.max("image_no").alias("image_no"), F.max("file_no").alias("file_no"), F.max("image_nat").alias("image_nat")
     )
     phase = (
         F.when(F.col("tag") != "position", F.col("tag")).when(F.col("file_no").isNull(), "alone")
         .when(F.col("image_no").isNull(), "spare").otherwise("position")
     )
-    return met.select("project_id", F.lit(pool).alias("pool"), "image_no", "file_no", phase.alias("phase"))
+    return met.select("project_id", "pool", "image_no", "file_no", phase.alias("phase"), "image_nat")
+
+
+def pair_two_phase(assets: DataFrame, pools: list[str]) -> DataFrame:
+    """Every still and every pool file once per pool: paired by name or position, or left alone.
+
+    ``phase`` is name, position, alone (a still), spare (a file that could be guessed but ran
+    out of stills) or refused (a file that may never be guessed).
+    """
+    return _assigned(assets, pools).drop("image_nat")
 
 
 def waiting_files(assets: DataFrame) -> DataFrame:
@@ -83,16 +84,13 @@ def waiting_files(assets: DataFrame) -> DataFrame:
 
 def intake_summary(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     """What adding the incoming files to each project comes to."""
-    both = pair_two_phase(incoming, "audio").unionByName(pair_two_phase(incoming, "text"))
+    both = _assigned(incoming, ["audio", "text"])
     audio, text = F.col("pool") == "audio", F.col("pool") == "text"
     held = F.col("file_no").isNotNull()
     stills = both.filter("image_no IS NOT NULL").groupBy("project_id", "image_no").agg(
-        F.bool_or(audio & held).alias("has_audio"), F.bool_or(text & held).alias("has_text")
-    )
-    names = classified(incoming).filter("kind = 'image'").select(
-        "project_id", F.col("file_no").alias("image_no"), N.natural_key(F.col("name")).alias("nat")
+        F.bool_or(audio & held).alias("has_audio"), F.bool_or(text & held).alias("has_text"), F.max("image_nat").alias("nat")
     )
-    ordered = numbered(stills.join(names, ["project_id", "image_no"]), ["project_id"], ["nat", "image_no"], "ordinal")
+    ordered = numbered(stills, ["project_id"], ["nat", "image_no"], "ordinal")
     starts = next_numbers(existing).select("project_id", F.col("next_picture").alias("start"))
     placed = with_totals(
         ordered.join(starts, "project_id", "left").withColumn("start", F.coalesce("start", F.lit(1))),

@@ -11,8 +11,6 @@ from pyspark.sql import functions as F
 SMALL_INPUT_BYTES = ("sceneframe.skew.smallInputBytes", 128 * 1024 * 1024)
 # A key with more rows than this is spread over several tasks.
 HOT_ROWS = ("sceneframe.skew.hotRows", 5_000_000)
-# A side is broadcast only when it is known to hold no more rows than this.
-BROADCAST_ROWS = ("sceneframe.broadcast.rows", 500_000)
 
 
 def setting(df: DataFrame, entry: tuple[str, int]) -> int:
@@ -41,11 +39,13 @@ def has_hot_key(df: DataFrame, keys: Sequence[str]) -> bool:
     return (largest or 0) > setting(df, HOT_ROWS)
 
 
-def broadcast_if_small(df: DataFrame) -> DataFrame:
-    """Mark a side for broadcast when its size is proven small; otherwise leave it to shuffle."""
-    if input_bytes(df) <= 8 * 1024 * 1024:
-        return F.broadcast(df)
-    cap = setting(df, BROADCAST_ROWS)
-    if df.limit(cap + 1).count() <= cap:
-        return F.broadcast(df)
-    return df
+def spread(df: DataFrame, key: str | None = None) -> DataFrame:
+    """Share a small input out among all cores before work that is heavy per byte.
+
+    One small file is one task however many cores there are. Moving it costs little; an input
+    that already fills the cores is left where it is, with no shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if input_bytes(df) > cores * 16 * 1024 * 1024:
+        return df
+    return df.repartition(cores, F.col(key or df.columns[0]))

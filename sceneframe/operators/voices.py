@@ -9,6 +9,7 @@ from sceneframe.constants import DEFAULT_VOICE_WORD
 from sceneframe.functions import language as L
 from sceneframe.functions.settle import settle
 from sceneframe.functions.text import clean_cell
+from sceneframe.operators.sizing import spread
 
 
 def languages(lines: DataFrame) -> DataFrame:
@@ -17,10 +18,9 @@ def languages(lines: DataFrame) -> DataFrame:
     Everything is worked out in the row; characters of no script go first, which leaves
     nothing to count in most lines.
     """
-    d = settle(lines, {"_scripted": L.scripted(F.col("line"))})
-    d = settle(d, {"_counts": F.when(F.col("_scripted") != "", L.script_counts(F.col("_scripted")))})
-    d = settle(d, {"language": L.dominant(F.col("_scripted"), F.col("_counts"))})
-    return d.drop("_scripted", "_counts")
+    d = settle(spread(lines), {"_scripted": L.scripted(F.col("line"))})
+    d = settle(d, {"language": F.when(F.col("_scripted") != "", L.dominant(F.col("_scripted")))})
+    return d.drop("_scripted")
 
 
 def script_profile(lines: DataFrame) -> DataFrame:
