@@ -44,18 +44,21 @@ def classified(assets: DataFrame) -> DataFrame:
     return assets.withColumns({"kind": N.asset_kind(F.col("ext")), "folded": F.lower("stem")})
 
 
-def scene_slots(assets: DataFrame) -> DataFrame:
+def scene_slots(assets: DataFrame, keep_unknown: bool = False) -> DataFrame:
     """One row per scene: how many files compete for each slot and the first by name.
 
     One map-side combined aggregate of fixed-size state, however many files share a stem.
+    ``keep_unknown`` keeps stems of which no file is a still, a recording or a text.
     """
     columns = [F.min_by("stem", F.struct("name", "stem")).alias("scene_id")]
     for kind in SLOTS:
         mine = F.col("kind") == kind
         columns.append(F.count_if(mine).alias(f"{kind}s"))
         columns.append(F.min(F.when(mine, F.col("name"))).alias(kind))
-    known = classified(assets).filter("kind IS NOT NULL")
-    return known.groupBy("project_id", "folded").agg(*columns)
+    files = classified(assets)
+    if not keep_unknown:
+        files = files.filter("kind IS NOT NULL")
+    return files.groupBy("project_id", "folded").agg(*columns)
 
 
 def ambiguous_scenes(assets: DataFrame) -> DataFrame:

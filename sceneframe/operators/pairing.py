@@ -83,40 +83,40 @@ def waiting_files(assets: DataFrame) -> DataFrame:
 
 
 def intake_summary(existing: DataFrame, incoming: DataFrame) -> DataFrame:
-    """What adding the incoming files to each project comes to."""
-    both = _assigned(incoming, ["audio", "text"])
-    audio, text = F.col("pool") == "audio", F.col("pool") == "text"
+    """What adding the incoming files to each project comes to.
+
+    Stills and everything left over go through one aggregate: a project's leftovers share the
+    row that has no still, which holds counts only.
+    """
+    strangers = classified(incoming).filter("kind IS NULL").select(
+        "project_id", F.lit(None).cast("string").alias("pool"), F.lit(None).cast("bigint").alias("image_no"),
+        "file_no", F.lit("stranger").alias("phase"), F.lit(None).cast("string").alias("image_nat"))
+    both = _assigned(incoming, ["audio", "text"]).unionByName(strangers)
     held = F.col("file_no").isNotNull()
-    stills = both.filter("image_no IS NOT NULL").groupBy("project_id", "image_no").agg(
-        F.bool_or(audio & held).alias("has_audio"), F.bool_or(text & held).alias("has_text"), F.max("image_nat").alias("nat")
+    per_still = both.groupBy("project_id", "image_no").agg(
+        F.bool_or((F.col("pool") == "audio") & held).alias("has_audio"),
+        F.bool_or((F.col("pool") == "text") & held).alias("has_text"),
+        F.max("image_nat").alias("nat"),
+        F.count_if(F.col("phase") == "spare").alias("orphans"),
+        F.count_if(F.col("phase").isin("refused", "stranger")).alias("skipped"),
     )
-    ordered = numbered(stills, ["project_id"], ["nat", "image_no"], "ordinal")
+    still = F.col("image_no").isNotNull()
+    ordered = numbered(per_still, ["project_id"], [F.col("image_no").isNull(), "nat", "image_no"], "ordinal")
+    placed = with_totals(ordered, ["project_id"], {"_photos": F.count_if(F.col("image_no").isNotNull())})
     starts = next_numbers(existing).select("project_id", F.col("next_picture").alias("start"))
-    placed = with_totals(
-        ordered.join(starts, "project_id", "left").withColumn("start", F.coalesce("start", F.lit(1))),
-        ["project_id"], {"photos": F.count(F.lit(1))},
-    )
-    last = F.col("start") + F.col("photos") - 1
-    stem = N.numbered_stem(F.col("start") + F.col("ordinal") - 1, N.number_width(last))
-    filled = placed.withColumn("stem", stem).join(waiting_files(existing), ["project_id", "stem"], "left")
-    bare = ~F.col("has_audio") & ~F.col("has_text")
-    per_still = filled.groupBy("project_id").agg(
-        F.count(F.lit(1)).alias("photos"),
-        F.count_if("has_audio").alias("narrations"),
-        F.count_if(F.col("has_text") & ~F.col("has_audio")).alias("spoken"),
-        F.count_if(F.col("has_text") & F.col("has_audio")).alias("captions"),
+    placed = placed.join(starts, "project_id", "left").withColumn("start", F.coalesce("start", F.lit(1)))
+    last = F.col("start") + F.col("_photos") - 1
+    number = N.numbered_stem(F.col("start") + F.col("ordinal") - 1, N.number_width(last))
+    filled = placed.withColumn("stem", F.when(still, number)).join(waiting_files(existing), ["project_id", "stem"], "left")
+    audio, text = F.col("has_audio"), F.col("has_text")
+    bare = still & ~audio & ~text
+    return filled.groupBy("project_id").agg(
+        F.count_if(still).alias("photos"),
+        F.count_if(still & audio).alias("narrations"),
+        F.count_if(still & text & ~audio).alias("spoken"),
+        F.count_if(still & text & audio).alias("captions"),
         F.count_if(bare & F.col("waiting").isNotNull()).alias("filled"),
         F.count_if(bare & F.col("waiting").isNull()).alias("silent"),
-    )
-    leftover = both.groupBy("project_id").agg(
-        F.count_if(F.col("phase") == "spare").alias("orphans"), F.count_if(F.col("phase") == "refused").alias("refused")
-    )
-    strangers = classified(incoming).groupBy("project_id").agg(F.count_if(F.col("kind").isNull()).alias("strangers"))
-    zero = ["photos", "narrations", "spoken", "captions", "filled", "silent", "orphans"]
-    return (
-        strangers.join(per_still, "project_id", "left").join(leftover, "project_id", "left")
-        .select(
-            "project_id", *[F.coalesce(c, F.lit(0)).alias(c) for c in zero],
-            (F.col("strangers") + F.coalesce("refused", F.lit(0))).alias("skipped"),
-        )
+        F.sum("orphans").alias("orphans"),
+        F.sum("skipped").alias("skipped"),
     )

@@ -19,8 +19,11 @@ def setting(df: DataFrame, entry: tuple[str, int]) -> int:
 
 
 def input_bytes(df: DataFrame) -> int:
-    """Bytes of everything the plan reads, from the statistics of its leaves."""
-    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    """Bytes of everything the plan reads, from the statistics of its leaves.
+
+    Read off the analyzed plan: the sizes of the sources do not wait for the optimizer.
+    """
+    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
     total = 0
     for i in range(leaves.size()):
         total += int(str(leaves.apply(i).stats().sizeInBytes()))

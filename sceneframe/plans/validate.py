@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from sceneframe.functions import naming as N
 from sceneframe.functions.settle import settle
 from sceneframe.operators import catalog, problems, stills
-from sceneframe.operators.ordered import numbered
+from sceneframe.operators.ordered import scan, with_totals
 
 _COLUMNS = ["project_id", "scene_id", "position", "kind", "detail", "none_pictured"]
 
@@ -32,35 +32,45 @@ def _rows(df: DataFrame, kind: str | Column, detail: Column, scene: str | None =
 
 
 def folder_problems(assets: DataFrame) -> DataFrame:
-    """Problems of projects that are plain folders, paired by stem."""
-    slots = catalog.scene_slots(assets)
-    pictured = numbered(
-        slots.filter("images > 0").select("project_id", "folded", N.natural_key(F.col("folded")).alias("nat")),
-        ["project_id"], ["nat", "folded"], "position",
-    ).select("project_id", "folded", "position")
-
-    crowded = F.filter(
-        F.array(*[F.struct(F.lit(name).alias("slot"), F.col(f"{kind}s").alias("n")) for kind, name in catalog.SLOTS.items()]),
-        lambda s: s["n"] > 1,
-    )
-    ambiguous = (
-        slots.select("project_id", "folded", "scene_id", F.explode(crowded).alias("c"))
-        .join(pictured, ["project_id", "folded"], "left")
-    )
-    waiting = catalog.awaiting_summary(slots)
-    # A project whose scenes all wait for pictures is told that, not that it has no scenes.
-    empty = (
-        assets.select("project_id").distinct()
-        .join(slots.filter("images > 0").select("project_id").distinct(), "project_id", "left_anti")
-        .join(waiting.select("project_id"), "project_id", "left_anti")
-    )
-    parts = [
-        _rows(ambiguous, "ambiguous_scene", F.concat_ws(":", "c.slot", F.col("c.n").cast("string")), "scene_id", "position"),
-        _rows(catalog.unpaired_files(slots), "unpaired_file", F.col("name")),
-        _rows(waiting, "needs_picture", F.concat_ws(":", F.col("scenes").cast("string"), "first"), none_pictured=F.col("none_pictured")),
-        _rows(empty, "no_scenes", F.lit("")),
+    """Problems of projects that are plain folders, paired by stem.
+
+    The slots are worked out once and looked at once: what concerns the whole project is put
+    on its first row, and every row then gives out its own problems.
+    """
+    slots = catalog.scene_slots(assets, keep_unknown=True)
+    number = N.scene_number(F.col("scene_id"))
+    spoken = (F.col("audios") + F.col("texts")) > 0
+    d = settle(slots, {
+        "nat": N.natural_key(F.col("folded")),
+        "pictured": F.col("images") > 0,
+        "waiting": (F.col("images") == 0) & spoken & number.isNotNull(),
+        "orphan": (F.col("images") == 0) & spoken & number.isNull(),
+    })
+    d = scan(d, ["project_id"], ["nat", "folded"], number="row", sums={"position": F.when(F.col("pictured"), 1).otherwise(0)})
+    d = with_totals(d, ["project_id"], {
+        "pictures": F.count_if("pictured"),
+        "waits": F.count_if("waiting"),
+        "first": F.min_by("scene_id", F.when(F.col("waiting"), F.struct("nat", "folded"))),
+    })
+
+    def problem(when: Column, kind: str, detail: Column, scene: bool = False) -> Column:
+        return F.when(when, F.struct(
+            (F.col("scene_id") if scene else F.lit(None).cast("string")).alias("scene_id"),
+            (F.when(F.col("pictured"), F.col("position")) if scene else F.lit(None).cast("bigint")).alias("position"),
+            F.lit(kind).alias("kind"), detail.alias("detail"), (F.col("pictures") == 0).alias("none_pictured")))
+
+    top = F.col("row") == 1
+    found = [
+        problem(F.col(f"{kind}s") > 1, "ambiguous_scene", F.concat_ws(":", F.lit(slot), F.col(f"{kind}s").cast("string")), True)
+        for kind, slot in catalog.SLOTS.items()
     ]
-    return reduce(DataFrame.unionByName, parts)
+    found += [problem(F.col("orphan") & F.col(c).isNotNull(), "unpaired_file", F.col(c)) for c in ("audio", "text")]
+    found += [
+        problem(top & (F.col("waits") > 0), "needs_picture", F.concat_ws(":", F.col("waits").cast("string"), "first")),
+        # A project whose scenes all wait for pictures is told that, not that it has no scenes.
+        problem(top & (F.col("waits") == 0) & (F.col("pictures") == 0), "no_scenes", F.lit("")),
+    ]
+    return d.select(F.col("project_id").cast("bigint").alias("project_id"), F.inline(F.array_compact(F.array(*found))))
 
 
 def manifest_problems(drafts: DataFrame, files: DataFrame) -> DataFrame:
