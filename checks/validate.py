@@ -254,7 +254,12 @@ def seeded_motion(spark, sf):
     return v1.select(F.lit("v1").alias("version"), *columns).unionByName(v2.select(F.lit("v2").alias("version"), *columns))
 
 
-register("seeded_motion", seeded_motion)
+register("seeded_motion", seeded_motion, """
+    WITH h AS (SELECT version, still_id, CAST('0x' || substr(sha256(concat_ws('|', version, project_id, CASE version WHEN 'v1' THEN position ELSE 0 END,
+        width || 'x' || height)), 1, 15) AS BIGINT) AS seed FROM f_still, (SELECT unnest(['v1', 'v2']) AS version))
+    SELECT version, still_id, (['zoom-in','zoom-out','pan-left','pan-right','pan-up','pan-down'])[CAST(seed % 6 AS INT) + 1] AS motion,
+      (['center','north','south','west','east','north-west','north-east','south-west','south-east'])[CAST((seed >> 20) % 9 AS INT) + 1] AS anchor,
+      0.08::DOUBLE + CAST((seed >> 40) % 5 AS DOUBLE) * 0.01::DOUBLE AS amount FROM h""")
 
 # --- the report --------------------------------------------------------------
 RELATIONS["all_problem"] = f"""

@@ -86,7 +86,9 @@ def seeded_motion(scenes: DataFrame, version: str = "v1") -> DataFrame:
     film keeps its moves.
     """
     place = F.col("position") if version == "v1" else F.col("occurrence")
-    seed = F.xxhash64(F.lit(version), F.col("project_id"), place, F.col("content"))
+    digest = F.sha2(F.concat_ws("|", F.lit(version), F.col("project_id").cast("string"), place.cast("string"), "content"), 256)
+    # Fifteen hexadecimal digits are the most a signed 64-bit number always holds.
+    seed = F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint")
     anchors = F.array(*[F.lit(a) for a in C.ANCHOR_WORDS])
     kinds = F.array(*[F.lit(k) for k in C.MOTION_KINDS])
     return scenes.withColumn("seed", seed).withColumns({
