@@ -20,7 +20,7 @@ def theme_budget(theme: Column) -> Column:
 
 def _packed(captions: DataFrame) -> DataFrame:
     """Captions with words, and their pieces before weak endings are moved."""
-    words = settle(spread(captions, "scene"), {"words": collapse(F.col("text")), "budget": theme_budget(F.col("theme"))})
+    words = settle(spread(captions, "film_id", "scene"), {"words": collapse(F.col("text")), "budget": theme_budget(F.col("theme"))})
     spoken = words.filter((F.col("words") != "") & (F.col("seconds") > 0) & (F.col("seconds") < float("inf")))
     return settle(spoken, {"packed": K.pack(F.col("words"), F.greatest("budget", F.lit(C.SMALLEST_BUDGET)))})
 
@@ -85,7 +85,7 @@ def undrawable(captions: DataFrame) -> DataFrame:
     before anything is shuffled.
     """
     rest = F.regexp_replace("text", _UNDRAWN, "")
-    left = settle(spread(captions.select("film_id", "scene", "text"), "scene"), {"missing": F.array_distinct(F.split(rest, ""))}).drop("text")
+    left = settle(spread(captions.select("film_id", "scene", "text"), "film_id", "scene"), {"missing": F.array_distinct(F.split(rest, ""))}).drop("text")
     left = left.withColumn("missing", F.filter("missing", lambda c: c != "")).filter("size(missing) > 0")
     films = left.groupBy("film_id").agg(F.count(F.lit(1)).alias("scenes"), F.min("scene").alias("first"))
     chars = (

@@ -42,7 +42,7 @@ def has_hot_key(df: DataFrame, keys: Sequence[str]) -> bool:
     return (largest or 0) > setting(df, HOT_ROWS)
 
 
-def spread(df: DataFrame, key: str | None = None) -> DataFrame:
+def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Share a small input out among all cores before work that is heavy per byte.
 
     One small file is one task however many cores there are. Moving it costs little; an input
@@ -51,4 +51,4 @@ def spread(df: DataFrame, key: str | None = None) -> DataFrame:
     cores = df.sparkSession.sparkContext.defaultParallelism
     if input_bytes(df) > cores * 16 * 1024 * 1024:
         return df
-    return df.repartition(cores, F.col(key or df.columns[0]))
+    return df.repartition(cores, *(keys or df.columns[:1]))

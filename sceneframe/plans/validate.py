@@ -74,28 +74,46 @@ def folder_problems(assets: DataFrame) -> DataFrame:
 
 
 def manifest_problems(drafts: DataFrame, files: DataFrame) -> DataFrame:
-    """Problems of projects that come with a manifest. ``files``: ``project_id, path``."""
+    """Problems of projects that come with a manifest. ``files``: ``project_id, path``.
+
+    Drafts are read and checked once: repeats are counted along the way, the files a row names
+    are looked up, and every row then gives out its own problems.
+    """
     checked = problems.validate(drafts)
-    cells = checked.filter("id_problem IS NULL").select(
-        "project_id", "scene_id", "position",
-        F.explode(F.array(
-            F.struct(F.lit("image").alias("field"), F.col("image").alias("cell")),
-            F.struct(F.lit("audio_file").alias("field"), F.col("audio").alias("cell")),
-        )).alias("c"),
-    ).select("project_id", "scene_id", "position", "c.field", "c.cell").filter("cell IS NOT NULL")
-    worked = settle(cells, {"path": N.lexical_path(F.translate("cell", "\\", "/"))})
-    outside = worked.filter("path IS NULL")
-    held = files.select("project_id", N.lexical_path(F.col("path")).alias("path")).distinct()
-    missing = worked.filter("path IS NOT NULL").join(held, ["project_id", "path"], "left_anti")
-    parts = [
-        _rows(problems.scene_problems(checked), F.col("kind"), F.col("detail"), "scene_id", "position"),
-        _rows(problems.duplicate_ids(checked), "duplicate_id", F.lit(""), "scene_id", "position"),
-        _rows(drafts.filter("unread_duration IS NOT NULL"), "unusable_setting",
-              F.concat_ws(":", F.lit("duration"), "unread_duration"), "id", "position"),
-        _rows(outside, "path_outside", F.concat_ws(":", "field", "cell"), "scene_id", "position"),
-        _rows(missing, "path_missing", F.concat_ws(":", "field", "cell"), "scene_id", "position"),
+    clean = F.size("problems") == 0
+    d = scan(checked, ["project_id", "scene_id"], ["position"], sums={"repeat": F.when(clean, 1).otherwise(0)})
+
+    def path(c: str) -> Column:
+        return N.lexical_path(F.translate(c, "\\", "/"))
+
+    d = settle(d, {"image_path": path("image"), "audio_path": path("audio")})
+    held = files.select("project_id", N.lexical_path(F.col("path")).alias("path")).distinct().withColumn("held", F.lit(True))
+    for side in ("image", "audio"):
+        there = held.withColumnsRenamed({"path": f"{side}_path", "held": f"{side}_held"})
+        d = d.join(there, ["project_id", f"{side}_path"], "left")
+
+    usable = F.col("id_problem").isNull()
+
+    def problem(when: Column, kind: str, detail: Column, scene: str = "scene_id") -> Column:
+        return F.when(when, F.struct(
+            F.col(scene).alias("scene_id"), F.col("position").cast("bigint").alias("position"), F.lit(kind).alias("kind"),
+            detail.alias("detail"), F.lit(None).cast("boolean").alias("none_pictured")))
+
+    # A draft whose id cannot be used has no scene to report against.
+    own = F.transform("problems", lambda p: F.struct(
+        F.when(usable, F.col("scene_id")).alias("scene_id"), F.when(usable, F.col("position").cast("bigint")).alias("position"),
+        p["kind"].alias("kind"), p["detail"].alias("detail"), F.lit(None).cast("boolean").alias("none_pictured")))
+    more = [
+        problem(clean & (F.col("repeat") > 1), "duplicate_id", F.lit("")),
+        problem(F.col("unread_duration").isNotNull(), "unusable_setting", F.concat_ws(":", F.lit("duration"), "unread_duration"), "id"),
     ]
-    return reduce(DataFrame.unionByName, parts)
+    for side, field in (("image", "image"), ("audio", "audio_file")):
+        said = F.concat_ws(":", F.lit(field), side)
+        asked = usable & F.col(side).isNotNull()
+        more.append(problem(asked & F.col(f"{side}_path").isNull(), "path_outside", said))
+        more.append(problem(asked & F.col(f"{side}_path").isNotNull() & F.col(f"{side}_held").isNull(), "path_missing", said))
+    every = F.concat(own, F.array_compact(F.array(*more)))
+    return d.select(F.col("project_id").cast("bigint").alias("project_id"), F.inline(every))
 
 
 def setting_problems(rows: DataFrame) -> DataFrame:

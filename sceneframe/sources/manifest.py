@@ -14,6 +14,7 @@ from sceneframe.constants import MANIFEST_COLUMNS
 from sceneframe.functions import naming as N
 from sceneframe.functions.settle import settle
 from sceneframe.functions.text import clean_cell
+from sceneframe.operators.ordered import numbered
 
 SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in MANIFEST_COLUMNS])
 CSV_OPTIONS = {
@@ -28,9 +29,10 @@ def unknown_columns(header: list[str]) -> list[str]:
 
 
 def read_manifest(spark: SparkSession, path: str, project_id: Column | None = None) -> DataFrame:
-    """Read one project's manifest; unknown columns and ragged rows are refused.
+    """Read manifests that share one header; unknown columns and ragged rows are refused.
 
-    A manifest is one project's own file, so its rows are numbered in file order by one task.
+    ``path`` may name many files: each one is a project and is read by a task of its own, so
+    its rows are numbered in the order they stand in it.
     """
     header = spark.read.options(header="false", **CSV_OPTIONS).csv(path).first()
     names = [h.strip() for h in header] if header else []
@@ -39,10 +41,11 @@ def read_manifest(spark: SparkSession, path: str, project_id: Column | None = No
         raise ValueError(f"manifest {path}: unknown columns {unknown}" if unknown else f"manifest {path}: no image column")
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
     rows = spark.read.schema(schema).options(header="true", enforceSchema="false", multiLine="true", **CSV_OPTIONS).csv(path)
+    rows = rows.select("*", F.col("_metadata.file_path").alias("_file"), F.monotonically_increasing_id().alias("_at"))
     for missing in set(MANIFEST_COLUMNS) - set(names):
         rows = rows.withColumn(missing, F.lit(None).cast("string"))
-    placed = rows.coalesce(1).withColumn("position", F.monotonically_increasing_id() + 1)
-    return placed.withColumn("project_id", project_id if project_id is not None else F.lit(path))
+    placed = numbered(rows, ["_file"], ["_at"], "position")
+    return placed.withColumn("project_id", project_id if project_id is not None else F.col("_file")).drop("_file", "_at")
 
 
 def parse_lines(lines: DataFrame) -> DataFrame:
