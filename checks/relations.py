@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sceneframe.functions import text as T
 from sceneframe.operators.ordered import numbered
+from sceneframe.operators.sizing import spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,28 +61,18 @@ def f_draft(spark: SparkSession, sf_dir: str) -> DataFrame:
     durations = ["2.5", "0", "-1", "4000", "soon", "12", "0.4"]
     moves = ["zoom-in", "Zoom_Out", "pan left", " PAN-RIGHT ", "pan_up", "sideways", None, "pan-down", ""]
     anchors = ["centre", "Top_Left", "n", "outer space", None, "south east", "se", "  ", "middle", "W", "ne"]
-    return (
-        f_scene(spark, sf_dir)
-        .withColumn(
-            "image",
-            F.when((c + t) % 17 == 0, "  ")
-            .when((c + t) % 29 == 5, "img/a..b/")
-            .otherwise(F.concat(slash, number, F.lit(".jpg"))),
-        )
-        .withColumn(
-            "text",
-            F.when((c + 2 * t) % 19 == 0, "   ")
-            .when((t % 5 == 3) & (c % 7 != 0), F.lit(None).cast("string"))
-            .when(t % 5 == 4, F.lit(None).cast("string"))
-            .otherwise(F.col("line")),
-        )
-        .withColumn("audio_file", F.when((c % 7 == 0) | (t % 5 == 3), F.concat(F.lit("rec/"), number, F.lit(".wav"))))
-        .withColumn("duration", F.when(t % 5 == 4, _pick(F.pmod(c + t, F.lit(7)), durations)))
-        .withColumn("voice", _pick((c + t) % 4, [None, "en-GB-RyanNeural", " default ", "hi-IN-MadhurNeural"]))
-        .withColumn("zoom_direction", _pick((c + t) % 9, moves))
-        .withColumn("zoom_anchor", _pick((c + 2 * t) % 11, anchors))
-        .withColumn("caption", F.when((c + t) % 6 == 5, F.concat(F.lit(" Caption for "), number, F.lit(" "))))
-        .drop("line", "role")
+    return f_scene(spark, sf_dir).select(
+        "project_id", "scene",
+        F.when((c + t) % 17 == 0, "  ").when((c + t) % 29 == 5, "img/a..b/")
+        .otherwise(F.concat(slash, number, F.lit(".jpg"))).alias("image"),
+        F.when((c + 2 * t) % 19 == 0, "   ").when((t % 5 == 3) & (c % 7 != 0), F.lit(None).cast("string"))
+        .when(t % 5 == 4, F.lit(None).cast("string")).otherwise(F.col("line")).alias("text"),
+        F.when((c % 7 == 0) | (t % 5 == 3), F.concat(F.lit("rec/"), number, F.lit(".wav"))).alias("audio_file"),
+        F.when(t % 5 == 4, _pick(F.pmod(c + t, F.lit(7)), durations)).alias("duration"),
+        _pick((c + t) % 4, [None, "en-GB-RyanNeural", " default ", "hi-IN-MadhurNeural"]).alias("voice"),
+        _pick((c + t) % 9, moves).alias("zoom_direction"),
+        _pick((c + 2 * t) % 11, anchors).alias("zoom_anchor"),
+        F.when((c + t) % 6 == 5, F.concat(F.lit(" Caption for "), number, F.lit(" "))).alias("caption"),
     )
 
 
@@ -215,7 +205,8 @@ def f_written(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(F.col("text"))
     )
     voices = ["hi-IN-MadhurNeural", "en-US-AvaNeural", "ja-JP-KeitaNeural", "el-GR-NestorasNeural", "zh-CN-YunxiNeural"]
-    return table(spark, sf_dir, "documents").select(
+    # Letter by letter is slow work for one file's single task.
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
         "doc_id", body.alias("line"), _pick(F.col("doc_id") % 5, voices).alias("voice")
     )
 

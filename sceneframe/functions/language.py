@@ -16,8 +16,13 @@ _ANY = "".join(_class(r) for _, r in SCRIPTS)
 
 
 def scripted(text: Column) -> Column:
-    """Only the characters that belong to one of the scripts."""
-    return F.regexp_replace(text, f"[^{_ANY}]+", "")
+    """Only the characters that belong to one of the scripts.
+
+    Everything below the first script goes by one plain range before the long class is tried.
+    """
+    first = min(low for _, ranges in SCRIPTS for low, _ in ranges)
+    bulk = F.regexp_replace(text, f"[\\x{{0}}-\\x{{{first - 1:X}}}]+", "")
+    return F.regexp_replace(bulk, f"[^{_ANY}]+", "")
 
 
 def dominant(scripted_text: Column) -> Column:
@@ -30,13 +35,17 @@ def dominant(scripted_text: Column) -> Column:
     start = F.struct(scripted_text.alias("rest"), F.lit(None).cast("string").alias("best"), F.lit(0).alias("n"))
 
     def step(acc: Column, s: Column) -> Column:
-        rest = F.regexp_replace(acc["rest"], s["ranges"], F.lit(""))
-        n = F.length(acc["rest"]) - F.length(rest)
-        return F.when(acc["rest"] == "", acc).otherwise(F.struct(
-            rest.alias("rest"),
-            F.when(n > acc["n"], s["script"]).otherwise(acc["best"]).alias("best"),
-            F.greatest(n, acc["n"]).alias("n"),
-        ))
+        def taken(rest: Column) -> Column:
+            n = F.length(acc["rest"]) - F.length(rest)
+            return F.struct(
+                rest.alias("rest"),
+                F.when(n > acc["n"], s["script"]).otherwise(acc["best"]).alias("best"),
+                F.greatest(n, acc["n"]).alias("n"),
+            )
+
+        # A one-element array binds what is left, so that the text is scanned once a step.
+        left = F.array(F.regexp_replace(acc["rest"], s["ranges"], F.lit("")))
+        return F.when(acc["rest"] == "", acc).otherwise(F.transform(left, taken)[0])
 
     name = F.aggregate(scripts, start, step, lambda acc: acc["best"])
     kana = _class(dict(SCRIPTS)["ja"])
