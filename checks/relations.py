@@ -174,7 +174,8 @@ def f_event(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(e % 5 == 3, F.concat(F.lit("wrote \"scene "), k, F.lit('", then\nmoved on')))
         .otherwise(F.concat(F.lit("token "), F.repeat(F.lit("Ab3"), 11), k, F.lit(" used")))
     )
-    return table(spark, sf_dir, "events").select(
+    events = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value", "props")
+    return spread(events, "event_id").select(
         e, F.col("ts").cast("timestamp").alias("at"), F.col("user_id").alias("run_id"), level.alias("level"),
         F.col("event_type").alias("scope"), message.alias("message"), k.alias("k"), "value",
     )

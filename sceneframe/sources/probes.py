@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sceneframe.operators.sizing import spread
+
 STREAM_FIELDS = [
     "index", "codec_type", "codec_name", "profile", "level", "pix_fmt", "color_range", "color_space",
     "color_primaries", "color_transfer", "width", "height", "sample_aspect_ratio", "r_frame_rate",
@@ -31,7 +33,7 @@ def _number(text: Column) -> Column:
 
 def parse(documents: DataFrame) -> DataFrame:
     """``film_id, format_name, format_duration, kinds, streams``, or ``readable`` false."""
-    raw = documents.select("film_id", F.inline(F.array(F.from_json("document", SCHEMA))))
+    raw = spread(documents, "film_id").select("film_id", F.inline(F.array(F.from_json("document", SCHEMA))))
     return raw.select(
         "film_id",
         (F.col("streams").isNotNull() | F.col("format").isNotNull()).alias("readable"),
