@@ -120,11 +120,8 @@ def signatures(rows: DataFrame, shingle_words: int = SHINGLE_WORDS, bands: int =
     return rows.mapInArrow(sign, _SIGNS)
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame, shingle_words: int, percent: int) -> DataFrame:
+def _confirmed(pairs: DataFrame, there: DataFrame, shingle_words: int, percent: int) -> DataFrame:
     """The pairs ``a, b`` whose full shingle sets are similar enough."""
-    wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    # One text per id, of the documents in question alone.
-    there = settle(texts.join(wanted, "id", "left_semi"))
     both = (
         pairs.join(there.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
         .join(there.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
@@ -177,12 +174,16 @@ def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, percent
     Documents are linked when ``100 * shared >= percent * union`` of their shingle sets.
 
     1. Rows with one set (exact copies among them) stand for one document from here on.
-    2. Every band bucket is compared with its smallest id: as many pairs as members.
-    3. Buckets whose members are now of one component are done. In the rest, pairs across
+    2. Every document is compared with one other: of the smallest ids of its band buckets,
+       the smallest. That joins most copies, with one pair a document.
+    3. Documents that are not of one component with a bucket's smallest id are compared with
+       it: at most one pair a band.
+    4. Buckets whose members are now of one component are done. In the rest, pairs across
        components are compared, so a chain that misses the smallest id is found too, while
        copies that already hang together are never paired.
 
-    Every pair passes size and odd sketch, then its full sets are compared. Texts without
+    Every pair passes size and odd sketch, then its full sets are compared. Whole texts move
+    once, and only those of documents that share a bucket are kept for that. Texts without
     words have no shingles and no links. A null id never names a component: such a row
     takes the smallest id it is linked with, or null; it is kept only in that last case.
     Rows that repeat an id with the same text are kept or dropped alike; one id with
@@ -201,24 +202,49 @@ def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, percent
     buckets = settle(reps.select("id", F.posexplode("keys").alias("band", "key")).select(F.xxhash64("band", "key").alias("key"), "id"))
     leaders = buckets.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("z")).filter("a < z").select("key", "a")
     shared = settle(buckets.join(leaders, "key"))
-    star = shared.filter("a < id").select("a", F.col("id").alias("b")).distinct()
-    tried = settle(_alike(reps, star, bands, band_rows, percent))
-    links = settle(_confirmed(tried, texts, shingle_words, percent).distinct())
-    found = settle(connected_components(links))
-
-    placed = shared.select("key", "id").join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key")
-    open_ = settle(placed.join(mixed, "key", "left_semi").join(reps.select("id", "n_shingles", "sketch"), "id"))
+    # These ids grow with the corpus, so they are never broadcast, on small inputs either.
+    there = settle(texts.join(shared.select("id").distinct().hint("merge"), "id", "left_semi"))
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        tried = settle(_alike(reps, pairs, bands, band_rows, percent))
+        return settle(_confirmed(tried, there, shingle_words, percent).distinct())
+
+    def components(links: DataFrame) -> DataFrame:
+        return settle(connected_components(links))
+
+    def placed(found: DataFrame, side: str) -> DataFrame:
+        return found.select(F.col("node").alias(side), F.col("component").alias(f"component_{side}"))
+
+    first = settle(shared.filter("a < id").groupBy("id").agg(F.min("a").alias("a")).select("a", F.col("id").alias("b")))
+    links = linked(first)
+    found = components(links)
+
+    apart = F.coalesce("component_a", "a") != F.coalesce("component_b", "b")
+    second = settle(
+        shared.filter("a < id").select("a", F.col("id").alias("b")).distinct()
+        .join(placed(found, "b"), "b", "left").join(placed(found, "a"), "a", "left").filter(apart).select("a", "b")
+        .join(first, ["a", "b"], "left_anti")
+    )
+    more = linked(second)
+    if not more.isEmpty():
+        links = links.unionByName(more)
+        found = components(links)
+
+    own = placed(found, "id")
+    here = shared.select("key", "id").join(own, "id", "left").withColumn("component", F.coalesce("component_id", "id")).drop("component_id")
+    mixed = here.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key")
+    open_ = settle(here.join(mixed, "key", "left_semi").join(reps.select("id", "n_shingles", "sketch"), "id"))
     left = open_.select("key", *[F.col(c).alias(f"{c}_a") for c in ("id", "component", "n_shingles", "sketch")])
     right = open_.select("key", *[F.col(c).alias(f"{c}_b") for c in ("id", "component", "n_shingles", "sketch")])
     across = left.join(
         right,
         (left["key"] == right["key"]) & (F.col("component_a") != F.col("component_b")) & (F.col("id_a") < F.col("id_b"))
         & _may_be_alike("n_shingles_a", "n_shingles_b", "sketch_a", "sketch_b", bands, band_rows, percent),
-    ).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-    more = settle(_confirmed(settle(across), texts, shingle_words, percent).distinct())
+    ).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
+    rest = across.join(first.unionByName(second), ["a", "b"], "left_anti")
+    more = settle(_confirmed(settle(rest), there, shingle_words, percent).distinct())
     if not more.isEmpty():
-        found = settle(connected_components(links.unionByName(more)))
+        found = components(links.unionByName(more))
 
     member = signs.select("id", *sets).join(classes, sets, "left").join(found.withColumnRenamed("node", "rep"), "rep", "left")
     component = F.coalesce("component", "rep", "id")
