@@ -22,6 +22,10 @@ SKETCH_BITS = 512
 #: A pair is weeded out where its bitmaps put the similarity this far below the limit: five
 #: standard deviations of the estimate at the limit.
 SKETCH_MARGIN = 0.15
+#: Bands that the first comparisons use.
+FIRST_BANDS = 4
+#: Ids that may be broadcast: 8 bytes each, so less than a megabyte.
+FEW_IDS = 100_000
 
 _WORDS = SKETCH_BITS // 64
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -120,8 +124,15 @@ def signatures(rows: DataFrame, shingle_words: int = SHINGLE_WORDS, bands: int =
     return rows.mapInArrow(sign, _SIGNS)
 
 
-def _confirmed(pairs: DataFrame, there: DataFrame, shingle_words: int, percent: int) -> DataFrame:
-    """The pairs ``a, b`` whose full shingle sets are similar enough."""
+def _confirmed(pairs: DataFrame, texts: DataFrame, shingle_words: int, percent: int) -> DataFrame:
+    """The pairs ``a, b`` whose full shingle sets are similar enough.
+
+    Only the texts of documents in question are kept for it. Up to ``FEW_IDS`` ids are sent
+    to where the texts are; more of them meet the texts in a merge join.
+    """
+    wanted = settle(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct())
+    few = wanted.count() <= FEW_IDS
+    there = settle(texts.join(F.broadcast(wanted) if few else wanted.hint("merge"), "id", "left_semi"))
     both = (
         pairs.join(there.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
         .join(there.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
@@ -174,16 +185,15 @@ def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, percent
     Documents are linked when ``100 * shared >= percent * union`` of their shingle sets.
 
     1. Rows with one set (exact copies among them) stand for one document from here on.
-    2. Every document is compared with one other: of the smallest ids of its band buckets,
-       the smallest. That joins most copies, with one pair a document.
-    3. Documents that are not of one component with a bucket's smallest id are compared with
-       it: at most one pair a band.
-    4. Buckets whose members are now of one component are done. In the rest, pairs across
-       components are compared, so a chain that misses the smallest id is found too, while
-       copies that already hang together are never paired.
-
-    Every pair passes size and odd sketch, then its full sets are compared. Whole texts move
-    once, and only those of documents that share a bucket are kept for that. Texts without
+    2. In its first bands, a document is compared with the smallest id of its buckets: one
+       pair a document. That joins most copies into components.
+    3. In all bands, buckets of several components are looked for; members that are not of
+       one component with the bucket's smallest id are compared with it.
+    4. In the buckets that still hold several components, pairs across components are
+       compared, so a chain that misses the smallest id is found too, while copies that
+       already hang together are never paired.
+
+    Every pair passes size and odd sketch, then its full sets are compared. Texts without
     words have no shingles and no links. A null id never names a component: such a row
     takes the smallest id it is linked with, or null; it is kept only in that last case.
     Rows that repeat an id with the same text are kept or dropped alike; one id with
@@ -199,41 +209,43 @@ def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, percent
     # An id that stands for several sets (a repeated id) is one node all the same.
     reps = settle(reps)
     texts = rows.filter("id is not null")
-    buckets = settle(reps.select("id", F.posexplode("keys").alias("band", "key")).select(F.xxhash64("band", "key").alias("key"), "id"))
-    leaders = buckets.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("z")).filter("a < z").select("key", "a")
-    shared = settle(buckets.join(leaders, "key"))
-    # These ids grow with the corpus, so they are never broadcast, on small inputs either.
-    there = settle(texts.join(shared.select("id").distinct().hint("merge"), "id", "left_semi"))
+    none: DataFrame = reps.select(F.col("id").alias("node"), F.col("id").alias("component")).limit(0)
+
+    def in_buckets(found: DataFrame, most: int, *more: str) -> DataFrame:
+        """A row per document and band, with the document's component so far."""
+        placed = reps.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+        return placed.select("id", "component", *more, F.posexplode(F.slice("keys", 1, most)).alias("band", "key")).withColumn("key", F.xxhash64("band", "key")).drop("band")
+
+    def several(rows: DataFrame) -> DataFrame:
+        """Buckets of several components, with the smallest id and its component."""
+        lead = rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min(F.struct("id", "component")).alias("lead"))
+        return lead.filter("lo < hi").select("key", F.col("lead.id").alias("a"), F.col("lead.component").alias("component_a"))
+
+    def to_lead(found: DataFrame, most: int) -> DataFrame:
+        """Pairs of a bucket's smallest id and its members of other components."""
+        rows = in_buckets(found, most)
+        lead = several(rows)
+        return rows.join(lead, (rows["key"] == lead["key"]) & (rows["component"] != lead["component_a"])).select("a", F.col("id").alias("b"))
 
     def linked(pairs: DataFrame) -> DataFrame:
         tried = settle(_alike(reps, pairs, bands, band_rows, percent))
-        return settle(_confirmed(tried, there, shingle_words, percent).distinct())
+        return settle(_confirmed(tried, texts, shingle_words, percent).distinct())
 
     def components(links: DataFrame) -> DataFrame:
         return settle(connected_components(links))
 
-    def placed(found: DataFrame, side: str) -> DataFrame:
-        return found.select(F.col("node").alias(side), F.col("component").alias(f"component_{side}"))
-
-    first = settle(shared.filter("a < id").groupBy("id").agg(F.min("a").alias("a")).select("a", F.col("id").alias("b")))
+    first = settle(to_lead(none, FIRST_BANDS).groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
     links = linked(first)
     found = components(links)
 
-    apart = F.coalesce("component_a", "a") != F.coalesce("component_b", "b")
-    second = settle(
-        shared.filter("a < id").select("a", F.col("id").alias("b")).distinct()
-        .join(placed(found, "b"), "b", "left").join(placed(found, "a"), "a", "left").filter(apart).select("a", "b")
-        .join(first, ["a", "b"], "left_anti")
-    )
+    second = settle(to_lead(found, bands).distinct().join(first, ["a", "b"], "left_anti"))
     more = linked(second)
     if not more.isEmpty():
         links = links.unionByName(more)
         found = components(links)
 
-    own = placed(found, "id")
-    here = shared.select("key", "id").join(own, "id", "left").withColumn("component", F.coalesce("component_id", "id")).drop("component_id")
-    mixed = here.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key")
-    open_ = settle(here.join(mixed, "key", "left_semi").join(reps.select("id", "n_shingles", "sketch"), "id"))
+    rows_ = in_buckets(found, bands, "n_shingles", "sketch")
+    open_ = settle(rows_.join(several(in_buckets(found, bands)).select("key"), "key", "left_semi"))
     left = open_.select("key", *[F.col(c).alias(f"{c}_a") for c in ("id", "component", "n_shingles", "sketch")])
     right = open_.select("key", *[F.col(c).alias(f"{c}_b") for c in ("id", "component", "n_shingles", "sketch")])
     across = left.join(
@@ -241,8 +253,8 @@ def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, percent
         (left["key"] == right["key"]) & (F.col("component_a") != F.col("component_b")) & (F.col("id_a") < F.col("id_b"))
         & _may_be_alike("n_shingles_a", "n_shingles_b", "sketch_a", "sketch_b", bands, band_rows, percent),
     ).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
-    rest = across.join(first.unionByName(second), ["a", "b"], "left_anti")
-    more = settle(_confirmed(settle(rest), there, shingle_words, percent).distinct())
+    rest = settle(across.join(first.unionByName(second), ["a", "b"], "left_anti"))
+    more = settle(_confirmed(rest, texts, shingle_words, percent).distinct())
     if not more.isEmpty():
         found = components(links.unionByName(more))
 
