@@ -17,11 +17,12 @@ SHINGLE_WORDS, PERCENT = 3, 85
 #: Bands and MinHash samples of a band. At a similarity of 0.85 a link is missed with a
 #: probability of (1 - 0.85**6)**24, about one in 86,000.
 BANDS, ROWS = 24, 6
-#: Bits of the parity bitmap that the samples are folded into.
-SKETCH_BITS = 512
-#: A pair is weeded out where its bitmaps put the similarity this far below the limit: five
-#: standard deviations of the estimate at the limit.
-SKETCH_MARGIN = 0.15
+#: Samples of the odd sketch of a large set: the smallest hash of each of so many equal parts
+#: of the hash range. A set of no more than so many shingles is its own sample. And bits of
+#: the parity bitmap.
+SKETCH_PARTS, WHOLE_SETS, SKETCH_BITS = 1024, 2048, 2048
+#: Standard deviations below the limit at which a pair of large sets is weeded out.
+SKETCH_MARGIN = 5.0
 #: Bands that the first comparisons use.
 FIRST_BANDS = 4
 #: Ids that may be broadcast: 8 bytes each, so less than a megabyte.
@@ -92,8 +93,18 @@ def signature(hashes: np.ndarray, bands: int, rows: int, seed: int = 7) -> tuple
     keys = np.zeros(bands, np.uint64)
     for r in range(rows):
         keys = _mixed(keys * np.uint64(0x2545F4914F6CDD1D) + sample.reshape(bands, rows)[:, r])
-    odd = np.bincount((sample % np.uint64(SKETCH_BITS)).astype(np.int64), minlength=SKETCH_BITS) & 1
-    return keys.view(np.int64), np.packbits(odd.astype(np.uint8)).view(np.int64)
+    return keys.view(np.int64), odd_sketch(hashes)
+
+
+def odd_sketch(hashes: np.ndarray) -> np.ndarray:
+    """Parity bitmap of the set's samples; ``hashes`` are sorted and distinct."""
+    sample = hashes
+    if len(hashes) > WHOLE_SETS:
+        parts = hashes >> np.uint64(64 - SKETCH_PARTS.bit_length() + 1)
+        sample = hashes[np.flatnonzero(np.concatenate(([True], parts[1:] != parts[:-1])))]
+    bits = _mixed(sample ^ np.uint64(0xA0761D6478BD642F)) % np.uint64(SKETCH_BITS)
+    odd = np.bincount(bits.astype(np.int64), minlength=SKETCH_BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
 _SIGNS = "id bigint, n_shingles bigint, set_a bigint, set_b bigint, keys array<bigint>, sketch array<bigint>"
@@ -162,21 +173,41 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, shingle_words: int, percent:
     return both.mapInArrow(compare, "a bigint, b bigint")
 
 
-def _alike(signs: DataFrame, pairs: DataFrame, bands: int, rows: int, percent: int) -> DataFrame:
+def _alike(signs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """The pairs whose sizes and odd sketches leave room for the similarity asked."""
     sides = pairs
     for side in "ab":
         sides = sides.join(signs.select(F.col("id").alias(side), F.col("n_shingles").alias(f"n_{side}"), F.col("sketch").alias(f"s_{side}")), side)
-    return sides.filter(_may_be_alike("n_a", "n_b", "s_a", "s_b", bands, rows, percent)).select("a", "b")
+    return sides.filter(_may_be_alike("n_a", "n_b", "s_a", "s_b", percent)).select("a", "b")
+
+
+def most_odd_bits(n_a, n_b, percent: int, exp, sqrt):
+    """Bits that the bitmaps of two large sets at the similarity's limit may differ in.
+
+    At the limit the union holds (n_a + n_b) / (1 + s) shingles, and a share s of its
+    samples is in both sets. The number of samples that differ gets the margin; of so many,
+    those that meet at one bit in pairs cancel out.
+    """
+    s, parts, bits = percent / 100, float(SKETCH_PARTS), float(SKETCH_BITS)
+    union = (n_a + n_b) / (1 + s)
+
+    def held(n):
+        return (1 - exp(n / -parts)) * parts
+
+    spread = sqrt(held(union) * (1 - held(union) / union) * (s * (1 - s))) * 2
+    differ = held(n_a) + held(n_b) - held(union) * (2 * s) + spread * SKETCH_MARGIN + 6
+    odd = (1 - exp(differ * (-2 / bits))) * (bits / 2)
+    return odd + sqrt(differ - odd) * 4
 
 
-def _may_be_alike(n_a: str, n_b: str, s_a: str, s_b: str, bands: int, rows: int, percent: int):
-    """XOR population count z of two bitmaps puts the similarity at 1 + n / 4k * ln(1 - 2z / n)."""
-    bits = sum((F.bit_count(F.col(s_a)[i].bitwiseXOR(F.col(s_b)[i])) for i in range(_WORDS)), F.lit(0))
-    least = percent / 100 - SKETCH_MARGIN
-    most_bits = SKETCH_BITS / 2 * (1 - np.exp((least - 1) * 4 * bands * rows / SKETCH_BITS))
+def _may_be_alike(n_a: str, n_b: str, s_a: str, s_b: str, percent: int):
+    odd = sum((F.bit_count(F.col(s_a)[i].bitwiseXOR(F.col(s_b)[i])) for i in range(_WORDS)), F.lit(0))
     sizes = F.lit(100) * F.least(n_a, n_b) >= F.lit(percent) * F.greatest(n_a, n_b)
-    return sizes & (bits <= float(most_bits))
+    # Bitmaps of whole sets never differ in more bits than the sets in shingles: exact.
+    exact = odd * (100 + percent) <= (F.col(n_a) + F.col(n_b)) * (100 - percent)
+    sampled = odd <= most_odd_bits(F.col(n_a).cast("double"), F.col(n_b).cast("double"), percent, F.exp, F.sqrt)
+    whole_a, whole_b = F.col(n_a) <= WHOLE_SETS, F.col(n_b) <= WHOLE_SETS
+    return sizes & F.when(whole_a & whole_b, exact).when(whole_a | whole_b, F.lit(True)).otherwise(sampled)
 
 
 def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, percent: int = PERCENT, bands: int = BANDS, band_rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -228,7 +259,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, percent
         return rows.join(lead, (rows["key"] == lead["key"]) & (rows["component"] != lead["component_a"])).select("a", F.col("id").alias("b"))
 
     def linked(pairs: DataFrame) -> DataFrame:
-        tried = settle(_alike(reps, pairs, bands, band_rows, percent))
+        tried = settle(_alike(reps, pairs, percent))
         return settle(_confirmed(tried, texts, shingle_words, percent).distinct())
 
     def components(links: DataFrame) -> DataFrame:
@@ -251,7 +282,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, percent
     across = left.join(
         right,
         (left["key"] == right["key"]) & (F.col("component_a") != F.col("component_b")) & (F.col("id_a") < F.col("id_b"))
-        & _may_be_alike("n_shingles_a", "n_shingles_b", "sketch_a", "sketch_b", bands, band_rows, percent),
+        & _may_be_alike("n_shingles_a", "n_shingles_b", "sketch_a", "sketch_b", percent),
     ).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
     rest = settle(across.join(first.unionByName(second), ["a", "b"], "left_anti"))
     more = settle(_confirmed(rest, texts, shingle_words, percent).distinct())
