@@ -7,6 +7,8 @@ regression over word n-grams, and its weights are applied by a join.
 from __future__ import annotations
 
 import math
+import re
+from collections import Counter
 
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import CountVectorizer
@@ -161,39 +163,31 @@ def _scores(rows: DataFrame, weights: list[tuple], biases: list[tuple], keys: li
     ]).alias("scores"))
 
 
-def anchors(weights: list[tuple], biases: list[tuple], least: float = LEAST_PROBABILITY) -> list[str]:
-    """Words without any of which no family can reach the least probability.
+#: Words too common to look for while others will do.
+_COMMON = frozenset("this under with that from which work version free public following terms general you may use the of in and or to is by are not be it any can".split())
 
-    A family's lead over the unknown class is its intercept's lead plus those of the n-grams
-    present. Words are added, those of the largest leads first, until what the n-grams free
-    of all added words can give at most no longer makes up the lead that is needed.
+
+def anchors(templates=TEMPLATES, least: float = LEAST_LIKENESS) -> list[str]:
+    """Words one of which every line has that shares ``least`` of some template's words.
+
+    Words are added, those of most templates first and common ones last, until every template
+    has fewer than ``least`` of its words left over. So no line without an anchor is lost.
     """
-    bias = dict(biases)
-    by_gram: dict[str, dict[str, float]] = {}
-    for g, f, w in weights:
-        by_gram.setdefault(g, {})[f] = w
-    leads = {f: {g: max(0.0, m.get(f, 0.0) - m.get(UNKNOWN, 0.0)) for g, m in by_gram.items()} for f in bias if f != UNKNOWN}
-    needed = {f: math.log(least / (1 - least)) - (bias[f] - bias[UNKNOWN]) for f in leads}
+    of = [set(re.findall(r"[a-z0-9]+(?:[.\-]+[a-z0-9]+)*", t.lower())) for _, t in templates]
     chosen: set[str] = set()
     while True:
-        rest = {f: {g: v for g, v in of.items() if v and chosen.isdisjoint(g.split(" "))} for f, of in leads.items()}
-        short = [f for f in rest if sum(rest[f].values()) >= needed[f] and rest[f]]
+        short = [t for t in of if len(t - chosen) >= least * len(t) - 1e-9]
         if not short:
             return sorted(chosen)
-        gain: dict[str, float] = {}
-        for f in short:
-            for g, v in rest[f].items():
-                for w in set(g.split(" ")):
-                    # A word the unknown class knows well is common; others are tried first.
-                    gain[w] = gain.get(w, 0.0) + v / (1 + 20 * (len(w) < 4 or w in ("this", "under", "with", "that", "from", "which")))
-        chosen.add(max(sorted(gain), key=gain.get))
+        gain = Counter(w for t in short for w in t - chosen)
+        chosen.add(min(gain, key=lambda w: (w in _COMMON or len(w) < 3, -gain[w], w)))
 
 
 def scan_licences(docs: DataFrame, templates=TEMPLATES, model: tuple[list[tuple], list[tuple]] | None = None, least_probability: float = LEAST_PROBABILITY, least_likeness: float = LEAST_LIKENESS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per id of ``docs``: ``family``, ``probability``, ``likeness``, ``notices``.
 
-    A paragraph is a line. Lines that hold an anchor word (`anchors`: without one no family
-    can win) are scored by their n-grams; softmax gives each family and the unknown class a
+    A paragraph is a line. Lines that hold an anchor word (`anchors`: without one no template
+    confirms the line) are scored by their n-grams; softmax gives each family and the unknown class a
     probability. The best family counts where it beats the unknown class, reaches
     ``least_probability`` and a template of it shares at least ``least_likeness`` of its
     words with the line. ``notices`` lists (line_no, family, probability, likeness) in line
@@ -206,10 +200,17 @@ def scan_licences(docs: DataFrame, templates=TEMPLATES, model: tuple[list[tuple]
     """
     spark = docs.sparkSession
     weights, biases = model or train(docs, templates, id_col=id_col, text_col=text_col)
-    marks = F.array(*[F.lit(a) for a in anchors(weights, biases, least_probability)])
+    # A coarse cut of texts and lines by the longest part of each anchor, then the exact one.
+    words_in = anchors(templates, least_likeness)
+    marks = F.array(*[F.lit(a) for a in words_in])
+    parts = F.array(*[F.lit(p) for p in sorted({max(re.split(r"[.\-]+", a), key=len) for a in words_in})])
+
+    def coarse(text: Column) -> Column:
+        return F.arrays_overlap(F.split(F.lower(text), "[^a-z0-9]+"), parts)
+
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    held = rows.filter(F.arrays_overlap(F.split(F.lower(F.col("text")), r"[^a-z0-9.\-]+|[.\-]+(?![a-z0-9])"), marks))
-    lines = paragraphs(held, "id", "text").withColumn("w", words(F.col("text"))).filter(F.arrays_overlap("w", marks))
+    lines = paragraphs(rows.filter(coarse(F.col("text"))), "id", "text").filter(coarse(F.col("text")))
+    lines = lines.withColumn("w", words(F.col("text"))).filter(F.arrays_overlap("w", marks))
     # Lines of one row are told apart by number, lines of repeated ids by their text as well.
     lines = settle(lines.groupBy("id", "line_no", "text").agg(F.first("w").alias("w")).withColumn("key", F.struct("id", "line_no", F.sha2("text", 256).alias("sha"))))
     scored = _scores(lines.select("key", ngrams(F.col("w")).alias("grams")), weights, biases, ["key"])
