@@ -101,20 +101,29 @@ def test_near_on_hostile_and_empty_tables(hostile, empty):
     assert kept.columns == hostile.columns
 
 
-def test_odd_sketch_estimates_similarity():
+def test_odd_sketches_keep_alike_pairs_and_weed_out_the_rest():
+    import math
+
     import numpy as np
 
     rng = np.random.default_rng(3)
-    with np.errstate(over="ignore"):
-        for similarity in (0.7, 0.85, 0.95):
-            shared = int(2000 * similarity)
-            base = rng.integers(0, 1 << 64, 2000 + 2000 - shared, dtype=np.uint64)
-            left, right = base[:2000 - (2000 - shared) // 2], np.concatenate((base[:shared], base[2000:2000 + (2000 - shared) // 2]))
-            true = shared / len(set(left.tolist()) | set(right.tolist()))
-            a, b = (near_dedup.signature(x, 24, 6)[1] for x in (left, right))
-            z = sum(bin(int(x) & 0xFFFFFFFFFFFFFFFF).count("1") for x in a ^ b)
-            estimate = 1 + 512 / (4 * 144) * np.log(1 - 2 * z / 512)
-            assert abs(estimate - true) < 0.12, (similarity, true, estimate)
+    passed = {0.85: [], 0.65: []}
+    for similarity, seen in passed.items():
+        for size in (7, 20, 180, 900, 1500, 6000, 20_000):
+            for _ in range(60):
+                shared = math.ceil(size * similarity)
+                base = rng.permutation(np.unique(rng.integers(0, 1 << 63, size + 64, dtype=np.uint64) << np.uint64(1)))[:size]
+                extra = rng.integers(0, size - shared + 1)
+                left, right = np.sort(base[: shared + extra]), np.sort(np.concatenate((base[:shared], base[shared + extra :])))
+                with np.errstate(over="ignore"):
+                    a, b = near_dedup.odd_sketch(left), near_dedup.odd_sketch(right)
+                odd = sum((int(x) & 0xFFFFFFFFFFFFFFFF).bit_count() for x in a ^ b)
+                if max(len(left), len(right)) <= near_dedup.WHOLE_SETS:
+                    seen.append((size, 185 * odd <= 15 * (len(left) + len(right))))
+                else:
+                    seen.append((size, odd <= near_dedup.most_odd_bits(float(len(left)), float(len(right)), 85, math.exp, math.sqrt)))
+    assert all(ok for _, ok in passed[0.85])
+    assert not any(ok for size, ok in passed[0.65] if size >= 20)
 
 
 def test_components_of_a_long_chain(spark):
