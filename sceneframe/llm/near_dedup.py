@@ -242,10 +242,10 @@ def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, percent
     texts = rows.filter("id is not null")
     none: DataFrame = reps.select(F.col("id").alias("node"), F.col("id").alias("component")).limit(0)
 
-    def in_buckets(found: DataFrame, most: int, *more: str) -> DataFrame:
+    def in_buckets(found: DataFrame, most: int) -> DataFrame:
         """A row per document and band, with the document's component so far."""
         placed = reps.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-        return placed.select("id", "component", *more, F.posexplode(F.slice("keys", 1, most)).alias("band", "key")).withColumn("key", F.xxhash64("band", "key")).drop("band")
+        return placed.select("id", "component", F.posexplode(F.slice("keys", 1, most)).alias("band", "key")).withColumn("key", F.xxhash64("band", "key")).drop("band")
 
     def several(rows: DataFrame) -> DataFrame:
         """Buckets of several components, with the smallest id and its component."""
@@ -275,8 +275,9 @@ def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, percent
         links = links.unionByName(more)
         found = components(links)
 
-    rows_ = in_buckets(found, bands, "n_shingles", "sketch")
-    open_ = settle(rows_.join(several(in_buckets(found, bands)).select("key"), "key", "left_semi"))
+    placed = in_buckets(found, bands)
+    # Sketches join only the members of buckets that are still open.
+    open_ = settle(settle(placed.join(several(placed).select("key"), "key", "left_semi")).join(reps.select("id", "n_shingles", "sketch"), "id"))
     left = open_.select("key", *[F.col(c).alias(f"{c}_a") for c in ("id", "component", "n_shingles", "sketch")])
     right = open_.select("key", *[F.col(c).alias(f"{c}_b") for c in ("id", "component", "n_shingles", "sketch")])
     across = left.join(
