@@ -51,7 +51,7 @@ def manifest_stem(cell: Column) -> Column:
 
 def scene_number(stem_: Column) -> Column:
     """The stem as a scene number, null unless it is all digits."""
-    return F.when(stem_.rlike("^[0-9]+$"), stem_.try_cast("bigint"))
+    return F.when(stem_.rlike(r"\A[0-9]+\z"), stem_.try_cast("bigint"))
 
 
 def natural_key(text: Column) -> Column:
@@ -97,13 +97,13 @@ def owned_kind(name: Column) -> Column:
     key = "[0-9a-fA-F]{16}"
     return (
         F.when(name.rlike(r"(?s)^\..*\.partial-"), "partial")
-        .when(name.rlike(rf"^seg-([0-9]{{4}}-)?{key}\.mp4$"), "segment")
-        .when(name.rlike(rf"^[a-z]+-{key}\.wav$") & ~name.startswith("spoken-"), "audio")
+        .when(name.rlike(rf"^seg-([0-9]{{4}}-)?{key}\.mp4\z"), "segment")
+        .when(name.rlike(rf"^[a-z]+-{key}\.wav\z") & ~name.startswith("spoken-"), "audio")
     )
 
 
 def safe_list_name(name: Column) -> Column:
-    return name.rlike(r"^[A-Za-z0-9_-][A-Za-z0-9_.-]*$")
+    return name.rlike(r"^[A-Za-z0-9_-][A-Za-z0-9_.-]*\z")
 
 
 def lexical_path(path: Column) -> Column:

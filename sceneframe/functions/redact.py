@@ -20,15 +20,19 @@ def is_secret_key(name: Column) -> Column:
 
 
 def _named(line: Column) -> Column:
-    """A named secret takes the rest of the line; the first marker of the list that fits wins."""
+    """A named secret takes the rest of the line; the first marker of the list that fits wins.
+
+    Only a line feed ends a line: carriage returns and the other line ends of Unicode stay
+    inside it, so what stands behind them goes as well.
+    """
     out = F.regexp_replace(line, _TOKEN, REDACTED)
     for marker in reversed(SECRET_MARKERS):
         m = re.escape(marker)
         if marker.endswith(" "):
             # The value follows the marker itself when no separator does.
-            out = F.when(line.rlike(f"(?i){m}"), F.regexp_replace(line, f"(?i)^(.*?{m}).*$", f"$1{REDACTED}")).otherwise(out)
+            out = F.when(line.rlike(f"(?i){m}"), F.regexp_replace(line, f"(?is)\\A(.*?{m}).*\\z", f"$1{REDACTED}")).otherwise(out)
         out = F.when(
-            line.rlike(f"(?i){m}[^=:]*[=:]"), F.regexp_replace(line, f"(?i)^(.*?{m}[^=:]*[=:]).*$", f"$1{REDACTED}")
+            line.rlike(f"(?i){m}[^=:]*[=:]"), F.regexp_replace(line, f"(?is)\\A(.*?{m}[^=:]*[=:]).*\\z", f"$1{REDACTED}")
         ).otherwise(out)
     return out
 

@@ -83,8 +83,10 @@ def newest(files: DataFrame, keys: list[str], keep: int) -> DataFrame:
 
 def _field(value: Column) -> Column:
     """A value behind its length, so that no two lists of fields read the same."""
-    text = F.coalesce(value.cast("string"), F.lit(""))
-    return F.concat(F.lpad(F.length(text).cast("string"), 8, "0"), text)
+    text = value.cast("string")
+    size = F.length(text).cast("string")
+    # A missing value is marked, so it is told apart from an empty one.
+    return F.coalesce(F.concat(F.lpad(size, F.greatest(F.length(size), F.lit(8)), F.lit("0")), text), F.lit("null"))
 
 
 def content_key(*values: Column) -> Column:

@@ -21,7 +21,7 @@ def iso(at: Column) -> Column:
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.text(path, recursiveFileLookup=True, pathGlobFilter="*.json*").select("value")
+    return spark.read.text(path, recursiveFileLookup=True, pathGlobFilter="*.{json,txt}*").select("value")
 
 
 def parse_lines(lines: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ def read_scripts(spark: SparkSession, root: str, cap: int = MAX_SCRIPT_BYTES) ->
     """
     files = (
         spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", "*.{txt,md,TXT,MD}").load(root)
+        .option("pathGlobFilter", "*.{[tT][xX][tT],[mM][dD]}").load(root)
     )
     small = files.filter(F.col("length") <= cap).select("path", "content")
     large = files.filter(F.col("length") > cap).select(

@@ -45,7 +45,9 @@ def speech_bounds(spans: DataFrame, durations: DataFrame) -> DataFrame:
 def loudness(lines: DataFrame) -> DataFrame:
     """First loudness and peak figures of every file's report."""
     def figure(key: str) -> Column:
-        return F.regexp_extract("line", rf'"{key}"\s*:\s*"([^"]*)"', 1).try_cast("double")
+        found = F.regexp_extract("line", rf'"{key}"\s*:\s*"([^"]*)"', 1).try_cast("double")
+        # A silent file reports infinities; they are no figures.
+        return F.when(~F.isnan(found) & (F.abs(found) < float("inf")), found)
 
     seen = lines.filter(F.col("line").contains('"input_')).select("file_id", "line_no", figure("input_i").alias("i"), figure("input_tp").alias("tp"))
     return seen.groupBy("file_id").agg(

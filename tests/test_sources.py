@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sceneframe.operators import cache, catalog, problems, timeline
-from sceneframe.sources import assets, logs, manifest, probes, scripts, sinks, voices
+from sceneframe.sources import assets, logs, manifest, probes, scripts, sinks, toollog, voices
 
 
 def test_assets_from_a_folder(spark, tmp_path):
@@ -52,6 +52,32 @@ def test_logs_round_trip(spark, tmp_path):
     assert (row["when"], row["project"], row["what happened"]) == ("2024-03-01T10:00:00.123Z", "'=proj", "password =[redacted]")
 
 
+def test_written_logs_are_read_by_the_reader(spark, tmp_path):
+    events = spark.createDataFrame(
+        [("2026-01-02 03:04:05", "info", "s", "done", {"k": "v"}), ("2026-01-03 00:00:00", "error", "s", "password=x\rnext", None)],
+        "at string, level string, scope string, message string, fields map<string,string>",
+    ).withColumn("at", F.col("at").cast("timestamp"))
+    logs.write_logs(events, str(tmp_path / "log"))
+    assert logs.read_lines(spark, str(tmp_path / "log")).count() == 2
+
+
+def test_script_names_of_any_case_are_read(spark, tmp_path):
+    for name in ("a.txt", "b.Txt", "c.MD", "d.Md", "e.wav"):
+        (tmp_path / name).write_text("text")
+    assert scripts.read_scripts(spark, str(tmp_path)).count() == 4
+
+
+def test_a_silent_file_has_no_loudness(spark):
+    lines = spark.createDataFrame([(1, 1, '"input_i" : "-inf"'), (1, 2, '"input_tp" : "nan"'), (2, 1, '"input_i" : "-inf"'), (2, 2, '"input_i" : "-20.5"')], "file_id int, line_no int, line string")
+    got = {r.file_id: (r.loudness, r.peak) for r in toollog.loudness(lines).collect()}
+    assert got == {1: (None, None), 2: (-20.5, None)}
+
+
+def test_a_missing_part_of_a_key_is_not_an_empty_one(spark):
+    row = spark.range(1).select(cache.content_key(F.lit(None).cast("string"), F.lit("a")).alias("x"), cache.content_key(F.lit(""), F.lit("a")).alias("y")).first()
+    assert row.x != row.y
+
+
 def test_a_line_cut_short_is_kept_as_corrupt(spark):
     lines = spark.createDataFrame([('{"at":"2024-01-01T00:00:00.000Z","level":"in',), ('{"at":"2024-01-01T00:00:00.000Z","level":"info"}',)], "value string")
     rows = logs.parse_lines(lines).orderBy(F.col("corrupt").isNull()).collect()

@@ -36,6 +36,19 @@ def test_paragraphs_drop_marks_and_collapse(spark):
     assert one(spark, T.paragraphs(F.lit(text))) == ["one two three", "四."]
 
 
+def test_secrets_do_not_hide_behind_other_line_ends(spark):
+    for end in ("\r", "\x85", "\u2028", "\u2029", "\x0b", "\x0c"):
+        for text in (f"frame 10{end}password=hunter2 x", f"password=hunter2{end}next hunter2"):
+            assert "hunter2" not in one(spark, R.redact(F.lit(text))), repr(text)
+    assert one(spark, R.redact(F.lit("password=hunter2\nplain"))).endswith("\nplain")
+
+
+def test_names_that_end_in_a_newline_are_not_safe(spark):
+    assert one(spark, N.scene_number(F.lit("001\n"))) is None and one(spark, N.scene_number(F.lit("001"))) == 1
+    assert not one(spark, N.safe_list_name(F.lit("a.mp4\n"))) and one(spark, N.safe_list_name(F.lit("a.mp4")))
+    assert one(spark, N.owned_kind(F.lit("seg-0001-0123456789abcdef.mp4\n"))) is None
+
+
 def test_natural_order(spark):
     names = ["scene10", "Scene2", "001", "intro", "1b", "scene2b", "9" * 45, "a1b2", "a1b10"]
     rows = spark.createDataFrame([(n,) for n in names], "n string").orderBy(N.natural_key(F.col("n")), "n").collect()
