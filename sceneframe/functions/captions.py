@@ -12,19 +12,20 @@ from pyspark.sql import functions as F
 from sceneframe.constants import MAX_CUES, MIN_CUE_SECONDS, SMALLEST_BUDGET, WEAK_ENDINGS
 from sceneframe.functions.text import LETTER_OR_DIGIT
 
-_ENDED = r"""(?<=[.!?…]["')\]»”’]{0,60})"""
+_ENDED = r"""(?<=[.!?…]["')\]»”’]{0,"""
 _WEAK = rf"(?i) [^{LETTER_OR_DIGIT} ]*(?:{'|'.join(WEAK_ENDINGS)})[^{LETTER_OR_DIGIT} ]*$"
 
 
 def pack(collapsed: Column, budget: Column) -> Column:
     """Pieces of at most ``budget`` characters, broken early after a sentence that fills half.
 
-    A word longer than the budget is a piece of its own.
+    A word longer than the budget is a piece of its own. Closing marks after a sentence are
+    looked past as far as a piece can reach.
     """
     b = budget.cast("string")
     half = F.call_function("div", budget + 1, F.lit(2)).cast("string")
     pattern = F.concat(
-        F.lit("(?s)(.{"), half, F.lit(","), b, F.lit("}?(?= |$)" + _ENDED + "|.{1,"), b, F.lit("}(?= |$)|[^ ]+)(?: |$)")
+        F.lit("(?s)(.{"), half, F.lit(","), b, F.lit("}?(?= |$)" + _ENDED), b, F.lit("})|.{1,"), b, F.lit("}(?= |$)|[^ ]+)(?: |$)")
     )
     return F.regexp_extract_all(collapsed, pattern, F.lit(1))
 

@@ -38,8 +38,12 @@ def distinct_work(plan: DataFrame, compute) -> DataFrame:
 
 
 def reuse_check(plan: DataFrame, stored: DataFrame, fps: Column) -> DataFrame:
-    """Whether each stored artifact is the planned length: frames if declared, else within a frame."""
-    found = plan.join(stored.select("key", "nb_frames", F.col("seconds").alias("stored_seconds")), "key")
+    """Whether each stored artifact is the planned length: frames if declared, else within a frame.
+
+    A key stored more than once counts once, by the smallest of its measurements.
+    """
+    measured = stored.groupBy("key").agg(F.min(F.struct("nb_frames", F.col("seconds").alias("stored_seconds"))).alias("m"))
+    found = plan.join(measured.select("key", "m.*"), "key")
     by_frames = F.col("nb_frames") == F.col("frames")
     by_seconds = F.abs(F.col("stored_seconds") - F.col("frames") / fps) <= F.lit(1.0) / fps
     fits = F.when(F.col("nb_frames").isNotNull(), by_frames).otherwise(F.coalesce(by_seconds, F.lit(False)))

@@ -14,10 +14,14 @@ from sceneframe.operators.ordered import numbered, with_totals
 SLOTS = {"image": "image", "audio": "narration", "text": "text"}
 
 
-def from_paths(files: DataFrame) -> DataFrame:
-    """Catalog rows from ``path, length, modificationTime``: no dotfiles, no bare names."""
+def from_paths(files: DataFrame, project: Column | None = None) -> DataFrame:
+    """Catalog rows from ``path, length, modificationTime``: no dotfiles, no bare names.
+
+    ``project`` tells projects apart; by itself it is the name of a file's folder, which
+    suits inventories of one root.
+    """
     named = files.select(
-        _project(F.col("path")).alias("project"),
+        (_project(F.col("path")) if project is None else project).alias("project"),
         F.substring_index("path", "/", -1).alias("name"),
         F.col("length").alias("bytes"),
         F.col("modificationTime").alias("modified_at"),

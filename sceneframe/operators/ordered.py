@@ -60,8 +60,10 @@ def with_totals(df: DataFrame, keys: Sequence[str], totals: Mapping[str, Column]
     a window reuses whatever partitioning the caller's other windows already need.
     """
     if has_hot_key(df, keys):
-        sums = df.groupBy(*keys).agg(*[c.alias(n) for n, c in totals.items()])
-        return df.join(sums, list(keys), "left")
+        sums = df.groupBy(*[F.col(k).alias(f"_t_{k}") for k in keys]).agg(*[c.alias(n) for n, c in totals.items()])
+        # A null key is a key like any other, as it is for a window.
+        same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_t_{k}")) for k in keys])
+        return df.join(sums, same, "left").select(*df.columns, *totals)
     spec = W.partitionBy(*keys)
     return df.select("*", *[c.over(spec).alias(n) for n, c in totals.items()])
 

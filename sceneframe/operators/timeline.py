@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sceneframe.constants import AAC_FRAME_SECONDS
+from sceneframe.functions.naming import safe_list_name
 from sceneframe.functions.timing import boundary_micros
-from sceneframe.operators.ordered import numbered, scan
+from sceneframe.operators.ordered import numbered, scan, with_totals
 
 
 def occurrences(scenes: DataFrame, picture: str) -> DataFrame:
@@ -28,7 +29,12 @@ def timeline(segments: DataFrame, fps: Column) -> DataFrame:
 
 
 def join_list(timed: DataFrame, name: Column) -> DataFrame:
-    """Ordered ``line`` of each film's join list from its timeline."""
+    """Ordered ``line`` of each film's join list from its timeline.
+
+    A film with a name that is not safe in a list gets no list; ``refused_names`` says why.
+    """
+    unsafe = F.count_if(~F.coalesce(safe_list_name(name), F.lit(False)))
+    timed = with_totals(timed, ["film_id"], {"_unsafe": unsafe}).filter("_unsafe = 0")
     text = F.concat(
         F.lit("file '"), name, F.lit("'\nduration "),
         F.call_function("div", F.col("micros"), F.lit(1_000_000)).cast("string"), F.lit("."),
@@ -37,6 +43,11 @@ def join_list(timed: DataFrame, name: Column) -> DataFrame:
     return timed.select("film_id", "scene", text.alias("line"))
 
 
+def refused_names(timed: DataFrame, name: Column) -> DataFrame:
+    """``film_id, scene, name`` of every segment whose name cannot stand in a join list."""
+    return timed.select("film_id", "scene", name.alias("name")).filter(~F.coalesce(safe_list_name(F.col("name")), F.lit(False)))
+
+
 def stopped_at(segments: DataFrame, films: DataFrame) -> DataFrame:
     """First scene whose running total passes the frames a film really has.
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from sceneframe.operators import catalog
 
@@ -14,4 +15,14 @@ def read_files(spark: SparkSession, root: str) -> DataFrame:
 
 
 def read_assets(spark: SparkSession, root: str) -> DataFrame:
-    return catalog.from_paths(read_files(spark, root))
+    """Catalog of every folder under ``root``.
+
+    A project is a folder's path below the root, so folders of one name stay apart; files in
+    the root itself belong to a project of the root's name.
+    """
+    place = spark._jvm.org.apache.hadoop.fs.Path(root)
+    top = place.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(place)
+    folder = F.regexp_replace("path", "/[^/]*$", "")
+    below = F.when(folder == top.toString(), top.getName()).when(
+        folder.startswith(top.toString().rstrip("/") + "/"), F.substr(folder, F.lit(len(top.toString().rstrip("/")) + 2)))
+    return catalog.from_paths(read_files(spark, root), F.coalesce(below, folder))

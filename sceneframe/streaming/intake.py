@@ -17,7 +17,8 @@ def intake(assets: DataFrame, folder: str) -> DataFrame:
     """
     spark = assets.sparkSession
     catalog_schema = assets.schema
-    written: dict[str, object] = {}
+    nothing = spark.createDataFrame([], catalog_schema)
+    summary_schema = pairing.intake_summary(nothing, nothing).schema
 
     def each(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(sinks.batch_path(folder, "catalog", batch_id))
@@ -27,10 +28,9 @@ def intake(assets: DataFrame, folder: str) -> DataFrame:
         touched = known.join(landed.select("project_id").distinct(), "project_id", "left_semi")
         summary = pairing.intake_summary(touched, touched)
         summary.write.mode("overwrite").parquet(sinks.batch_path(folder, "summary", batch_id))
-        written["schema"] = summary.schema
 
     sinks.run_batches(assets, folder, each)
-    rows = sinks.read_batches(spark, folder, "summary", written["schema"])
+    rows = sinks.read_batches(spark, folder, "summary", summary_schema)
     columns = [c for c in rows.columns if c not in ("project_id", "batch")]
     latest = rows.groupBy("project_id").agg(F.max_by(F.struct(*columns), "batch").alias("s"))
     return latest.select("project_id", "s.*")

@@ -44,7 +44,16 @@ def batch_path(folder: str, name: str, batch_id: int) -> str:
     return f"{folder}/{name}/batch={batch_id}"
 
 
+def written_batches(spark: SparkSession, folder: str, name: str) -> list[int]:
+    """Ids of the batches of one sink that are in storage, this run's and earlier ones'."""
+    pattern = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}/batch=*")
+    found = pattern.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(pattern)
+    return sorted(int(status.getPath().getName().split("=")[1]) for status in found or [])
+
+
 def read_batches(spark: SparkSession, folder: str, name: str, schema) -> DataFrame:
     """Everything the batches of one sink wrote, with the ``batch`` that wrote it."""
+    if not written_batches(spark, folder, name):
+        return spark.createDataFrame([], schema).withColumn("batch", F.lit(None).cast("bigint"))
     return spark.read.schema(schema).option("basePath", f"{folder}/{name}").parquet(f"{folder}/{name}/batch=*").withColumn(
         "batch", F.col("batch").cast("bigint"))

@@ -82,19 +82,18 @@ def monitor(events: DataFrame, folder: str) -> DataFrame:
             return spark.createDataFrame([], STATE)
         return spark.read.schema(STATE).parquet(sinks.batch_path(folder, "state", batch_id))
 
-    last = {"batch": -1}
-
     def each(batch: DataFrame, batch_id: int) -> None:
         closed, state = fold(state_of(batch_id - 1), batch)
         closed.write.mode("overwrite").parquet(sinks.batch_path(folder, "closed", batch_id))
         state.write.mode("overwrite").parquet(sinks.batch_path(folder, "state", batch_id))
-        last["batch"] = batch_id
 
     sinks.run_batches(events, folder, each)
-    if last["batch"] < 0:
+    # From storage: a restart may bring no batch of its own.
+    batches = sinks.written_batches(spark, folder, "state")
+    if not batches:
         return spark.createDataFrame([], EPISODE)
     done = sinks.read_batches(spark, folder, "closed", EPISODE).drop("batch")
-    return done.unionByName(open_episodes(state_of(last["batch"])))
+    return done.unionByName(open_episodes(state_of(batches[-1])))
 
 
 ANNOUNCED = "run_id bigint, event_id bigint, at timestamp, episode bigint"

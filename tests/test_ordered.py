@@ -74,3 +74,10 @@ def test_totals_agree_both_ways(spark):
     finally:
         spark.conf.unset("sceneframe.skew.smallInputBytes")
         spark.conf.unset("sceneframe.skew.hotRows")
+
+
+def test_totals_of_a_null_key_and_the_column_order_agree_both_ways(spark, hot):
+    df = spark.createDataFrame([(5, None), (6, None), (7, 1), (8, 1), (9, 1)], "id long, k long")
+    out = with_totals(df, ["k"], {"c": F.count(F.lit(1))})
+    assert out.columns == ["id", "k", "c"]
+    assert sorted(map(tuple, out.collect())) == [(5, None, 2), (6, None, 2), (7, 1, 3), (8, 1, 3), (9, 1, 3)]

@@ -134,3 +134,24 @@ def test_a_key_changes_with_every_input(spark):
 def test_a_project_of_nothing_has_no_problems_left_out(spark):
     empty = spark.createDataFrame([], "project_id long, position long, id string, image string, text string, audio string, duration double, voice string, zoom_direction string, zoom_anchor string, caption string")
     assert problems.scene_problems(problems.validate(empty)).count() == 0
+
+
+def test_folders_of_one_name_stay_apart(spark, tmp_path):
+    for root in ("x", "y"):
+        (tmp_path / root / "p1").mkdir(parents=True)
+        (tmp_path / root / "p1" / "001.jpg").write_bytes(b"1")
+    found = assets.read_assets(spark, str(tmp_path)).select("project", "name").collect()
+    assert sorted(map(tuple, found)) == [("x/p1", "001.jpg"), ("y/p1", "001.jpg")]
+
+
+def test_a_film_with_an_unsafe_name_gets_no_join_list(spark):
+    rows = [(1, 1, 10, "a.mp4"), (1, 2, 10, "b'\nfile 'c.mp4"), (2, 1, 10, "d.mp4"), (3, 1, 10, None)]
+    timed = spark.createDataFrame(rows, "film_id long, scene int, micros long, n string")
+    assert [(r.film_id, r.scene) for r in timeline.join_list(timed, F.col("n")).collect()] == [(2, 1)]
+    assert sorted((r.film_id, r.scene) for r in timeline.refused_names(timed, F.col("n")).collect()) == [(1, 2), (3, 1)]
+
+
+def test_a_key_stored_twice_is_checked_once(spark):
+    plan = spark.createDataFrame([(1, 1, "k", 30)], "film_id long, scene int, key string, frames int")
+    stored = spark.createDataFrame([("k", 30, 1.0), ("k", 30, 1.0)], "key string, nb_frames int, seconds double")
+    assert [tuple(r) for r in cache.reuse_check(plan, stored, F.lit(30)).collect()] == [(1, 1, "k", True)]

@@ -4,8 +4,9 @@ import random
 
 from pyspark.sql import functions as F
 
-from sceneframe.operators import activity
-from sceneframe.streaming import sinks, throttle
+from checks import relations as R
+from sceneframe.operators import activity, catalog
+from sceneframe.streaming import intake, logs, sinks, throttle
 
 SCHEMA = "run_id long, event_id long, at timestamp, refused boolean, answered boolean"
 
@@ -63,3 +64,38 @@ def test_announcements_match_brute_force(spark):
                 run["told"] = (run["ep"], r["at"])
                 want.append((r["run_id"], r["event_id"], run["ep"]))
     assert got == sorted(want)
+
+
+def test_monitor_run_again_without_new_data_keeps_its_episodes(spark):
+    events = _events(spark, 120)
+    stream, folder = _in_batches(spark, events, 3)
+    first = sorted(map(tuple, throttle.monitor(stream, folder).collect()))
+    assert first and sorted(map(tuple, throttle.monitor(stream, folder).collect())) == first
+
+
+def test_monitor_goes_on_with_data_that_comes_after_a_restart(spark):
+    events = _events(spark)
+    stream, folder = _in_batches(spark, events.filter("event_id < 200"), 2)
+    throttle.monitor(stream, folder)
+    events.filter("event_id >= 200").coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    streamed = sorted(map(tuple, throttle.monitor(stream, folder).collect()))
+    want = activity.throttle_episodes(events)
+    assert streamed == sorted(map(tuple, want.select(*[c.split()[0] for c in throttle.EPISODE.split(", ")]).collect()))
+
+
+def test_streams_over_an_empty_folder_give_no_rows(spark):
+    folder = sinks.new_folder(spark, "test")
+    _events(spark, 3).filter("run_id < 0").write.parquet(f"{folder}/in")
+    stream = spark.readStream.schema(SCHEMA).parquet(f"{folder}/in")
+    assert throttle.monitor(stream, folder).count() == 0
+    counted = stream.select("at", "run_id", F.lit("x").alias("kind"))
+    assert logs.run_progress(counted, f"{folder}/progress").count() == 0
+
+
+def test_intake_run_again_without_new_files_keeps_its_summaries(spark):
+    folder = sinks.new_folder(spark, "test")
+    files = R.f_asset(spark, "/root/testdata/sf0.001").filter("project_id < 50")
+    catalog.classified(files).coalesce(1).write.parquet(f"{folder}/in")
+    stream = spark.readStream.schema(spark.read.parquet(f"{folder}/in").schema).parquet(f"{folder}/in")
+    first = sorted(map(tuple, intake.intake(stream, folder).collect()), key=repr)
+    assert first and sorted(map(tuple, intake.intake(stream, folder).collect()), key=repr) == first

@@ -182,3 +182,18 @@ def test_time_pieces_are_as_long_as_they_can_be(spark):
 
 def test_pack_counts_characters_not_bytes(spark):
     assert one(spark, K.pack(F.lit("नमस्ते दुनिया आज"), F.lit(13).cast("bigint"))) == ["नमस्ते दुनिया", "आज"]
+
+
+def test_any_number_of_closing_marks_is_looked_past(spark):
+    for marks in (1, 59, 60, 61, 70):
+        text = "go." + '"' * marks + " then we walk on along the river to the mountain and go home again today."
+        budget = 80
+        got = spark.createDataFrame([(text, budget)], "t string, b int").select(K.pack(F.col("t"), F.col("b")).alias("p")).first().p
+        pieces, rest = [], text
+        while rest:
+            cuts = [m.start() for m in re.finditer(" |$", rest) if m.start() <= budget] or [rest.find(" ") if " " in rest else len(rest)]
+            ended = [c for c in cuts if c >= (budget + 1) // 2 and re.search(rf"[.!?…][{re.escape(CLOSERS)}]*$", rest[:c])]
+            cut = ended[0] if ended else cuts[-1]
+            pieces.append(rest[:cut])
+            rest = rest[cut + 1:]
+        assert [p for p in got if p] == pieces
