@@ -1,10 +1,10 @@
 """Ordered computation inside a key, safe when one key holds a large share of all rows.
 
-Every function takes a *total* ascending order. With no hot key it is one window over one
-shuffle. With a hot key a window would pull that key into a single task, so the rows are
-range-partitioned by key *and* order instead: a hot key then spans many slices, each slice
-is computed on its own, and what the earlier slices add up to (at most one row per slice)
-is broadcast back. Both ways give the same rows.
+Every function takes a *total* ascending order and only builds a plan: no job runs before the
+caller asks for rows. An input whose sources are smaller than one task's share is one window
+over one shuffle. Any other is range-partitioned by key *and* order, so that a hot key spans
+many slices; the edge rows of a slice then travel to the slices that need them, and a window
+per slice does the rest. Both ways give the same rows.
 """
 
 from __future__ import annotations
@@ -16,8 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from sceneframe.operators.sizing import has_hot_key
-from sceneframe.session import cut_lineage
+from sceneframe.operators.sizing import one_task_holds
 
 _SLICE = "_slice"
 
@@ -43,9 +42,8 @@ def scan(
     """
     sums, maxes = dict(sums or {}), dict(maxes or {})
     previous, following = dict(previous or {}), dict(following or {})
-    if has_hot_key(df, keys):
-        return _sliced(df, list(keys), list(order), number, sums, maxes, previous, following)
-    return _windowed(df, list(keys), order, number, sums, maxes, previous, following)
+    way = _windowed if one_task_holds(df) else _sliced
+    return way(df, list(keys), list(order), number, sums, maxes, previous, following)
 
 
 def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], name: str = "n") -> DataFrame:
@@ -56,10 +54,11 @@ def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column],
 def with_totals(df: DataFrame, keys: Sequence[str], totals: Mapping[str, Column]) -> DataFrame:
     """Add whole-key aggregates to every row.
 
-    A hot key is pre-aggregated and joined back, which adaptive execution splits; otherwise
-    a window reuses whatever partitioning the caller's other windows already need.
+    Totals are combined map-side and joined back, which adaptive execution splits where a key
+    is hot; an input that one task holds is a window, which reuses the partitioning of the
+    caller's other windows.
     """
-    if has_hot_key(df, keys):
+    if not one_task_holds(df):
         sums = df.groupBy(*[F.col(k).alias(f"_t_{k}") for k in keys]).agg(*[c.alias(n) for n, c in totals.items()])
         # A null key is a key like any other, as it is for a window.
         same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_t_{k}")) for k in keys])
@@ -81,59 +80,58 @@ def _windowed(df, keys, order, number, sums, maxes, previous, following) -> Data
 
 
 def _sliced(df, keys, order, number, sums, maxes, previous, following) -> DataFrame:
+    """The same columns with no key in one task, as one chain of plain shuffles.
+
+    The last row of a slice is copied to every later slice with the totals of its key, the
+    first row to every earlier one; a copy keeps only keys, order and figures. Sorted among
+    the slice's own rows the copies stand where the neighbour slices' rows would, so one
+    window over (slice, key) gives the whole answer. That is at most slices squared small rows
+    on top of the input. The result does not depend on where the slices were cut.
+    """
     slices = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordering = [_col(c) for c in order]
-    # Range bounds are sampled, so the placed rows are written once and read from then on:
-    # every branch below sees the same slices, also after an executor is lost.
-    placed = cut_lineage(
-        df.repartitionByRange(slices, *[F.col(k) for k in keys], *ordering).withColumn(
-            _SLICE, F.spark_partition_id()
-        )
+    places = {f"_o{i}": _col(c) for i, c in enumerate(order)}
+    added = {f"_s_{n}": _col(c) for n, c in sums.items()} | {f"_m_{n}": _col(c) for n, c in maxes.items()}
+    placed = (
+        df.select("*", *[c.alias(n) for n, c in (places | added).items()])
+        .repartitionByRange(slices, *keys, *places)
+        .withColumn(_SLICE, F.spark_partition_id())
+    )
+    inside = W.partitionBy(_SLICE).orderBy(*keys, *places)
+    ends = placed.select(
+        "*", F.lag(F.lit(1)).over(inside).isNull().alias("_first"), F.lead(F.lit(1)).over(inside).isNull().alias("_last")
     )
-    local = _windowed(placed, [*keys, _SLICE], order, number, sums, maxes, previous, following)
-
-    place = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(ordering)])
-    edges = [F.count(F.lit(1)).alias("_rows")]
-    edges += [F.sum(_col(c)).alias(f"_s_{n}") for n, c in sums.items()]
-    edges += [F.max(_col(c)).alias(f"_m_{n}") for n, c in maxes.items()]
-    # A struct keeps a null neighbour apart from a missing one.
-    edges += [F.max_by(F.struct(F.col(c).alias("v")), place).alias(f"_p_{n}") for n, c in previous.items()]
-    edges += [F.min_by(F.struct(F.col(c).alias("v")), place).alias(f"_f_{n}") for n, c in following.items()]
-    totals = placed.groupBy(*keys, _SLICE).agg(*edges)
-
-    # One row per (key, slice): a key has at most as many as there are slices.
-    along = W.partitionBy(*keys).orderBy(_SLICE)
-    before = along.rowsBetween(W.unboundedPreceding, -1)
-    carried = [F.sum("_rows").over(before).alias("_before")]
-    carried += [F.sum(f"_s_{n}").over(before).alias(f"_s_{n}") for n in sums]
-    carried += [F.max(f"_m_{n}").over(before).alias(f"_m_{n}") for n in maxes]
-    carried += [F.lag(f"_p_{n}").over(along).alias(f"_p_{n}") for n in previous]
-    carried += [F.lead(f"_f_{n}").over(along).alias(f"_f_{n}") for n in following]
-    spans = F.count(F.lit(1)).over(W.partitionBy(*keys)) > 1
-    # Only keys on several slices need a carry, and a slice shares at most its first and
-    # last key with a neighbour: no more than two rows per slice are broadcast.
-    carry = (
-        totals.select(*keys, _SLICE, *carried, spans.alias("_spans"))
-        .filter("_spans")
-        .select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col(_SLICE).alias("_k_slice"),
-                "_before", *[f"_s_{n}" for n in sums], *[f"_m_{n}" for n in maxes],
-                *[f"_p_{n}" for n in previous], *[f"_f_{n}" for n in following])
+    running = W.partitionBy(_SLICE, *keys).orderBy(*places).rowsBetween(W.unboundedPreceding, W.currentRow)
+    local = [F.sum(f"_s_{n}").over(running).alias(f"_t_s_{n}") for n in sums]
+    local += [F.max(f"_m_{n}").over(running).alias(f"_t_m_{n}") for n in maxes]
+    edged = ends.select("*", F.count(F.lit(1)).over(running).alias("_rows"), *local)
+
+    here, none = F.col(_SLICE), F.array().cast("array<int>")
+    later = F.when(F.col("_last") & (here < slices - 1), F.sequence(here + 1, F.lit(slices - 1))).otherwise(none)
+    earlier = F.when(F.col("_first") & (here > 0), F.sequence(F.lit(0), here - 1)).otherwise(none)
+    goals = [F.array(here)]
+    if number or sums or maxes or previous:
+        goals.append(later)
+    if following:
+        goals.append(earlier)
+    sent = edged.withColumn("_to", F.explode(F.concat(*goals)))
+
+    copy = F.col("_to") != here
+    travels = {*keys, *previous.values(), *following.values()}
+    figures = [F.when(copy, F.col("_rows")).otherwise(1).alias("_rows")]
+    # The sum of a key's rows stands in for them, in the type that a sum has.
+    kinds = {f.name: f.dataType for f in edged.schema if f.name.startswith("_t_")}
+    figures += [F.when(copy, F.col(f"_t{n}")).otherwise(F.col(n).cast(kinds[f"_t{n}"])).alias(n) for n in added]
+    thin = sent.select(
+        *[F.col(c) if c in travels else F.when(~copy, F.col(c)).alias(c) for c in df.columns],
+        *places, *figures, "_to", copy.alias("_copy"),
     )
-    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys])
-    joined = local.join(F.broadcast(carry), same & (F.col(_SLICE) == F.col("_k_slice")), "left")
-
-    out = [F.col(c) for c in df.columns]
-    for n in sums:
-        out.append(
-            F.when(F.col(n).isNull() & F.col(f"_s_{n}").isNull(), None)
-            .otherwise(F.coalesce(n, F.lit(0)) + F.coalesce(f"_s_{n}", F.lit(0)))
-            .alias(n)
-        )
-    out += [F.greatest(n, f"_m_{n}").alias(n) for n in maxes]
-    first = F.row_number().over(W.partitionBy(*keys, _SLICE).orderBy(*ordering)) == 1
-    last = F.lead(F.lit(1)).over(W.partitionBy(*keys, _SLICE).orderBy(*ordering)).isNull()
-    out += [F.when(first & F.col(f"_p_{n}").isNotNull(), F.col(f"_p_{n}.v")).otherwise(F.col(n)).alias(n) for n in previous]
-    out += [F.when(last & F.col(f"_f_{n}").isNotNull(), F.col(f"_f_{n}.v")).otherwise(F.col(n)).alias(n) for n in following]
+    spec = W.partitionBy("_to", *keys).orderBy(*places)
+    whole = spec.rowsBetween(W.unboundedPreceding, W.currentRow)
+    out = [F.sum(f"_s_{n}").over(whole).cast(kinds[f"_t_s_{n}"]).alias(n) for n in sums]
+    out += [F.max(f"_m_{n}").over(whole).alias(n) for n in maxes]
+    out += [F.lag(_col(c)).over(spec).alias(n) for n, c in previous.items()]
+    out += [F.lead(_col(c)).over(spec).alias(n) for n, c in following.items()]
     if number:
-        out.append((F.col(number) + F.coalesce("_before", F.lit(0))).alias(number))
-    return joined.select(*out)
+        out.append(F.sum("_rows").over(whole).alias(number))
+    done = thin.select(*df.columns, "_copy", *out).filter(~F.col("_copy"))
+    return done.drop("_copy")

@@ -1,16 +1,11 @@
-"""Checks made before a plan is chosen: how big an input is, how hot its keys are."""
+"""Checks made before a plan is chosen: how big an input is, by the statistics of its sources."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-# Below this many input bytes no group can outgrow one task, so no job is run to find out.
-SMALL_INPUT_BYTES = ("sceneframe.skew.smallInputBytes", 128 * 1024 * 1024)
-# A key with more rows than this is spread over several tasks.
-HOT_ROWS = ("sceneframe.skew.hotRows", 5_000_000)
+# What one task may be given: a group of an input this small cannot outgrow it.
+TASK_BYTES = ("sceneframe.skew.taskBytes", 128 * 1024 * 1024)
 
 
 def setting(df: DataFrame, entry: tuple[str, int]) -> int:
@@ -30,16 +25,9 @@ def input_bytes(df: DataFrame) -> int:
     return total
 
 
-def has_hot_key(df: DataFrame, keys: Sequence[str]) -> bool:
-    """Whether some key holds more rows than one task should.
-
-    A small input is answered from statistics. A large one costs one pruned, map-side
-    combined count over the key columns, which returns a single number.
-    """
-    if input_bytes(df) <= setting(df, SMALL_INPUT_BYTES):
-        return False
-    largest = df.groupBy(*keys).count().agg(F.max("count")).first()[0]
-    return (largest or 0) > setting(df, HOT_ROWS)
+def one_task_holds(df: DataFrame) -> bool:
+    """Whether all sources together are one task's share, by their statistics; runs no job."""
+    return input_bytes(df) <= setting(df, TASK_BYTES)
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:

@@ -19,8 +19,6 @@ def spark():
 @pytest.fixture
 def hot(spark):
     """Every ordered computation takes its sliced way while this is in use."""
-    spark.conf.set("sceneframe.skew.smallInputBytes", "0")
-    spark.conf.set("sceneframe.skew.hotRows", "2")
+    spark.conf.set("sceneframe.skew.taskBytes", "0")
     yield
-    spark.conf.unset("sceneframe.skew.smallInputBytes")
-    spark.conf.unset("sceneframe.skew.hotRows")
+    spark.conf.unset("sceneframe.skew.taskBytes")

@@ -67,13 +67,11 @@ def test_totals_agree_both_ways(spark):
     df = _frame(spark)
     totals = {"c": F.count(F.lit(1)), "t": F.sum("v")}
     plain = sorted(map(tuple, with_totals(df, ["k"], totals).collect()), key=repr)
-    spark.conf.set("sceneframe.skew.smallInputBytes", "0")
-    spark.conf.set("sceneframe.skew.hotRows", "2")
+    spark.conf.set("sceneframe.skew.taskBytes", "0")
     try:
         assert sorted(map(tuple, with_totals(df, ["k"], totals).select("k", "o", "id", "v", "c", "t").collect()), key=repr) == plain
     finally:
-        spark.conf.unset("sceneframe.skew.smallInputBytes")
-        spark.conf.unset("sceneframe.skew.hotRows")
+        spark.conf.unset("sceneframe.skew.taskBytes")
 
 
 def test_totals_of_a_null_key_and_the_column_order_agree_both_ways(spark, hot):
@@ -81,3 +79,29 @@ def test_totals_of_a_null_key_and_the_column_order_agree_both_ways(spark, hot):
     out = with_totals(df, ["k"], {"c": F.count(F.lit(1))})
     assert out.columns == ["id", "k", "c"]
     assert sorted(map(tuple, out.collect())) == [(5, None, 2), (6, None, 2), (7, 1, 3), (8, 1, 3), (9, 1, 3)]
+
+
+def test_building_a_plan_runs_no_job(spark, hot):
+    df = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")
+    spark.sparkContext.setJobGroup("building", "")
+    out = scan(df, ["l_orderkey"], ["l_linenumber"], number="n", previous={"p": "l_quantity"})
+    with_totals(out, ["l_orderkey"], {"c": F.count(F.lit(1))})
+    assert not spark.sparkContext.statusTracker().getJobIdsForGroup("building")
+
+
+def test_one_key_spans_slices_and_null_keys_are_a_key(spark, hot):
+    for keys in ([None] * 300, [7] * 290 + [None] * 10, [None, 1, 2] * 20):
+        df = spark.createDataFrame([(k, 0, i, i) for i, k in enumerate(keys)], "k long, o long, id long, v long")
+        assert _scan(df) == _brute(df)
+    assert _scan(df.limit(0)) == []
+
+
+def test_types_agree_both_ways(spark):
+    df = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").withColumn("d", F.col("l_quantity").cast("decimal(12,2)"))
+    made = lambda: scan(df, ["l_orderkey"], ["l_linenumber"], number="n", sums={"s": "d"}, maxes={"m": "d"})
+    plain = made()
+    spark.conf.set("sceneframe.skew.taskBytes", "0")
+    try:
+        assert made().dtypes == plain.dtypes and made().exceptAll(plain).count() == 0
+    finally:
+        spark.conf.unset("sceneframe.skew.taskBytes")
