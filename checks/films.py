@@ -78,16 +78,17 @@ def _live(spark, sf):
     return R.f_plan(spark, sf).filter("scene <= 1").select("film_id", "key")
 
 
-register("retention", lambda s, d: cache.retention(R.f_stored(s, d), _live(s, d)), """
-    WITH live AS (SELECT DISTINCT film_id, key FROM f_plan WHERE scene <= 1), n AS (SELECT film_id, count(*) * 2 AS spare FROM live GROUP BY film_id)
-    SELECT s.film_id, s.key, s.bytes, row_number() OVER w AS age, row_number() OVER w > coalesce(spare, 0) AS swept
-    FROM f_stored s LEFT JOIN n ON n.film_id = s.film_id WHERE (s.film_id, s.key) NOT IN (SELECT (film_id, key) FROM live)
-    WINDOW w AS (PARTITION BY s.film_id ORDER BY modified_at DESC, s.key)""")
-register("retention_bytes", lambda s, d: cache.retention_bytes(cache.retention(R.f_stored(s, d), _live(s, d))), """
+_DEAD_SQL = """
     WITH live AS (SELECT DISTINCT film_id, key FROM f_plan WHERE scene <= 1), n AS (SELECT film_id, count(*) * 2 AS spare FROM live GROUP BY film_id),
-    r AS (SELECT s.film_id, s.bytes, row_number() OVER (PARTITION BY s.film_id ORDER BY modified_at DESC, s.key) AS age, coalesce(spare, 0) AS spare
-      FROM f_stored s LEFT JOIN n ON n.film_id = s.film_id WHERE (s.film_id, s.key) NOT IN (SELECT (film_id, key) FROM live))
-    SELECT film_id, count(*) AS files, CAST(sum(bytes) AS BIGINT) AS bytes FROM r WHERE age > spare GROUP BY film_id""")
+    dead AS (SELECT *, CASE WHEN contains(name, '.partial-') THEN 'partial' WHEN name LIKE 'seg-%' THEN 'segment' END AS owner
+      FROM f_stored WHERE (film_id, key) NOT IN (SELECT (film_id, key) FROM live)),
+    r AS (SELECT d.film_id, d.key, name, owner, bytes, CASE WHEN owner = 'segment' THEN row_number() OVER w END AS age,
+        CASE WHEN owner = 'segment' THEN row_number() OVER w > coalesce(spare, 0) ELSE owner IS NOT NULL END AS swept
+      FROM dead d LEFT JOIN n ON n.film_id = d.film_id
+      WINDOW w AS (PARTITION BY d.film_id, owner ORDER BY modified_at DESC, d.key))"""
+register("retention", lambda s, d: cache.retention(R.f_stored(s, d), _live(s, d)), f"{_DEAD_SQL} SELECT * FROM r")
+register("retention_bytes", lambda s, d: cache.retention_bytes(cache.retention(R.f_stored(s, d), _live(s, d))), f"""
+    {_DEAD_SQL} SELECT film_id, count(*) AS files, CAST(sum(bytes) AS BIGINT) AS bytes FROM r WHERE swept GROUP BY film_id""")
 
 
 def log_retention(spark, sf):
@@ -163,9 +164,9 @@ def segment_keys(spark, sf):
 
 
 register("segment_keys", segment_keys, """
-    SELECT film_id, scene, substr(sha256(array_to_string(list_transform(
+    SELECT film_id, scene, sha256(array_to_string(list_transform(
         [CAST(image_no AS VARCHAR), CAST(bytes AS VARCHAR), CAST(frames AS VARCHAR), 'zoom-in', '1920x1080@30', 'medium:18', ''],
-        lambda v: lpad(CAST(length(v) AS VARCHAR), 8, '0') || v), '')), 1, 16) AS key FROM f_segment""")
+        lambda v: lpad(CAST(length(v) AS VARCHAR), 8, '0') || v), '')) AS key FROM f_segment""")
 
 
 def timing(spark, sf):

@@ -56,6 +56,8 @@ RELATIONS: dict[str, str] = {
         FROM f_segment""",
     "f_stored": """
         SELECT film_id, film_id || ':' || frames AS key,
+               CASE min(bytes) % 6 WHEN 0 THEN 'holiday ' || frames || '.mp4' WHEN 1 THEN '.seg-' || frames || '.mp4.partial-9-1.mp4'
+                 ELSE 'seg-' || lpad(CAST(frames AS VARCHAR), 16, '0') || '.mp4' END AS name,
                CASE WHEN frames % 5 <> 0 THEN frames - CASE WHEN (film_id + frames) % 11 = 0 THEN 1 ELSE 0 END END AS nb_frames,
                (frames - CASE WHEN (film_id + frames) % 11 = 0 THEN 40 ELSE 0 END) / 30.0::DOUBLE AS seconds,
                min(bytes) AS bytes, max(modified_at) AS modified_at

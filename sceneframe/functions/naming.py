@@ -94,7 +94,8 @@ def scene_id_problem(identifier: Column) -> Column:
 
 def owned_kind(name: Column) -> Column:
     """Which of the engine's own file shapes a name has, null for a stranger's file."""
-    key = "[0-9a-fA-F]{16}"
+    # Sixteen digits, or the whole digest that ``cache.content_key`` gives.
+    key = "[0-9a-fA-F]{16}([0-9a-fA-F]{48})?"
     return (
         F.when(name.rlike(r"(?s)^\..*\.partial-"), "partial")
         .when(name.rlike(rf"^seg-([0-9]{{4}}-)?{key}\.mp4\z"), "segment")

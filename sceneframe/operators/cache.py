@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sceneframe.constants import SPARE_GENERATIONS
+from sceneframe.functions.naming import owned_kind
 from sceneframe.operators.ordered import numbered
 
 
@@ -57,19 +58,23 @@ def speech_needed(plan: DataFrame, stored: DataFrame) -> DataFrame:
 
 
 def retention(stored: DataFrame, live: DataFrame) -> DataFrame:
-    """Stored files that are not in use, newest first, and which of them a sweep removes.
+    """Stored files of one cache that are not in use, and which of them a sweep removes.
 
-    ``stored``: ``film_id, key, bytes, modified_at``; ``live``: ``film_id, key``. A film keeps
-    spare files for twice as many as it uses.
+    ``stored``: ``film_id, key, name, bytes, modified_at``; ``live``: ``film_id, key``. A film
+    keeps spare files for twice as many as it uses, newest first by ``age``. What an
+    interrupted write left is always removed and never a spare; a stranger's file never is.
     """
     in_use = live.select("film_id", "key").distinct()
     kept = in_use.groupBy("film_id").agg((F.count(F.lit(1)) * SPARE_GENERATIONS).alias("spare"))
-    dead = stored.join(in_use, ["film_id", "key"], "left_anti")
-    aged = numbered(dead, ["film_id"], [-F.unix_micros("modified_at"), "key"], "age")
+    marked = stored.select("film_id", "key", "name", "bytes", "modified_at", owned_kind(F.col("name")).alias("owner"))
+    dead = marked.join(in_use, ["film_id", "key"], "left_anti")
+    aged = numbered(dead, ["film_id", "owner"], [-F.unix_micros("modified_at"), "key", "name"], "n")
+    ours = F.col("owner").isNotNull() & (F.col("owner") != "partial")
     return (
         aged.join(kept, "film_id", "left")
-        .withColumn("swept", F.col("age") > F.coalesce("spare", F.lit(0)))
-        .select("film_id", "key", "bytes", "age", "swept")
+        .withColumn("age", F.when(ours, F.col("n")))
+        .withColumn("swept", F.when(ours, F.col("n") > F.coalesce("spare", F.lit(0))).otherwise(F.col("owner").isNotNull()))
+        .select("film_id", "key", "name", "owner", "bytes", "age", "swept")
     )
 
 
@@ -94,7 +99,8 @@ def _field(value: Column) -> Column:
 
 
 def content_key(*values: Column) -> Column:
-    return F.substring(F.sha2(F.concat(*[_field(v) for v in values]), 256), 1, 16)
+    """The whole digest: a store of billions holds no two contents under one key."""
+    return F.sha2(F.concat(*[_field(v) for v in values]), 256)
 
 
 def settings_field(settings: Column) -> Column:
