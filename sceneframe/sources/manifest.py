@@ -14,7 +14,6 @@ from sceneframe.constants import MANIFEST_COLUMNS
 from sceneframe.functions import naming as N
 from sceneframe.functions.settle import settle
 from sceneframe.functions.text import clean_cell
-from sceneframe.operators.ordered import numbered
 
 SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in MANIFEST_COLUMNS])
 CSV_OPTIONS = {
@@ -23,29 +22,69 @@ CSV_OPTIONS = {
 }
 
 
-def unknown_columns(header: list[str]) -> list[str]:
-    """Columns of a manifest header that mean nothing here; each one is a typo to report."""
-    return [c for c in (h.strip() for h in header) if c not in MANIFEST_COLUMNS]
+# One cell: quoted, with doubled quotes inside, or everything up to the next comma.
+_CELL = r'(?:"(?:[^"]++|"")*+"?[^,\r\n]*+|[^",\r\n][^,\r\n]*+|)'
 
 
-def read_manifest(spark: SparkSession, path: str, project_id: Column | None = None) -> DataFrame:
-    """Read manifests that share one header; unknown columns and ragged rows are refused.
+def _cells(record: Column) -> Column:
+    """The cells of one record, quotes taken off."""
+    raw = F.regexp_extract_all(F.concat(F.lit(","), record), F.lit(f",({_CELL})"), 1)
+    quoted = r'(?s)^"((?:[^"]++|"")*+)"?(.*)$'
+    return F.transform(raw, lambda c: F.when(
+        c.startswith('"'),
+        F.concat(F.replace(F.regexp_extract(c, quoted, 1), F.lit('""'), F.lit('"')), F.regexp_extract(c, quoted, 2)),
+    ).otherwise(c))
 
-    ``path`` may name many files: each one is a project and is read by a task of its own, so
-    its rows are numbered in the order they stand in it.
+
+def split_manifests(files: DataFrame) -> DataFrame:
+    """Each manifest by its own header: ``project_id, header, records, refused``.
+
+    ``files``: ``project_id, content``, one manifest a row; null content is an empty file,
+    which has no rows and is not refused. ``refused`` says why nothing of a manifest can be
+    used: a column that means nothing here (a typo), one named twice, none for the image, or
+    a row with more or fewer cells than the header.
+    """
+    text = F.regexp_replace(F.coalesce("content", F.lit("")), "^\\uFEFF", "")
+    records = F.filter(F.regexp_extract_all(text, F.lit(f"({_CELL}(?:,{_CELL})*+)"), 1), lambda r: r != "")
+    split = settle(files, {"every": F.transform(records, _cells)})
+    found = settle(split.select("project_id", "every"), {
+        "header": F.transform(F.coalesce(F.get("every", F.lit(0)), F.array().cast("array<string>")), lambda h: F.regexp_replace(h, r"^\s+|\s+$", "")),
+        "records": F.slice("every", F.lit(2), F.greatest(F.size("every"), F.lit(1))),
+    }).drop("every")
+    unknown = F.array_except("header", F.array(*[F.lit(c) for c in MANIFEST_COLUMNS]))
+    ragged = F.filter(F.transform("records", lambda r, i: F.when(F.size(r) != F.size("header"), i + 1)), lambda n: n.isNotNull())
+    refused = (
+        F.when(F.size("header") == 0, None)
+        .when(F.size(unknown) > 0, F.concat(F.lit("unknown columns: "), F.array_join(unknown, ", ")))
+        .when(F.size(F.array_distinct("header")) < F.size("header"), F.lit("a column is named twice"))
+        .when(~F.array_contains("header", "image"), F.lit("no image column"))
+        .when(F.size(ragged) > 0, F.concat(F.lit("cells missing or left over in row "), ragged[0].cast("string")))
+    )
+    return found.withColumn("refused", refused)
+
+
+def manifest_rows(split: DataFrame) -> DataFrame:
+    """Rows of the manifests that are not refused, numbered as they stand in their file."""
+    rows = split.filter("refused IS NULL").select("project_id", "header", F.posexplode("records").alias("at", "cells"))
+    named = [F.get("cells", (F.array_position("header", c) - 1).cast("int")).alias(c) for c in MANIFEST_COLUMNS]
+    return rows.select("project_id", (F.col("at") + 1).cast("bigint").alias("position"), *named)
+
+
+def refused_manifests(split: DataFrame) -> DataFrame:
+    """One row per manifest that nothing can be read from: ``project_id, refused``."""
+    return split.filter("refused IS NOT NULL").select("project_id", "refused")
+
+
+def read_manifests(spark: SparkSession, path: str, project_id: Column | None = None) -> DataFrame:
+    """Manifests under ``path``, each one project, ready for ``manifest_rows`` and ``refused_manifests``.
+
+    A file is one row, because quoted cells may hold line ends; a bad one hides no other.
+    ``project_id`` may use ``file``, the path of the manifest, which is also its default.
     """
-    header = spark.read.options(header="false", **CSV_OPTIONS).csv(path).first()
-    names = [h.strip() for h in header] if header else []
-    unknown = unknown_columns(names)
-    if unknown or "image" not in names:
-        raise ValueError(f"manifest {path}: unknown columns {unknown}" if unknown else f"manifest {path}: no image column")
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    rows = spark.read.schema(schema).options(header="true", enforceSchema="false", multiLine="true", **CSV_OPTIONS).csv(path)
-    rows = rows.select("*", F.col("_metadata.file_path").alias("_file"), F.monotonically_increasing_id().alias("_at"))
-    for missing in set(MANIFEST_COLUMNS) - set(names):
-        rows = rows.withColumn(missing, F.lit(None).cast("string"))
-    placed = numbered(rows, ["_file"], ["_at"], "position")
-    return placed.withColumn("project_id", project_id if project_id is not None else F.col("_file")).drop("_file", "_at")
+    files = spark.read.schema("value string").text(path, wholetext=True)
+    files = files.select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("content"))
+    named = files.select((project_id if project_id is not None else F.col("file")).alias("project_id"), "content")
+    return split_manifests(named)
 
 
 def parse_lines(lines: DataFrame) -> DataFrame:

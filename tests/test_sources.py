@@ -2,7 +2,6 @@
 
 import json
 
-import pytest
 from pyspark.sql import functions as F
 
 from sceneframe.operators import cache, catalog, problems, timeline
@@ -21,15 +20,22 @@ def test_assets_from_a_folder(spark, tmp_path):
 
 
 def test_manifest_reads_and_refuses(spark, tmp_path):
-    good = tmp_path / "scenes.csv"
-    good.write_text('image,text,duration\nimg\\001.jpg," Hello, ""you"" ",\n 002.png ,,soon\n,,3\n')
-    rows = manifest.drafts(manifest.read_manifest(spark, str(good), F.lit(7))).orderBy("position").collect()
-    assert [(r["id"], r["text"], r["duration"], r["unread_duration"]) for r in rows] == [
-        ("001", 'Hello, "you"', None, None), ("002", None, None, "soon"), ("row 3", None, 3.0, None)]
-    bad = tmp_path / "bad.csv"
-    bad.write_text("image,zoom_ancor\na.jpg,c\n")
-    with pytest.raises(ValueError, match="zoom_ancor"):
-        manifest.read_manifest(spark, str(bad))
+    files = {
+        "good": 'image,text,duration\nimg\\001.jpg," Hello, ""you"" ",\n 002.png ,,soon\n,,3\n',
+        "other": '\ufeffaudio_file , image\r\n\r\na.wav,"3\n.png"\r\n"",5" screen.png',
+        "typo": "image,zoom_ancor\na.jpg,c\n", "ragged": "image,text\na.jpg,b\nc.jpg\n", "twice": "image,image\na,b\n",
+        "blind": "text\nhello\n", "empty": "",
+    }
+    for name, content in files.items():
+        (tmp_path / f"{name}.csv").write_bytes(content.encode())
+    split = manifest.read_manifests(spark, str(tmp_path), F.regexp_extract("file", r"([^/]*)\.csv$", 1))
+    rows = manifest.drafts(manifest.manifest_rows(split)).orderBy("project_id", "position").collect()
+    assert [(r["project_id"], r["id"], r["text"], r["audio"], r["duration"], r["unread_duration"]) for r in rows] == [
+        ("good", "001", 'Hello, "you"', None, None, None), ("good", "002", None, None, None, "soon"), ("good", "row 3", None, None, 3.0, None),
+        ("other", "3\n", None, "a.wav", None, None), ("other", '5" screen', None, None, None, None)]
+    assert dict(map(tuple, manifest.refused_manifests(split).collect())) == {
+        "typo": "unknown columns: zoom_ancor", "ragged": "cells missing or left over in row 2", "twice": "a column is named twice",
+        "blind": "no image column"}
 
 
 def test_scripts_over_the_cap_are_refused_unread(spark, tmp_path):
