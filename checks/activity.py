@@ -206,6 +206,15 @@ register("run_outcomes", run_outcomes, """
       count(*) FILTER (scope = 'view') AS not_started, min(event_id) FILTER (scope = 'error') AS first_failure FROM f_event GROUP BY run_id""")
 
 
+def run_failures(spark, sf):
+    outcome = F.when(F.col("scope") == "error", "failed").otherwise("done")
+    return activity.run_failures(R.f_event(spark, sf).select("run_id", outcome.alias("outcome"), F.col("event_id").alias("scene"), F.col("message").alias("detail")))
+
+
+register("run_failures", run_failures, """
+    SELECT run_id, event_id AS scene, message AS detail, row_number() OVER (PARTITION BY run_id ORDER BY event_id) AS nth FROM f_event WHERE scope = 'error'""")
+
+
 def recent_projects(spark, sf):
     e = R.f_event(spark, sf)
     uses = e.select(F.concat(F.lit("/media/p"), F.col("run_id").cast("string")).alias("path"), F.concat(F.lit("p"), F.col("scope")).alias("name"), "at")

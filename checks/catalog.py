@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from checks import relations as R
 from checks.registry import register
+from checks.relations_sql import RELATIONS
 from sceneframe.operators import arrange, catalog, pairing
 
 
@@ -83,20 +84,20 @@ register("next_number", lambda s, d: catalog.next_numbers(R.f_asset(s, d)), """
     FROM (SELECT *, CASE WHEN regexp_full_match(stem, '[0-9]+') THEN CAST(stem AS BIGINT) END AS n FROM kinded) GROUP BY project_id""")
 
 
-def unlisted_images(spark, sf):
-    """Manifest cells for the assets whose size is even, written in several spellings."""
+def listed_cells(spark, sf):
+    """Assets, and manifest cells for the assets whose size is even, written in several spellings."""
     a = R.f_asset(spark, sf)
     cell = (
         F.when(F.col("bytes") % 6 == 0, F.concat(F.lit("./"), "name"))
         .when(F.col("bytes") % 6 == 2, F.concat(F.lit("old\\..\\"), "name")).otherwise(F.col("name"))
     )
-    drafts = a.select("project_id", F.when(F.col("bytes") % 2 == 0, cell).alias("image"))
-    return catalog.unlisted_images(a, drafts)
+    return a, a.select("project_id", F.when(F.col("bytes") % 2 == 0, cell).alias("image"))
 
 
-register("unlisted_images", unlisted_images, """
+RELATIONS["unlisted"] = """
     SELECT project_id, file_no, name FROM kinded k WHERE kind = 'image'
-      AND NOT EXISTS (SELECT 1 FROM f_asset a WHERE a.project_id = k.project_id AND a.name = k.name AND a.bytes % 2 = 0)""")
+      AND NOT EXISTS (SELECT 1 FROM f_asset a WHERE a.project_id = k.project_id AND a.name = k.name AND a.bytes % 2 = 0)"""
+register("unlisted_images", lambda s, d: catalog.unlisted_images(*listed_cells(s, d)), "SELECT * FROM unlisted")
 
 
 def owned_names(spark, sf):

@@ -74,6 +74,10 @@ register("speech_needed", lambda s, d: cache.speech_needed(_plan(s, d), R.f_stor
     SELECT provider, count(*) AS scenes FROM f_plan WHERE kind = 'tts' AND key NOT IN (SELECT key FROM f_stored) GROUP BY provider""")
 
 
+register("speech_ready", lambda s, d: cache.speech_ready(_plan(s, d), R.f_stored(s, d)), """
+    SELECT film_id, scene, kind <> 'tts' OR key IN (SELECT key FROM f_stored) AS ready FROM f_plan""")
+
+
 def _live(spark, sf):
     return R.f_plan(spark, sf).filter("scene <= 1").select("film_id", "key")
 

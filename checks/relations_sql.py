@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 
+from sceneframe import constants as C
+
 RELATIONS: dict[str, str] = {
     "line_pos": """
         SELECT l_orderkey, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_shipdate,
@@ -150,6 +152,17 @@ RELATIONS: dict[str, str] = {
         FROM events""",
 }
 
+_DRAWN = "".join(f"\\x{{{a:04X}}}-\\x{{{b:04X}}}" for a, b in C.DRAWN_RANGES)
+RELATIONS["undrawn"] = f"""
+    WITH chars AS (SELECT doc_id // 10 AS film_id, doc_id AS scene, unnest(cs) AS ch, unnest(range(len(cs))) AS cpos FROM (
+        SELECT doc_id, str_split(regexp_replace(line, '[{_DRAWN}]+', '', 'g'), '') AS cs FROM f_written)),
+    kept AS (SELECT * FROM chars WHERE ch <> ''),
+    firsts AS (SELECT film_id, ch, min(scene * 1000000 + cpos) AS o FROM kept GROUP BY ALL),
+    named AS (SELECT film_id, string_agg(ch, ' ' ORDER BY o) AS characters FROM (
+        SELECT * FROM firsts QUALIFY row_number() OVER (PARTITION BY film_id ORDER BY o) <= 8) GROUP BY film_id)
+    SELECT k.film_id, count(DISTINCT scene) AS scenes, min(scene) AS first, any_value(characters) AS characters
+    FROM kept k JOIN named n ON n.film_id = k.film_id GROUP BY k.film_id"""
+
 
 def oracle(sql: str) -> str:
     """``sql`` with the relations it names, and those they name, put in front as CTEs."""

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from checks import relations as R
-from checks.catalog import SLOTS_SQL
+from checks.catalog import SLOTS_SQL, listed_cells
 from checks.registry import register
 from checks.relations_sql import RELATIONS
 from sceneframe.operators import problems, stills
+from sceneframe.operators.catalog import scene_slots
 from sceneframe.plans import validate
 from sceneframe.sources import manifest, settings
 
@@ -317,15 +321,49 @@ RELATIONS["all_problem"] = f"""
     UNION ALL SELECT 'manifest', project_id, id, position, 'unusable_setting', 'error', 'duration:' || unread_duration FROM m_draft WHERE unread_duration IS NOT NULL
     UNION ALL SELECT 'manifest', project_id, id, position, 'path_missing', 'error', field || ':' || cell FROM m_path p
       WHERE NOT bad_id AND NOT EXISTS (SELECT 1 FROM m_file m WHERE m.project_id = p.project_id AND m.path = p.path)
+    UNION ALL SELECT 'folder', project_id, NULL, NULL, 'interrupted_rename', 'error', CAST(count(*) AS VARCHAR) FROM f_asset WHERE file_no % 9 IN (0, 1) GROUP BY project_id
+    UNION ALL SELECT 'folder', s.project_id, NULL, NULL, 'not_usable_media', 'error', 'text:' || s.text || CASE a.file_no % 5 WHEN 0 THEN ':not_utf8' ELSE ':too_large' END
+      FROM fl s JOIN f_asset a ON a.project_id = s.project_id AND a.name = s.text WHERE (images > 0 OR waiting) AND a.file_no % 5 IN (0, 1)
+    UNION ALL SELECT 'manifest', project_id, NULL, NULL, 'unlisted_image', 'warn', name FROM unlisted
+    UNION ALL SELECT 'manifest', film_id, NULL, NULL, 'undrawable_caption', 'warn', scenes || ':s' || first || ':' || characters FROM undrawn
+      WHERE film_id IN (SELECT project_id FROM s_clean WHERE subtitles)
     UNION ALL SELECT 'settings', project_id, NULL, NULL, 'unusable_setting', 'error', field || ':' || value FROM s_problem
     UNION ALL SELECT 'stills', project_id, NULL, NULL, 'undersized_sources', 'warn', scenes || ':' || total || ':' || smallest FROM st_small"""
 
 
+def _renaming(spark, sf):
+    """Names of assets, some of them as an unfinished renumbering leaves them."""
+    name = F.when(F.col("file_no") % 9 == 0, F.concat(F.lit(".arranging-"), "name")).when(
+        F.col("file_no") % 9 == 1, F.concat(F.lit(".removing-"), "name")).otherwise(F.concat(F.lit("arranging-"), "name"))
+    return R.f_asset(spark, sf).select("project_id", name.alias("name"))
+
+
+def _scripts(spark, sf):
+    """Every asset as a script read or refused."""
+    return R.f_asset(spark, sf).select("project_id", "name", F.when(F.col("file_no") % 5 == 0, "not_utf8").when(F.col("file_no") % 5 == 1, "too_large").alias("problem"))
+
+
+def _captions(spark, sf):
+    """Lines of documents as the captions of ten-scene projects."""
+    return R.f_written(spark, sf).select(
+        F.floor(F.col("doc_id") / 10).alias("project_id"), F.concat(F.lit("s"), F.col("doc_id").cast("string")).alias("scene_id"),
+        F.col("doc_id").alias("position"), F.col("line").alias("caption_text"))
+
+
 def _report(spark, sf):
+    set_up = settings.resolve(R.f_settings(spark, sf))
+    folder = [
+        validate.folder_problems(R.f_asset(spark, sf)), validate.interrupted_problems(_renaming(spark, sf)),
+        validate.unreadable_problems(scene_slots(R.f_asset(spark, sf)), _scripts(spark, sf)),
+    ]
+    listed = [
+        validate.manifest_problems(_drafts(spark, sf), _files(spark, sf)), validate.unlisted_problems(*listed_cells(spark, sf)),
+        validate.undrawable_problems(_captions(spark, sf), set_up.filter("subtitles")),
+    ]
     return validate.report(
-        folder=validate.folder_problems(R.f_asset(spark, sf)),
-        manifest=validate.manifest_problems(_drafts(spark, sf), _files(spark, sf)),
-        settings=validate.setting_problems(settings.setting_problems(settings.resolve(R.f_settings(spark, sf)))),
+        folder=reduce(DataFrame.unionByName, folder),
+        manifest=reduce(DataFrame.unionByName, listed),
+        settings=validate.setting_problems(settings.setting_problems(set_up)),
         stills=validate.still_problems(R.f_still(spark, sf), F.lit("16:9"), F.lit(1920), F.lit(1080)),
     )
 

@@ -107,6 +107,15 @@ def run_outcomes(outcomes: DataFrame) -> DataFrame:
     )
 
 
+def run_failures(outcomes: DataFrame) -> DataFrame:
+    """Every failure of a run with its detail, numbered in scene order. Takes ``scene, outcome, detail``.
+
+    A cancelled run's failures are kept too; ``run_outcomes`` counts what was not started.
+    """
+    failed = outcomes.filter("outcome = 'failed'").select("run_id", "scene", "detail")
+    return numbered(failed, ["run_id"], ["scene", "detail"], "nth")
+
+
 def recent_projects(uses: DataFrame, limit: int = C.RECENT_PROJECTS) -> DataFrame:
     """The projects used last, latest first. Takes ``path, name, at``."""
     latest = uses.groupBy("path").agg(F.max_by("name", F.struct("at", "name")).alias("name"), F.max("at").alias("at"))

@@ -57,6 +57,12 @@ def speech_needed(plan: DataFrame, stored: DataFrame) -> DataFrame:
     return wanted.groupBy("provider").agg(F.count(F.lit(1)).alias("scenes"))
 
 
+def speech_ready(plan: DataFrame, stored: DataFrame) -> DataFrame:
+    """Whether each scene can be heard now: not spoken at all, or spoken and in the store."""
+    return cache_plan(plan, stored).select(
+        "film_id", "scene", ((F.col("kind") != "tts") | F.col("reused")).alias("ready"))
+
+
 def retention(stored: DataFrame, live: DataFrame) -> DataFrame:
     """Stored files of one cache that are not in use, and which of them a sweep removes.
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from sceneframe.functions import naming as N
 from sceneframe.functions.settle import settle
-from sceneframe.operators import catalog, problems, stills
+from sceneframe.operators import captions, catalog, problems, stills
 from sceneframe.operators.ordered import scan, with_totals
 
 _COLUMNS = ["project_id", "scene_id", "position", "kind", "detail", "none_pictured"]
@@ -127,6 +127,40 @@ def still_problems(measured: DataFrame, aspect: Column, width: Column, height: C
     return _rows(small, "undersized_sources", detail)
 
 
+def interrupted_problems(files: DataFrame) -> DataFrame:
+    """What an unfinished renumbering left in a project, counted. ``files``: ``project_id, name``."""
+    left = files.filter(F.col("name").rlike(r"^\.(arranging|removing)-")).groupBy("project_id").agg(F.count(F.lit(1)).alias("files"))
+    return _rows(left, "interrupted_rename", F.col("files"))
+
+
+def unreadable_problems(slots: DataFrame, scripts: DataFrame) -> DataFrame:
+    """Texts of scenes that cannot be read. ``scripts``: ``project_id, name, problem``.
+
+    A text that belongs to no scene is an unpaired file, whatever is in it.
+    """
+    scenes = slots.filter((F.col("images") > 0) | N.scene_number(F.col("scene_id")).isNotNull())
+    bad = scripts.filter("problem IS NOT NULL").select("project_id", F.col("name").alias("text"), "problem")
+    found = scenes.select("project_id", "text").join(bad, ["project_id", "text"])
+    return _rows(found, "not_usable_media", F.concat_ws(":", F.lit("text"), "text", "problem"))
+
+
+def unlisted_problems(assets: DataFrame, drafts: DataFrame) -> DataFrame:
+    """Pictures that a manifest project holds and no row of it names."""
+    return _rows(catalog.unlisted_images(assets, drafts), "unlisted_image", F.col("name"))
+
+
+def undrawable_problems(scenes: DataFrame, subtitled: DataFrame) -> DataFrame:
+    """Captions with characters that no caption face draws, one row per project.
+
+    ``scenes``: ``project_id, scene_id, position, caption_text``. Only projects of
+    ``subtitled`` (``project_id``) draw their captions.
+    """
+    drawn = scenes.join(subtitled.select("project_id").distinct(), "project_id", "left_semi").filter("caption_text IS NOT NULL")
+    texts = drawn.select(F.col("project_id").alias("film_id"), F.struct("position", "scene_id").alias("scene"), F.col("caption_text").alias("text"))
+    found = captions.undrawable(texts).withColumnRenamed("film_id", "project_id")
+    return _rows(found, "undrawable_caption", F.concat_ws(":", F.col("scenes").cast("string"), F.col("first.scene_id"), "characters"))
+
+
 def report(**by_mode: DataFrame) -> DataFrame:
     """All problems with their severity, each in its place in its project's report."""
     tagged = [df.withColumn("mode", F.lit(mode)) for mode, df in by_mode.items()]
