@@ -14,8 +14,8 @@ from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import CountVectorizer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
+from sceneframe.functions.settle import settle as once
 from sceneframe.llm.common import settle
 
 UNKNOWN = "unknown"
@@ -23,6 +23,10 @@ UNKNOWN = "unknown"
 MOST_NEGATIVES, MOST_CHARS = 2_000, 2_000
 #: A family is given where its calibrated probability and template likeness reach these.
 LEAST_PROBABILITY, LEAST_LIKENESS = 0.5, 0.6
+#: Neighbouring lines that are read as one unit besides lines and blocks; the share of a
+#: template's word pairs that a unit of several lines needs; words of a template that is a
+#: title, and its least share of a line.
+WINDOW_LINES, LEAST_ORDER, TITLE_WORDS, LEAST_FILLED = (2, 3, 4), 0.5, 3, 0.5
 
 #: How each family is announced; the wordings in common use.
 TEMPLATES = [
@@ -52,6 +56,33 @@ TEMPLATES = [
     ("cc-by-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("cc0-1.0", "Dedicated to the public domain under CC0 1.0 Universal."),
     ("unlicense", "This is free and unencumbered software released into the public domain."),
+    # Headers that are put over source files.
+    ("gpl-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License, either version 3 of the License."),
+    ("gpl-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License; either version 2 of the License."),
+    ("lgpl", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License; either version 2.1 of the License."),
+    ("agpl-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License, either version 3 of the License."),
+    # Titles of the texts.
+    ("apache-2.0", "Apache License"),
+    ("apache-2.0", "Apache License Version 2.0"),
+    ("mit", "MIT License"),
+    ("gpl-3.0", "GNU General Public License Version 3"),
+    ("gpl-2.0", "GNU General Public License Version 2"),
+    ("lgpl", "GNU Lesser General Public License Version 2.1"),
+    ("lgpl", "GNU Lesser General Public License Version 3"),
+    ("agpl-3.0", "GNU Affero General Public License Version 3"),
+    ("bsd", "BSD 3-Clause License"),
+    ("bsd", "BSD 2-Clause License"),
+    ("mpl-2.0", "Mozilla Public License Version 2.0"),
+    ("cc0-1.0", "CC0 1.0 Universal"),
+] + [
+    (family, f"SPDX-License-Identifier: {name}")
+    for family, names in [
+        ("apache-2.0", "Apache-2.0"), ("mit", "MIT"), ("gpl-3.0", "GPL-3.0 GPL-3.0-only GPL-3.0-or-later"), ("gpl-2.0", "GPL-2.0 GPL-2.0-only GPL-2.0-or-later"),
+        ("lgpl", "LGPL-2.1 LGPL-2.1-only LGPL-2.1-or-later LGPL-3.0-only LGPL-3.0-or-later"), ("agpl-3.0", "AGPL-3.0 AGPL-3.0-only AGPL-3.0-or-later"),
+        ("bsd", "BSD-2-Clause BSD-3-Clause"), ("mpl-2.0", "MPL-2.0"), ("cc-by-nc-4.0", "CC-BY-NC-4.0"), ("cc-by-sa-4.0", "CC-BY-SA-4.0"), ("cc-by-4.0", "CC-BY-4.0"),
+        ("cc0-1.0", "CC0-1.0"), ("unlicense", "Unlicense"),
+    ]
+    for name in names.split()
 ]
 
 #: Sentences that sound like licences and are none.
@@ -183,16 +214,92 @@ def anchors(templates=TEMPLATES, least: float = LEAST_LIKENESS) -> list[str]:
         chosen.add(min(gain, key=lambda w: (w in _COMMON or len(w) < 3, -gain[w], w)))
 
 
+def _pairs(found: Column) -> Column:
+    return F.zip_with(F.slice(found, 1, F.greatest(F.size(found) - 1, F.lit(0))), F.slice(found, 2, F.greatest(F.size(found) - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
+
+
+def seeds(templates=TEMPLATES, least: float = LEAST_ORDER) -> list[str]:
+    """Words one of which every text has that holds ``least`` of some template's word pairs; titles apart."""
+    left = []
+    for _, text in templates:
+        of = re.findall(r"[a-z0-9]+(?:[.\-]+[a-z0-9]+)*", text.lower())
+        if len(set(of)) > TITLE_WORDS:
+            made = set(zip(of, of[1:]))
+            left.append((made, least * len(made)))
+    chosen: set[str] = set()
+    while True:
+        gain = Counter(w for made, most in left if len(made) >= most for pair in made for w in set(pair))
+        if not gain:
+            return sorted(chosen)
+        # Of the common words the longest, which are the rarest.
+        word = min(gain, key=lambda w: (w in _COMMON or len(w) < 3, -len(w) if w in _COMMON or len(w) < 3 else -gain[w], w))
+        chosen.add(word)
+        left = [({p for p in made if word not in p}, most) for made, most in left]
+
+
+def units(rows: DataFrame, marked, seeded, every: Column) -> DataFrame:
+    """``id, doc, line_no, n_lines, w, known`` of what is read as one notice.
+
+    That is every ``marked`` line; every 2 to 4 neighbouring lines, blank ones left out of
+    the count, and every longer block between lines without a letter or digit, if a line of
+    it is ``seeded``. ``w`` are the words and ``known`` those of ``every``; ``doc`` is the
+    sha256 of the whole text. All is cut inside the row, so lines are never joined to lines.
+    """
+    whole = once(rows, {"_lines": F.split("text", r"\n"), "doc": F.sha2("text", 256)}).drop("text")
+    told = F.transform("_lines", lambda t, i: F.struct(i.alias("at"), t.alias("text"), marked(t).alias("marked"), seeded(t).alias("seeded")))
+    whole = once(whole, {"_told": told}).drop("_lines").filter(F.exists("_told", lambda x: x["marked"] | x["seeded"]))
+    alone = F.transform(F.filter("_told", lambda x: x["marked"]), lambda x: F.struct(x["at"].alias("line_no"), F.lit(1).alias("n_lines"), words(x["text"]).alias("w")))
+    singles = whole.select("id", "doc", F.inline(alone))
+
+    # Only rows with a seed go on to several lines; blank lines are left out of them.
+    several = whole.filter(F.exists("_told", lambda x: x["seeded"]))
+    several = once(several, {"_full": F.filter("_told", lambda x: x["text"].rlike("[A-Za-z0-9]"))}).drop("_told")
+    spots = F.filter(F.transform("_full", lambda x, i: F.when(x["seeded"], i)), lambda i: i.isNotNull())
+    # A block begins at a line that the one before does not reach, and ends where the next begins.
+    opens = F.filter(F.transform("_full", lambda x, i: F.when((i == 0) | (F.get("_full", i - 1)["at"] < x["at"] - 1), i)), lambda i: i.isNotNull())
+    several = once(several, {"_spots": spots, "_opens": opens, "_size": F.size("_full")})
+
+    def around(i: Column, n: int) -> Column:
+        return F.transform(F.sequence(i - n + 1, i), lambda f: F.struct(f.alias("first"), F.lit(n).alias("n")))
+
+    windows = F.array_distinct(F.flatten(F.transform("_spots", lambda i: F.flatten(F.array(*[around(i, n) for n in WINDOW_LINES])))))
+    windows = F.filter(windows, lambda w: (w["first"] >= 0) & (w["first"] + w["n"] <= F.col("_size")))
+    blocks = F.filter(
+        F.transform("_opens", lambda f, i: F.struct(f.alias("first"), (F.coalesce(F.get("_opens", i + 1), F.col("_size")) - f).alias("n"))),
+        lambda w: (w["n"] > WINDOW_LINES[-1]) & F.exists(F.slice("_full", w["first"] + 1, w["n"]), lambda x: x["seeded"]),
+    )
+    several = once(several, {"_cuts": F.concat(windows, blocks)})
+
+    def unit(w: Column) -> Column:
+        first, last = F.get("_full", w["first"])["at"], F.get("_full", w["first"] + w["n"] - 1)["at"]
+        text = F.concat_ws("\n", F.transform(F.slice("_full", w["first"] + 1, w["n"]), lambda x: x["text"]))
+        return F.struct(first.alias("line_no"), (last - first + 1).alias("n_lines"), words(text).alias("w"))
+
+    several = several.select("id", "doc", F.inline(F.transform("_cuts", unit)))
+    return once(singles.unionByName(several), {"known": F.array_intersect("w", every)})
+
+
+def _apart(found: Column) -> Column:
+    """Units, best first, without those that overlap one taken before."""
+    def free(taken: Column, u: Column) -> Column:
+        return ~F.exists(taken, lambda t: (t["line_no"] < u["line_no"] + u["n_lines"]) & (u["line_no"] < t["line_no"] + t["n_lines"]))
+    return F.aggregate(found, F.filter(found, lambda u: F.lit(False)), lambda taken, u: F.when(free(taken, u), F.concat(taken, F.array(u))).otherwise(taken))
+
+
 def scan_licences(docs: DataFrame, templates=TEMPLATES, model: tuple[list[tuple], list[tuple]] | None = None, least_probability: float = LEAST_PROBABILITY, least_likeness: float = LEAST_LIKENESS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per id of ``docs``: ``family``, ``probability``, ``likeness``, ``notices``.
 
-    A paragraph is a line. Lines that hold an anchor word (`anchors`: without one no template
-    confirms the line) are scored by their n-grams; softmax gives each family and the unknown class a
-    probability. The best family counts where it beats the unknown class, reaches
-    ``least_probability`` and a template of it shares at least ``least_likeness`` of its
-    words with the line. ``notices`` lists (line_no, family, probability, likeness) in line
-    order; the other columns are those of the likeliest notice, ``unknown``, null and null
-    without any. The texts without an anchor are read once and never moved.
+    Lines, windows of 2 to 4 lines and blocks (`units`) that hold an anchor word (`anchors`:
+    without one no template confirms the unit) and share at least ``least_likeness`` of some
+    template's words are scored by their n-grams; softmax gives each family and the unknown
+    class a probability. The best family counts where it beats the unknown class, reaches
+    ``least_probability`` and is that of such a template. A unit of several lines needs half
+    of the template's word pairs too, so that long texts do not gather a template's words by
+    chance; a template of up to three words confirms only a line that it fills by half. Of
+    units that overlap the likest counts, the shorter one if they are alike, and blocks last. ``notices`` lists (line_no, family,
+    probability, likeness) by first line; the other columns are those of the likeliest
+    notice, ``unknown``, null and null without any. The texts without an anchor are read
+    once and never moved.
 
     Null and empty texts have no notice. Rows that repeat an id are put together under it;
     null ids under one null row. Other columns are ignored; an empty table gives an empty
@@ -205,33 +312,53 @@ def scan_licences(docs: DataFrame, templates=TEMPLATES, model: tuple[list[tuple]
     marks = F.array(*[F.lit(a) for a in words_in])
     parts = F.array(*[F.lit(p) for p in sorted({max(re.split(r"[.\-]+", a), key=len) for a in words_in})])
 
-    def coarse(text: Column) -> Column:
-        return F.arrays_overlap(F.split(F.lower(text), "[^a-z0-9]+"), parts)
+    grown = F.array(*[F.lit(p) for p in sorted({max(re.split(r"[.\-]+", a), key=len) for a in seeds(templates)})])
+    both = F.array_distinct(F.concat(parts, grown))
+
+    def coarse(of: Column):
+        return lambda text: F.arrays_overlap(F.split(F.lower(text), "[^a-z0-9]+"), of)
 
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    lines = paragraphs(rows.filter(coarse(F.col("text"))), "id", "text").filter(coarse(F.col("text")))
-    lines = lines.withColumn("w", words(F.col("text"))).filter(F.arrays_overlap("w", marks))
-    # Lines of one row are told apart by number, lines of repeated ids by their text as well.
-    lines = settle(lines.groupBy("id", "line_no", "text").agg(F.first("w").alias("w")).withColumn("key", F.struct("id", "line_no", F.sha2("text", 256).alias("sha"))))
-    scored = _scores(lines.select("key", ngrams(F.col("w")).alias("grams")), weights, biases, ["key"])
+    # The templates are few: their words are constants, so a unit is confirmed where it is read.
+    known = [(r["family"], r["w"]) for r in _template_table(spark, templates).withColumn("w", words(F.col("text"))).collect()]
+    every = F.array(*[F.lit(w) for w in sorted({w for _, of in known for w in of})])
+    pairs = F.array(*[F.lit(g) for g in sorted({f"{a} {b}" for _, of in known for a, b in zip(of, of[1:])} | {""})])
+    of = F.array(*[
+        F.struct(
+            F.lit(f).alias("family"), F.array(*[F.lit(x) for x in dict.fromkeys(w)]).alias("words"),
+            F.array(*[F.lit(x) for x in dict.fromkeys([f"{a} {b}" for a, b in zip(w, w[1:])] or w)]).alias("pairs"),
+        ) for f, w in known
+    ])
+    cut = units(rows.filter(coarse(both)(F.col("text"))), coarse(parts), coarse(grown), every).filter(F.arrays_overlap("known", marks) | (F.col("n_lines") > 1))
+    shared = F.transform(of, lambda t: F.struct(t["family"].alias("family"), F.size(F.array_intersect(t["words"], F.col("known"))).alias("n"), F.size(t["words"]).alias("of"), t["pairs"].alias("pairs")))
+    cut = once(cut, {"_like": F.filter(shared, lambda t: t["n"] / t["of"] >= least_likeness)}).filter("size(_like) > 0")
+    cut = once(cut, {"_pairs": F.when(F.col("n_lines") > 1, F.array_intersect(_pairs(F.col("w")), pairs)), "_size": F.size(F.array_distinct("w"))})
+    holds = F.filter("_like", lambda t: F.when(
+        F.col("n_lines") > 1, (t["of"] > TITLE_WORDS) & (F.size(F.array_intersect(t["pairs"], F.col("_pairs"))) >= LEAST_ORDER * F.size(t["pairs"]))
+    ).otherwise((t["of"] > TITLE_WORDS) | (t["n"] >= LEAST_FILLED * F.col("_size"))))
+    cut = once(cut, {"like": F.transform(holds, lambda t: F.struct(t["family"].alias("family"), (t["n"] / t["of"]).alias("likeness")))}).filter("size(like) > 0")
+    # Units of one row are told apart by number, those of repeated ids by their text as well.
+    key = F.struct("id", "doc", "line_no", "n_lines")
+    cut = settle(cut.select(key.alias("key"), "w", "like").dropDuplicates(["key"]))
+    scored = _scores(cut.select("key", ngrams(F.col("w")).alias("grams")), weights, biases, ["key"])
     top = F.array_max(F.transform("scores", lambda s: s["score"]))
     total = F.aggregate("scores", F.lit(0.0), lambda a, s: a + F.exp(s["score"] - top))
     best = F.array_max(F.transform("scores", lambda s: F.struct(s["score"].alias("score"), s["family"].alias("family"))))
     likely = scored.select("key", best["family"].alias("family"), (F.lit(1.0) / total).alias("probability")).filter(
         (F.col("family") != UNKNOWN) & (F.col("probability") >= least_probability)
     )
-    known = _template_table(spark, templates).select("family", F.array_distinct(words(F.col("text"))).alias("words_of"))
-    shared = F.size(F.array_intersect("words_of", "w")) / F.size("words_of")
-    confirmed = (
-        likely.join(lines.select("key", "w"), "key").join(F.broadcast(known), "family")
-        .groupBy("key", "family", "probability").agg(F.max(shared).alias("likeness")).filter(F.col("likeness") >= least_likeness)
-    )
-    notice = F.struct(F.col("key.line_no").alias("line_no"), "family", "probability", "likeness")
-    of = confirmed.groupBy(F.col("key.id").alias("_id")).agg(
-        F.sort_array(F.collect_list(notice)).alias("notices"), F.max(F.struct("probability", "likeness", "family")).alias("top")
+    likeness = F.array_max(F.transform(F.filter("like", lambda t: t["family"] == F.col("family")), lambda t: t["likeness"]))
+    confirmed = likely.join(cut.select("key", "like"), "key").withColumn("likeness", likeness).filter("likeness is not null")
+    ranked = F.struct(
+        (F.col("key.n_lines") > WINDOW_LINES[-1]).alias("block"), (-F.col("likeness")).alias("unlike"), F.col("key.n_lines").alias("n_lines"),
+        (-F.col("probability")).alias("unlikely"), F.col("key.line_no").alias("line_no"), F.col("family"), F.col("probability"), F.col("likeness"),
     )
+    per_row = confirmed.groupBy(F.col("key.id").alias("_id"), F.col("key.doc").alias("doc")).agg(F.sort_array(F.collect_list(ranked)).alias("found"))
+    notice = F.struct("line_no", "family", "probability", "likeness")
+    notices = per_row.select("_id", F.inline(_apart(F.col("found")))).select("_id", "line_no", "family", "probability", "likeness").distinct()
+    by_id = notices.groupBy("_id").agg(F.sort_array(F.collect_list(notice)).alias("notices"), F.max(F.struct("probability", "likeness", "family")).alias("top"))
     ids = rows.select("id").distinct()
-    return ids.join(of, ids["id"].eqNullSafe(of["_id"]), "left").select(
+    return ids.join(by_id, ids["id"].eqNullSafe(by_id["_id"]), "left").select(
         F.col("id").alias(id_col), F.coalesce("top.family", F.lit(UNKNOWN)).alias("family"), F.col("top.probability").alias("probability"),
         F.col("top.likeness").alias("likeness"),
         F.coalesce("notices", F.array().cast("array<struct<line_no:int,family:string,probability:double,likeness:double>>")).alias("notices"),

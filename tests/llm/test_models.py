@@ -126,3 +126,30 @@ def test_no_template_confirms_a_line_without_an_anchor():
     for _, text in licences.TEMPLATES:
         of = set(re.findall(r"[a-z0-9]+(?:[.\-]+[a-z0-9]+)*", text.lower()))
         assert len(of - marks) < licences.LEAST_LIKENESS * len(of)
+
+
+WRAPPED = {
+    "Copyright (c) 2020 Someone\n\nPermission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction, including without limitation the rights\nto use, copy, modify, merge, publish, distribute, sublicense, and/or sell\ncopies of the Software.": "mit",
+    "#include <x.h>\n/*\n * This program is free software: you can redistribute it and/or modify\n * it under the terms of the GNU General Public License as published by\n * the Free Software Foundation, either version 3 of the License, or\n * (at your option) any later version.\n */\nint main;": "gpl-3.0",
+    "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:\n\n1. Redistributions keep this.": "bsd",
+    "Permission is hereby granted,\nfree of charge, to any person\nobtaining a copy of this software\nand associated documentation\nfiles, to deal in the Software\nwithout restriction.": "mit",
+    "                                 Apache License\n                           Version 2.0, January 2004\n                        http://www.apache.org/licenses/": "apache-2.0",
+    "MIT License\n\nCopyright (c) 2021 Someone": "mit",
+    "// SPDX-License-Identifier: Apache-2.0\nint main;": "apache-2.0",
+    "# SPDX-License-Identifier: GPL-2.0-only": "gpl-2.0",
+    "GNU GENERAL PUBLIC LICENSE\n  Version 3, 29 June 2007": "gpl-3.0",
+    "the driver has\na license that the\ngeneral public can see": "unknown",
+    "She took a general view of the public and went\nto the software fair without any\npermission of the school": "unknown",
+}
+
+
+def test_licences_over_several_lines(spark, labelled):
+    model = licences.train(labelled[0])
+    table = spark.createDataFrame(list(enumerate(WRAPPED)), "doc_id bigint, text string")
+    got = {r.doc_id: r for r in licences.scan_licences(table, model=model).collect()}
+    assert [got[i].family for i in range(len(WRAPPED))] == list(WRAPPED.values())
+    # Two notices of one row are two, and a notice is told once.
+    first, second = list(WRAPPED)[0], list(WRAPPED)[2]
+    both = spark.createDataFrame([(1, f"{first}\n\n{second}"), (1, f"{first}\n\n{second}"), (2, "x\nReleased under the MIT License.\ny")], "doc_id bigint, text string")
+    got = {r.doc_id: [n.family for n in r.notices] for r in licences.scan_licences(both, model=model).collect()}
+    assert got == {1: ["mit", "bsd"], 2: ["mit"]}
