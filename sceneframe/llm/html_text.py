@@ -16,6 +16,8 @@ from sceneframe.llm.common import in_pieces, record, text_bytes
 
 # Elements whose content is never text of the page.
 _RAW = frozenset(["script", "style", "template", "noscript", "svg", "math", "iframe", "object", "canvas", "textarea", "title", "select", "button", "audio", "video"])
+# Those whose content is text to the browser: without an end tag they run to the end of the page.
+_TO_END = frozenset(["script", "style", "textarea", "title"])
 _VOID = frozenset(["area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"])
 _INLINE = frozenset(
     ["a", "abbr", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "s", "samp",
@@ -71,6 +73,20 @@ def blocks(page: str) -> list[Block]:
             if in_link:
                 linked += len(text.split())
 
+    ends: dict[str, dict[int, int]] = {}
+
+    def end_of(name: str, start: int) -> int | None:
+        """Where the element that opens at ``start`` ends; an end tag belongs to the last one open."""
+        if name not in ends:
+            of, opened = ends.setdefault(name, {}), []
+            for tag in re.compile(rf"<(/?){re.escape(name)}(?=[\s/>]|\Z)[^>]*>?", re.I).finditer(page, start):
+                if not tag[1]:
+                    if not tag[0].endswith("/>"):
+                        opened.append(tag.start())
+                elif opened:
+                    of[opened.pop()] = tag.end()
+        return ends[name].get(start)
+
     at = 0
     while True:
         found = _TAG.search(page, at)
@@ -87,8 +103,12 @@ def blocks(page: str) -> list[Block]:
         closing, rest = bool(found[1] or found[4]), found[3] or found[6] or ""
         if name in _RAW and not closing:
             if not rest.endswith("/"):
-                stop = re.compile(rf"</{re.escape(name)}\b[^>]*>?", re.I).search(page, at)
-                at = stop.end() if stop else len(page)
+                if name in _TO_END:
+                    stop = re.compile(rf"</{re.escape(name)}\b[^>]*>?", re.I).search(page, at)
+                    at = stop.end() if stop else len(page)
+                else:
+                    # Without an end tag of its own it hides nothing: the page goes on after it.
+                    at = max(at, end_of(name, found.start()) or at)
             if name not in ("button", "svg", "math"):
                 continue
             parts.append(" ")

@@ -153,3 +153,15 @@ def test_licences_over_several_lines(spark, labelled):
     both = spark.createDataFrame([(1, f"{first}\n\n{second}"), (1, f"{first}\n\n{second}"), (2, "x\nReleased under the MIT License.\ny")], "doc_id bigint, text string")
     got = {r.doc_id: [n.family for n in r.notices] for r in licences.scan_licences(both, model=model).collect()}
     assert got == {1: ["mit", "bsd"], 2: ["mit"]}
+
+
+ARTICLE = "<article><h1>A title</h1><p>" + "word " * 40 + "end.</p></article>"
+
+
+@pytest.mark.parametrize("tag", ["button", "select", "object", "canvas", "audio", "video", "svg", "math", "iframe", "noscript", "template"])
+def test_an_unclosed_element_hides_no_text(tag):
+    tree = html_text.grow_tree(html_text.LABELLED)
+    for page in (f"<body><{tag}>Share{ARTICLE}", f"<body><{tag} class=x>{ARTICLE}<p>more</p><{tag}>gone</{tag}>"):
+        assert html_text.main_text(page, tree).endswith("end."), page
+    closed = html_text.main_text(f"<article><p>{'word ' * 30}</p><{tag}><{tag}>gone</{tag}>gone</{tag}><p>kept too</p></article>", tree)
+    assert "gone" not in closed and closed.endswith("kept too")
