@@ -24,6 +24,12 @@ _INLINE = frozenset(
      "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "ruby", "rt", "rp", "picture", "nobr"])
 _MAIN = frozenset(["article", "main"])
 _SIDE = frozenset(["nav", "footer", "aside", "form", "menu", "dialog", "fieldset"])
+# Boilerplate whatever it holds; the other kinds may be wrapped around a whole page.
+_ALWAYS = frozenset(["nav", "footer", "aside", "menu", "dialog"])
+_TALK = re.compile(r"(?:^|[\s_\-])(?:comment|comments|reply|replies|disqus|related|recommended)(?:$|[\s_\-])", re.I)
+# Names that say what a wrapper has beside its text; and a heading inside of an article.
+_BESIDE = re.compile(r"(?:^|(?<=[\s_\-]))(?:has|with|no|without)[_\-][^\s]*", re.I)
+_HEADER = re.compile(r"(?:^|(?<=[\s_\-]))header(?=$|[\s_\-])", re.I)
 _HINT = re.compile(
     r"(?:^|[\s_\-])(?:ad|ads|advert|adverts|advertisement|advertising|banner|sponsor|sponsored|promo|promotion|cookie|cookies|consent|gdpr|notice|notification|alert"
     r"|menu|nav|navbar|navigation|breadcrumb|breadcrumbs|sidebar|side|widget|footer|header|masthead|comment|comments|reply|replies|disqus|discussion|related|recommended"
@@ -50,7 +56,17 @@ def blocks(page: str) -> list[Block]:
     parts: list[str] = []
     linked = 0
     in_link = 0
-    stack: list[tuple[str, bool, bool]] = []  # open elements: name, starts main text, starts boilerplate
+    # Open elements: name, starts main text, starts boilerplate, and its number if that may be a wrapper.
+    stack: list[tuple[str, bool, bool, int]] = []
+    under: list[tuple[int, ...]] = []  # of each block: the wrappers around it, if nothing else makes it boilerplate
+    wrappers = 0
+
+    def main_at() -> int:
+        """Where the outermost article or main element is open that boilerplate around it does not reach."""
+        for i, (name, main, _, _) in enumerate(stack):
+            if main and (name == "main" or not any(s[2] and not s[3] for s in stack[:i])):
+                return i
+        return 0
 
     def end_block(heading: bool = False, item: bool = False) -> None:
         nonlocal linked
@@ -59,8 +75,10 @@ def blocks(page: str) -> list[Block]:
         if text:
             n = text.count(" ") + 1
             names = [s[0] for s in stack]
+            around = stack[main_at() :]
+            under.append(() if any(s[2] and not s[3] for s in around) else tuple(s[3] for s in around if s[2]))
             out.append(Block(
-                text, n, min(linked, n), any(s[1] for s in stack), any(s[2] for s in stack),
+                text, n, min(linked, n), any(s[1] for s in stack), any(s[2] for s in around),
                 bool(names) and len(names[-1]) == 2 and names[-1][0] == "h" and names[-1][1].isdigit(), bool(names) and names[-1] in ("li", "dt", "dd", "td", "th"),
             ))
         linked = 0
@@ -142,10 +160,29 @@ def blocks(page: str) -> list[Block]:
             stack.pop()
         values = " ".join(a or b or c for a, b, c in _NAMES.findall(rest)) if rest else ""
         inside = any(s[1] for s in stack)
-        side = name in _SIDE or name == "header" and not inside or bool(values) and name not in ("html", "body") and name not in _MAIN and (
-            bool(_HINT.search(values)) or not _ROLES.isdisjoint(values.lower().split()))
-        stack.append((name, name in _MAIN, side))
+        hints = _BESIDE.sub("", values)
+        if inside:
+            hints = _HEADER.sub("", hints)
+        if name in _MAIN:
+            side, always = name == "article" and bool(_TALK.search(hints)), True
+        else:
+            role = not _ROLES.isdisjoint(values.lower().split())
+            side = name in _SIDE or name == "header" and not inside or name not in ("html", "body") and (bool(_HINT.search(hints)) or role)
+            always = name in _ALWAYS or name == "header" or bool(_TALK.search(hints))
+        if side and not always:
+            wrappers += 1
+        stack.append((name, name in _MAIN, side, wrappers if side and not always else 0))
     end_block()
+    # A form or a marked wrapper with more than half of the words that are no links holds the page's text.
+    words = [b.words - b.linked for b in out]
+    held: dict[int, int] = {}
+    for n, of in zip(words, under):
+        for w in of:
+            held[w] = held.get(w, 0) + n
+    whole = sum(words)
+    for block, of in zip(out, under):
+        if of and all(2 * held[w] > whole for w in of):
+            block.side = False
     return out
 
 

@@ -165,3 +165,19 @@ def test_an_unclosed_element_hides_no_text(tag):
         assert html_text.main_text(page, tree).endswith("end."), page
     closed = html_text.main_text(f"<article><p>{'word ' * 30}</p><{tag}><{tag}>gone</{tag}>gone</{tag}><p>kept too</p></article>", tree)
     assert "gone" not in closed and closed.endswith("kept too")
+
+
+@pytest.mark.parametrize("wrapper", ["div class='has-sidebar'", "div class='page-with-sidebar'", "div class='no-footer'", "div class='search-results'", "form id=aspnetForm"])
+def test_a_wrapper_around_the_page_is_not_boilerplate(wrapper):
+    tree = html_text.grow_tree(html_text.LABELLED)
+    name = wrapper.split()[0]
+    for inside in (ARTICLE, f"<main>{ARTICLE}</main>", f"<div><p>{'word ' * 40}</p><p>{'word ' * 30}end.</p></div>"):
+        page = f"<body><{wrapper}><nav><a href=/>Home</a></nav>{inside}<footer>about us</footer></{name}>"
+        text = html_text.main_text(page, tree)
+        assert text.endswith("end.") and "Home" not in text, page
+    head = f"<article><header class='entry-header'><h1>A title</h1></header><p>{'word ' * 30}</p><div class=comments><p>{'talk ' * 90}</p></div></article>"
+    text = html_text.main_text(head, tree)
+    assert text.startswith("A title") and "talk" not in text
+    aside = f"{ARTICLE}<aside><article><p>{'other ' * 60}</p></article></aside><div id=comments><article class='comment'><p>{'talk ' * 90}</p></article></div>"
+    text = html_text.main_text(aside, tree)
+    assert text.endswith("end.") and "other" not in text and "talk" not in text
