@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,9 +15,9 @@ from sceneframe.llm.components import connected_components
 
 #: Words of a shingle and the similarity, as a whole percentage, that links two documents.
 SHINGLE_WORDS, PERCENT = 3, 85
-#: Bands and MinHash samples of a band. At a similarity of 0.85 a link is missed with a
-#: probability of (1 - 0.85**6)**24, about one in 86,000.
-BANDS, ROWS = 24, 6
+#: MinHash samples of a band, and the chance of missing a link right at the limit that the
+#: number of bands keeps to: 24 bands at 0.85, (1 - 0.85**6)**24, and 38 at 0.8.
+ROWS, MOST_MISSED = 6, 1 / 86_000
 #: Samples of the odd sketch of a large set: the smallest hash of each of so many equal parts
 #: of the hash range. A set of no more than so many shingles is its own sample. And bits of
 #: the parity bitmap.
@@ -110,7 +111,13 @@ def odd_sketch(hashes: np.ndarray) -> np.ndarray:
 _SIGNS = "id bigint, n_shingles bigint, set_a bigint, set_b bigint, keys array<bigint>, sketch array<bigint>"
 
 
-def signatures(rows: DataFrame, shingle_words: int = SHINGLE_WORDS, bands: int = BANDS, band_rows: int = ROWS) -> DataFrame:
+def bands_for(percent: int, band_rows: int = ROWS, most_missed: float = MOST_MISSED) -> int:
+    """The fewest bands that miss a link of exactly ``percent`` with no more than that chance."""
+    single = 1 - (percent / 100) ** band_rows
+    return max(FIRST_BANDS, math.ceil(math.log(most_missed) / math.log(single)) if single > 0 else 1)
+
+
+def signatures(rows: DataFrame, shingle_words: int = SHINGLE_WORDS, bands: int = bands_for(PERCENT), band_rows: int = ROWS) -> DataFrame:
     """Per row of ``id, text``: size and digest of its shingle set, band keys, odd sketch."""
     fields = [("id", pa.int64()), ("n_shingles", pa.int64()), ("set_a", pa.int64()), ("set_b", pa.int64()), ("keys", pa.list_(pa.int64())), ("sketch", pa.list_(pa.int64()))]
 
@@ -210,7 +217,7 @@ def _may_be_alike(n_a: str, n_b: str, s_a: str, s_b: str, percent: int):
     return sizes & F.when(whole_a & whole_b, exact).when(whole_a | whole_b, F.lit(True)).otherwise(sampled)
 
 
-def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, percent: int = PERCENT, bands: int = BANDS, band_rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, percent: int = PERCENT, bands: int | None = None, band_rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: its id, ``n_shingles``, ``component_id``, ``kept``.
 
     Documents are linked when ``100 * shared >= percent * union`` of their shingle sets.
@@ -224,7 +231,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, percent
        compared, so a chain that misses the smallest id is found too, while copies that
        already hang together are never paired.
 
-    Every pair passes size and odd sketch, then its full sets are compared. Texts without
+    The bands follow from ``percent`` (`bands_for`) unless they are given. Every pair passes size and odd sketch, then its full sets are compared. Texts without
     words have no shingles and no links. A null id never names a component: such a row
     takes the smallest id it is linked with, or null; it is kept only in that last case.
     Rows that repeat an id with the same text are kept or dropped alike; one id with
@@ -232,6 +239,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, percent
     gives an empty result.
     """
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), text_bytes(F.col(text_col)).alias("text"))
+    bands = bands or bands_for(percent, band_rows)
     signs = settle(signatures(rows, shingle_words, bands, band_rows))
     named = signs.filter("id is not null and n_shingles > 0")
     sets = ["set_a", "set_b", "n_shingles"]

@@ -3,6 +3,7 @@
 import hashlib
 import re
 
+import pytest
 import pyspark.sql.functions as F
 
 from sceneframe.llm import components, near_dedup
@@ -130,3 +131,17 @@ def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (101, 100), (7, 7), (None, 3)], "a bigint, b bigint")
     got = {r.node: r.component for r in components.connected_components(links).collect()}
     assert got == {**{i: 0 for i in range(61)}, 100: 100, 101: 100}
+
+
+def test_bands_follow_from_the_similarity(monkeypatch, hostile):
+    assert near_dedup.bands_for(85) == 24
+    for percent in (70, 80, 85, 90, 100):
+        assert (1 - (percent / 100) ** near_dedup.ROWS) ** near_dedup.bands_for(percent) <= near_dedup.MOST_MISSED
+    import corpus_pipeline
+
+    def seen(rows, words, bands, band_rows):
+        raise LookupError(bands)
+
+    monkeypatch.setattr(near_dedup, "signatures", seen)
+    with pytest.raises(LookupError, match="^38$"):
+        corpus_pipeline.distinct_contents(None, hostile, "")
