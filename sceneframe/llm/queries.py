@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from sceneframe.llm import exact_dedup as exact
 from sceneframe.llm import fingerprints as marks
+from sceneframe.llm import filter_audit as audit
 from sceneframe.llm import html_text, licences, mixing, near_dedup, packing
 from sceneframe.llm import quality as quality_
 from sceneframe.llm import tokens as tokens_
@@ -57,6 +58,10 @@ def source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
 
+def filter_interaction_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.filter_audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -74,10 +79,11 @@ QUERIES = {
     "op8_license_scans": license_scans,
     "op9_toxicity": toxicity,
     "op10_source_mixing": source_mixing,
+    "op11_filter_interaction_audit": filter_interaction_audit,
     "pipeline": pipeline,
 }
 
-#: Only exact deduplication is plain SQL; the rest is held against brute force in tests/llm.
+#: Those that are plain SQL; the rest is held against brute force in tests/llm.
 ORACLES = {
     "op2_exact_dedup": """
         SELECT doc_id,
@@ -88,4 +94,47 @@ ORACLES = {
         FROM documents
         WINDOW same AS (PARTITION BY coalesce(text, ''))
     """,
+    "op11_filter_interaction_audit": """
+        WITH named AS (
+            SELECT doc_id, max(quality = 1) AS good, max(toxic = 1) AS toxic FROM labels GROUP BY doc_id
+        ), read AS (
+            SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text,
+                   regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words
+            FROM documents
+        ), marked AS (
+            SELECT doc_id, part,
+                   CASE WHEN len(words) < 200 THEN 'A' ELSE '' END
+                   || CASE WHEN 100 * len(list_distinct(words)) < 50 * len(words) THEN 'B' ELSE '' END
+                   || CASE WHEN 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 2 * length(text) THEN 'C' ELSE '' END
+                   || CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' ELSE '' END
+                   || CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY text) THEN 'E' ELSE '' END AS fails
+            FROM read
+        ), cells AS (
+            SELECT part, fails, count(*) AS n, count(*) FILTER (WHERE good) AS good, count(*) FILTER (WHERE toxic) AS toxic
+            FROM marked LEFT JOIN named USING (doc_id) GROUP BY part, fails
+        ), letters(f) AS (
+            VALUES ('A'), ('B'), ('C'), ('D'), ('E')
+        ), orders AS (
+            SELECT a.f || b.f || c.f || d.f || e.f AS filter_order
+            FROM letters a, letters b, letters c, letters d, letters e
+            WHERE len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5
+        ), steps AS (
+            SELECT filter_order, step::INTEGER AS step, substr(filter_order, step, 1) AS f, substr(filter_order, 1, step - 1) AS before
+            FROM orders, (SELECT unnest([1, 2, 3, 4, 5]) AS step)
+        ), counted AS (
+            SELECT part, filter_order, step, f,
+                   sum(CASE WHEN NOT early AND NOT here THEN n ELSE 0 END) AS kept,
+                   sum(CASE WHEN NOT early AND here THEN n ELSE 0 END) AS removed,
+                   sum(CASE WHEN early AND here THEN n ELSE 0 END) AS redundant,
+                   sum(CASE WHEN fails = f THEN n ELSE 0 END) AS unique_fails,
+                   sum(CASE WHEN NOT early AND here THEN good ELSE 0 END) AS good_lost,
+                   sum(CASE WHEN NOT early AND here THEN toxic ELSE 0 END) AS toxic_lost
+            FROM (SELECT *, contains(fails, f) AS here, translate(fails, before, '') <> fails AS early FROM cells, steps)
+            GROUP BY part, filter_order, step, f
+        )
+        SELECT part, filter_order, step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant,
+               unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost,
+               (sum(removed) OVER (PARTITION BY part, f))::BIGINT AS shapley
+        FROM counted
+    """,
 }
