@@ -5,6 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from sceneframe.llm import centroids
 from sceneframe.llm import exact_dedup as exact
 from sceneframe.llm import fingerprints as marks
 from sceneframe.llm import filter_audit as audit
@@ -62,6 +63,10 @@ def filter_interaction_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.filter_audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster_vectors(_table(spark, sf_dir, "embeddings"), clusters=40, rounds=5, width=64, scale=256, seed="2:")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -80,9 +85,34 @@ QUERIES = {
     "op9_toxicity": toxicity,
     "op10_source_mixing": source_mixing,
     "op11_filter_interaction_audit": filter_interaction_audit,
+    "op12_centroid_clustering": centroid_clustering,
     "pipeline": pipeline,
 }
 
+
+
+def _rounds_sql(rounds: int) -> str:
+    """Plain k-means: every distance worked out, round by round. Doubles hold these whole numbers exactly."""
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"""
+        a{r} AS MATERIALIZED (
+            SELECT k.row, any_value(k.vec_id) AS vec_id, any_value(k.v) AS v, min(struct_pack(
+                       d := (list_dot_product(k.v, k.v) + list_dot_product(c.v, c.v) - 2 * list_dot_product(k.v, c.v))::BIGINT, c := c.c)) AS best
+            FROM kept k, c{r} c GROUP BY k.row
+        )""")
+        if r < rounds:
+            steps.append(f"""
+        c{r + 1} AS MATERIALIZED (
+            SELECT c.c, coalesce(m.v, c.v) AS v FROM c{r} c LEFT JOIN (
+                SELECT c, list(((s - ((s % n) + n) % n) // n)::DOUBLE ORDER BY i) AS v FROM (
+                    SELECT best.c AS c, i, sum(v[i]::HUGEINT) AS s, count(*)::HUGEINT AS n FROM a{r}, range(1, 65) t(i) GROUP BY best.c, i
+                ) GROUP BY c
+            ) m ON m.c = c.c
+        )""")
+    return ",".join(steps)
+
+
 #: Those that are plain SQL; the rest is held against brute force in tests/llm.
 ORACLES = {
     "op2_exact_dedup": """
@@ -137,4 +167,16 @@ ORACLES = {
                (sum(removed) OVER (PARTITION BY part, f))::BIGINT AS shapley
         FROM counted
     """,
+    "op12_centroid_clustering": f"""
+        WITH kept AS MATERIALIZED (
+            SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, x -> floor(256 * x::DOUBLE)) AS v
+            FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, x -> x IS NOT NULL AND isfinite(x))) = 64
+        ), c0 AS MATERIALIZED (
+            SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id)) - 1 AS c, v FROM kept ORDER BY sha256('2:' || vec_id) LIMIT 40
+        ), {_rounds_sql(5)}
+        SELECT vec_id, best.c::INTEGER AS cluster, best.d AS distance,
+               (sum(best.d) OVER (PARTITION BY best.c))::BIGINT AS cluster_inertia, (sum(best.d) OVER ())::BIGINT AS inertia,
+               sha256(array_to_string(list_transform(c5.v, x -> x::BIGINT), ',')) AS centroid_sha256
+        FROM a5 JOIN c5 ON c5.c = a5.best.c
+    """,
 }
