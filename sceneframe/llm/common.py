@@ -31,6 +31,28 @@ def slices(spark: SparkSession) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
 
 
+#: Groups that can each hold more than a thousandth of all rows: never more than a thousand.
+MOST_HOT = 1000
+
+
+def with_group_facts(rows: DataFrame, groups: DataFrame, key: Column, group_key: str, spread: Column, facts: list[str]) -> DataFrame:
+    """``rows`` with the ``facts`` of the group that ``key`` names; null where there is none.
+
+    ``groups`` is a written table with one row per key (a string that is no number) and its
+    number of rows ``n``. The groups that hold more than a thousandth of all grouped rows are
+    at most a thousand, so they are broadcast; the rows they serve, and those with a null
+    key, are dealt out by ``spread`` in the join that serves the rest. No key is one task.
+    """
+    total = groups.agg(F.sum("n")).first()[0] or 0
+    hot = F.col("n") * MOST_HOT > F.lit(total)
+    few = groups.filter(hot).select(F.col(group_key).alias("_hot_key"), F.struct(*facts).alias("_hot"))
+    rest = groups.filter(~hot).select(F.col(group_key).alias("_key"), F.struct(*facts).alias("_facts"))
+    keyed = rows.withColumn("_look", key).join(F.broadcast(few), F.col("_look") == F.col("_hot_key"), "left")
+    keyed = keyed.withColumn("_look", F.when(F.col("_hot_key").isNull() & F.col("_look").isNotNull(), F.col("_look")).otherwise(spread.cast("string")))
+    found = keyed.join(rest, F.col("_look") == F.col("_key"), "left")
+    return found.select(*[F.col(f"`{c}`") for c in rows.columns], *[F.coalesce(F.col(f"_hot.{f}"), F.col(f"_facts.{f}")).alias(f) for f in facts])
+
+
 def text_bytes(text: Column) -> Column:
     """UTF-8 bytes of a text; null counts as empty."""
     return F.coalesce(text.cast("string"), F.lit("")).cast("binary")

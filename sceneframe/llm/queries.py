@@ -13,6 +13,7 @@ from sceneframe.llm import html_text, licences, mixing, near_dedup, packing
 from sceneframe.llm import quality as quality_
 from sceneframe.llm import tokens as tokens_
 from sceneframe.llm import toxicity as toxicity_
+from sceneframe.llm import warc as archives
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,6 +68,11 @@ def centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.cluster_vectors(_table(spark, sf_dir, "embeddings"), clusters=40, rounds=5, width=64, scale=256, seed="2:")
 
 
+def warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = archives.archive_pages(_table(spark, sf_dir, "pages"), least_bytes=100)
+    return rows.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -86,6 +92,7 @@ QUERIES = {
     "op10_source_mixing": source_mixing,
     "op11_filter_interaction_audit": filter_interaction_audit,
     "op12_centroid_clustering": centroid_clustering,
+    "op13_warc": warc,
     "pipeline": pipeline,
 }
 
@@ -169,14 +176,25 @@ ORACLES = {
     """,
     "op12_centroid_clustering": f"""
         WITH kept AS MATERIALIZED (
-            SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, x -> floor(256 * x::DOUBLE)) AS v
-            FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, x -> x IS NOT NULL AND isfinite(x))) = 64
+            SELECT row_number() OVER () AS row, vec_id, [floor(256 * x::DOUBLE) for x in embedding] AS v
+            FROM embeddings WHERE len(embedding) = 64 AND len([x for x in embedding if x IS NOT NULL AND isfinite(x)]) = 64
         ), c0 AS MATERIALIZED (
             SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id)) - 1 AS c, v FROM kept ORDER BY sha256('2:' || vec_id) LIMIT 40
         ), {_rounds_sql(5)}
         SELECT vec_id, best.c::INTEGER AS cluster, best.d AS distance,
                (sum(best.d) OVER (PARTITION BY best.c))::BIGINT AS cluster_inertia, (sum(best.d) OVER ())::BIGINT AS inertia,
-               sha256(array_to_string(list_transform(c5.v, x -> x::BIGINT), ',')) AS centroid_sha256
+               sha256(array_to_string([x::BIGINT for x in c5.v], ',')) AS centroid_sha256
         FROM a5 JOIN c5 ON c5.c = a5.best.c
     """,
+    "op13_warc": """
+        WITH read AS (
+            SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages
+        ), grouped AS (
+            SELECT page_id, octet_length(payload) AS size, sha256(payload) AS digest, min(page_id) OVER (PARTITION BY payload) AS first FROM read
+        )
+        SELECT page_id, size::BIGINT AS payload_bytes, digest AS payload_digest,
+               CASE WHEN size >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN size >= 100 AND page_id <> first THEN first END AS refers_to
+        FROM grouped
+    """,
 }
