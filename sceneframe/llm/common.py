@@ -14,14 +14,22 @@ from pyspark.sql import functions as F
 from sceneframe.session import ensure_checkpoint_dir
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder below the shared checkpoint folder; its file system removes it when the driver ends."""
+    path = f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return path
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and go on from the written table.
 
     What follows is planned on known sizes and is never recomputed, also after an executor
-    is lost. Every call takes a folder of its own.
+    is lost. Every call takes a folder of its own, which goes when the driver ends.
     """
     spark = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark)}/settled-{uuid.uuid4().hex}"
+    path = scratch(spark, "settled")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 
@@ -10,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sceneframe.llm.common import in_pieces, record, settle, text_bytes
+from sceneframe.llm.common import in_pieces, record, settle, text_bytes, with_group_facts
 from sceneframe.llm.components import connected_components
 
 #: Words of a shingle and the similarity, as a whole percentage, that links two documents.
@@ -18,16 +19,18 @@ SHINGLE_WORDS, PERCENT = 3, 85
 #: MinHash samples of a band, and the chance of missing a link right at the limit that the
 #: number of bands keeps to: 24 bands at 0.85, (1 - 0.85**6)**24, and 38 at 0.8.
 ROWS, MOST_MISSED = 6, 1 / 86_000
-#: Samples of the odd sketch of a large set: the smallest hash of each of so many equal parts
-#: of the hash range. A set of no more than so many shingles is its own sample. And bits of
-#: the parity bitmap.
-SKETCH_PARTS, WHOLE_SETS, SKETCH_BITS = 1024, 2048, 2048
-#: Standard deviations below the limit at which a pair of large sets is weeded out.
+#: MinHash samples of the odd sketch: the smallest hash of each of so many equal parts of the
+#: hash range, at every size of the set. And bits of the parity bitmap they are folded into.
+SKETCH_PARTS, SKETCH_BITS = 2048, 2048
+#: Standard deviations below the limit at which a pair is weeded out.
 SKETCH_MARGIN = 5.0
 #: Bands that the first comparisons use.
 FIRST_BANDS = 4
-#: Ids that may be broadcast: 8 bytes each, so less than a megabyte.
-FEW_IDS = 100_000
+#: Members of a crowded bucket that are compared with the others in a round, times as many
+#: in each next one.
+LEADS = 8
+#: Digests of texts that may be broadcast: under 4 megabytes.
+FEW_TEXTS = 100_000
 
 _WORDS = SKETCH_BITS // 64
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -98,17 +101,20 @@ def signature(hashes: np.ndarray, bands: int, rows: int, seed: int = 7) -> tuple
 
 
 def odd_sketch(hashes: np.ndarray) -> np.ndarray:
-    """Parity bitmap of the set's samples; ``hashes`` are sorted and distinct."""
-    sample = hashes
-    if len(hashes) > WHOLE_SETS:
-        parts = hashes >> np.uint64(64 - SKETCH_PARTS.bit_length() + 1)
-        sample = hashes[np.flatnonzero(np.concatenate(([True], parts[1:] != parts[:-1])))]
+    """Parity bitmap of the set's MinHash samples; ``hashes`` are sorted and distinct."""
+    parts = hashes >> np.uint64(64 - SKETCH_PARTS.bit_length() + 1)
+    sample = hashes[np.flatnonzero(np.concatenate(([True], parts[1:] != parts[:-1])))]
     bits = _mixed(sample ^ np.uint64(0xA0761D6478BD642F)) % np.uint64(SKETCH_BITS)
     odd = np.bincount(bits.astype(np.int64), minlength=SKETCH_BITS) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
-_SIGNS = "id bigint, n_shingles bigint, set_a bigint, set_b bigint, keys array<bigint>, sketch array<bigint>"
+def word_digest(text: bytes) -> bytes:
+    """SHA-256 of the lower-cased words with one space between them: texts that share it share their shingles."""
+    return hashlib.sha256(b" ".join(text.lower().split())).digest()
+
+
+_SIGNS = "id bigint, sha binary, n_shingles bigint, digest binary, keys array<bigint>, sketch array<bigint>"
 
 
 def bands_for(percent: int, band_rows: int = ROWS, most_missed: float = MOST_MISSED) -> int:
@@ -118,23 +124,22 @@ def bands_for(percent: int, band_rows: int = ROWS, most_missed: float = MOST_MIS
 
 
 def signatures(rows: DataFrame, shingle_words: int = SHINGLE_WORDS, bands: int = bands_for(PERCENT), band_rows: int = ROWS) -> DataFrame:
-    """Per row of ``id, text``: size and digest of its shingle set, band keys, odd sketch."""
-    fields = [("id", pa.int64()), ("n_shingles", pa.int64()), ("set_a", pa.int64()), ("set_b", pa.int64()), ("keys", pa.list_(pa.int64())), ("sketch", pa.list_(pa.int64()))]
+    """Per row of ``id, sha, text``: size of its shingle set, digest of its words, band keys, odd sketch."""
+    fields = [("id", pa.int64()), ("sha", pa.binary()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("keys", pa.list_(pa.int64())), ("sketch", pa.list_(pa.int64()))]
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         old = np.seterr(over="ignore")
         try:
             for whole in batches:
-                for batch in in_pieces(whole, 1):
+                for batch in in_pieces(whole, 2):
                     out = []
-                    for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                    for key, sha, text in zip(*(c.to_pylist() for c in batch.columns)):
                         hashes = shingle_set(text, shingle_words)
                         if not len(hashes):
-                            out.append((key, 0, 0, 0, None, None))
+                            out.append((key, sha, 0, None, None, None))
                             continue
                         keys, sketch = signature(hashes, bands, band_rows)
-                        sums = np.array([hashes.sum(dtype=np.uint64), _mixed(hashes ^ _MIX).sum(dtype=np.uint64)], np.uint64).view(np.int64)
-                        out.append((key, len(hashes), int(sums[0]), int(sums[1]), keys, sketch))
+                        out.append((key, sha, len(hashes), word_digest(text), keys, sketch))
                     yield record(fields, list(zip(*out)))
         finally:
             np.seterr(**old)
@@ -142,18 +147,19 @@ def signatures(rows: DataFrame, shingle_words: int = SHINGLE_WORDS, bands: int =
     return rows.mapInArrow(sign, _SIGNS)
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame, shingle_words: int, percent: int) -> DataFrame:
-    """The pairs ``a, b`` whose full shingle sets are similar enough.
+def _confirmed(pairs: DataFrame, classes: DataFrame, rows: DataFrame, shingle_words: int, percent: int) -> DataFrame:
+    """The pairs ``a, b`` of classes whose full shingle sets are similar enough.
 
-    Only the texts of documents in question are kept for it. Up to ``FEW_IDS`` ids are sent
-    to where the texts are; more of them meet the texts in a merge join.
+    Only the texts of classes in question are kept for it, one each. Up to ``FEW_TEXTS``
+    digests are sent to where the texts are; more of them meet the texts in a merge join.
     """
-    wanted = settle(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct())
-    few = wanted.count() <= FEW_IDS
-    there = settle(texts.join(F.broadcast(wanted) if few else wanted.hint("merge"), "id", "left_semi"))
+    asked = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    wanted = settle(classes.join(asked, "node", "left_semi").select("node", "sha"))
+    few = wanted.count() <= FEW_TEXTS
+    there = settle(rows.join(F.broadcast(wanted) if few else wanted.hint("merge"), "sha").groupBy("node").agg(F.first("text").alias("text")))
     both = (
-        pairs.join(there.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
-        .join(there.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
+        pairs.join(there.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
+        .join(there.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
         .select("a", "b", "text_a", "text_b")
     )
     fields = [("a", pa.int64()), ("b", pa.int64())]
@@ -180,20 +186,21 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, shingle_words: int, percent:
     return both.mapInArrow(compare, "a bigint, b bigint")
 
 
-def _alike(signs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+def _alike(classes: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """The pairs whose sizes and odd sketches leave room for the similarity asked."""
     sides = pairs
     for side in "ab":
-        sides = sides.join(signs.select(F.col("id").alias(side), F.col("n_shingles").alias(f"n_{side}"), F.col("sketch").alias(f"s_{side}")), side)
+        sides = sides.join(classes.select(F.col("node").alias(side), F.col("n_shingles").alias(f"n_{side}"), F.col("sketch").alias(f"s_{side}")), side)
     return sides.filter(_may_be_alike("n_a", "n_b", "s_a", "s_b", percent)).select("a", "b")
 
 
 def most_odd_bits(n_a, n_b, percent: int, exp, sqrt):
-    """Bits that the bitmaps of two large sets at the similarity's limit may differ in.
+    """Bits that the bitmaps of two sets at the similarity's limit may differ in.
 
     At the limit the union holds (n_a + n_b) / (1 + s) shingles, and a share s of its
     samples is in both sets. The number of samples that differ gets the margin; of so many,
-    those that meet at one bit in pairs cancel out.
+    those that meet at one bit in pairs cancel out. Sets of few shingles are nearly their
+    own samples, which makes the margin small for them.
     """
     s, parts, bits = percent / 100, float(SKETCH_PARTS), float(SKETCH_BITS)
     union = (n_a + n_b) / (1 + s)
@@ -202,7 +209,7 @@ def most_odd_bits(n_a, n_b, percent: int, exp, sqrt):
         return (1 - exp(n / -parts)) * parts
 
     spread = sqrt(held(union) * (1 - held(union) / union) * (s * (1 - s))) * 2
-    differ = held(n_a) + held(n_b) - held(union) * (2 * s) + spread * SKETCH_MARGIN + 6
+    differ = held(n_a) + held(n_b) - held(union) * (2 * s) + spread * SKETCH_MARGIN + 2
     odd = (1 - exp(differ * (-2 / bits))) * (bits / 2)
     return odd + sqrt(differ - odd) * 4
 
@@ -210,104 +217,165 @@ def most_odd_bits(n_a, n_b, percent: int, exp, sqrt):
 def _may_be_alike(n_a: str, n_b: str, s_a: str, s_b: str, percent: int):
     odd = sum((F.bit_count(F.col(s_a)[i].bitwiseXOR(F.col(s_b)[i])) for i in range(_WORDS)), F.lit(0))
     sizes = F.lit(100) * F.least(n_a, n_b) >= F.lit(percent) * F.greatest(n_a, n_b)
-    # Bitmaps of whole sets never differ in more bits than the sets in shingles: exact.
-    exact = odd * (100 + percent) <= (F.col(n_a) + F.col(n_b)) * (100 - percent)
-    sampled = odd <= most_odd_bits(F.col(n_a).cast("double"), F.col(n_b).cast("double"), percent, F.exp, F.sqrt)
-    whole_a, whole_b = F.col(n_a) <= WHOLE_SETS, F.col(n_b) <= WHOLE_SETS
-    return sizes & F.when(whole_a & whole_b, exact).when(whole_a | whole_b, F.lit(True)).otherwise(sampled)
+    return sizes & (odd <= most_odd_bits(F.col(n_a).cast("double"), F.col(n_b).cast("double"), percent, F.exp, F.sqrt))
+
+
+def _same_ids(signs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links between the classes of rows that carry one id."""
+    held = signs.filter("id is not null and digest is not null").groupBy("id", "digest").agg(F.count(F.lit(1)).alias("n"))
+    shared = settle(held.groupBy("id").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi"), F.count(F.lit(1)).alias("n")).filter("lo < hi").withColumn("key", F.concat(F.lit("id "), "id")))
+    nodes = classes.select("digest", "node")
+    ends = with_group_facts(held, shared, F.concat(F.lit("id "), "id"), "key", F.xxhash64("digest"), ["lo"]).filter("lo is not null")
+    return (
+        ends.join(nodes.withColumnRenamed("node", "b"), "digest").select(F.col("lo").alias("digest"), "b")
+        .join(nodes.withColumnRenamed("node", "a"), "digest").select("a", "b")
+    )
 
 
-def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, percent: int = PERCENT, bands: int | None = None, band_rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: its id, ``n_shingles``, ``component_id``, ``kept``.
+def _linked_rows(docs: DataFrame, shingle_words: int, percent: int, bands: int | None, band_rows: int, id_col: str, text_col: str) -> DataFrame:
+    """Per row of ``docs``: ``id, sha, n_shingles, component_id`` and ``chosen_sha``.
 
-    Documents are linked when ``100 * shared >= percent * union`` of their shingle sets.
-
-    1. Rows with one set (exact copies among them) stand for one document from here on.
-    2. In its first bands, a document is compared with the smallest id of its buckets: one
-       pair a document. That joins most copies into components.
-    3. In all bands, buckets of several components are looked for; members that are not of
-       one component with the bucket's smallest id are compared with it.
-    4. In the buckets that still hold several components, pairs across components are
-       compared, so a chain that misses the smallest id is found too, while copies that
-       already hang together are never paired.
-
-    The bands follow from ``percent`` (`bands_for`) unless they are given. Every pair passes size and odd sketch, then its full sets are compared. Texts without
-    words have no shingles and no links. A null id never names a component: such a row
-    takes the smallest id it is linked with, or null; it is kept only in that last case.
-    Rows that repeat an id with the same text are kept or dropped alike; one id with
-    several texts links what each of them links. Other columns are ignored; an empty table
-    gives an empty result.
+    ``component_id`` is the smallest id of the row's component, null where none of it has
+    an id; ``chosen_sha`` belongs to the text that stands for the component: of the rows
+    with that id (or, without ids, of all) the smallest.
     """
-    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), text_bytes(F.col(text_col)).alias("text"))
     bands = bands or bands_for(percent, band_rows)
+    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), text_bytes(F.col(text_col)).alias("text"))
+    rows = rows.select("id", F.unhex(F.sha2("text", 256)).alias("sha"), "text")
     signs = settle(signatures(rows, shingle_words, bands, band_rows))
-    named = signs.filter("id is not null and n_shingles > 0")
-    sets = ["set_a", "set_b", "n_shingles"]
-    classes = settle(named.groupBy(*sets).agg(F.min("id").alias("rep")))
-    reps = named.join(classes, sets).filter("id = rep").select("id", *sets, "keys", "sketch").dropDuplicates(["id", *sets])
-    # An id that stands for several sets (a repeated id) is one node all the same.
-    reps = settle(reps)
-    texts = rows.filter("id is not null")
-    none: DataFrame = reps.select(F.col("id").alias("node"), F.col("id").alias("component")).limit(0)
+    # Rows with the same words are one class from here on; a class is known by its node.
+    worded = signs.filter("n_shingles > 0").groupBy("digest").agg(
+        F.count(F.lit(1)).alias("n"), F.min(F.struct(F.col("id").isNull().alias("nameless"), "id", "sha")).alias("first"),
+        *[F.first(c).alias(c) for c in ("n_shingles", "keys", "sketch")],
+    )
+    classes = settle(worded.select(F.monotonically_increasing_id().alias("node"), "digest", "n", "first", "first.sha", "n_shingles", "keys", "sketch"))
 
     def in_buckets(found: DataFrame, most: int) -> DataFrame:
-        """A row per document and band, with the document's component so far."""
-        placed = reps.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-        return placed.select("id", "component", F.posexplode(F.slice("keys", 1, most)).alias("band", "key")).withColumn("key", F.xxhash64("band", "key")).drop("band")
+        """A row per class and band, with the class's component so far."""
+        placed = classes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        return placed.select("node", "component", F.posexplode(F.slice("keys", 1, most)).alias("band", "key")).withColumn("key", F.xxhash64("band", "key"))
 
     def several(rows: DataFrame) -> DataFrame:
-        """Buckets of several components, with the smallest id and its component."""
-        lead = rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min(F.struct("id", "component")).alias("lead"))
-        return lead.filter("lo < hi").select("key", F.col("lead.id").alias("a"), F.col("lead.component").alias("component_a"))
+        """Buckets of several components, with their size, first class and its component."""
+        lead = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi"), F.min(F.struct("node", "component")).alias("lead"))
+        return lead.filter("lo < hi").select("key", "size", F.col("lead.node").alias("a"), F.col("lead.component").alias("component_a"))
 
     def to_lead(found: DataFrame, most: int) -> DataFrame:
-        """Pairs of a bucket's smallest id and its members of other components."""
+        """Pairs of a bucket's first class and its members of other components."""
         rows = in_buckets(found, most)
         lead = several(rows)
-        return rows.join(lead, (rows["key"] == lead["key"]) & (rows["component"] != lead["component_a"])).select("a", F.col("id").alias("b"))
+        return rows.join(lead, (rows["key"] == lead["key"]) & (rows["component"] != lead["component_a"])).select("a", F.col("node").alias("b"))
 
-    def linked(pairs: DataFrame) -> DataFrame:
-        tried = settle(_alike(reps, pairs, percent))
-        return settle(_confirmed(tried, texts, shingle_words, percent).distinct())
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        return settle(_confirmed(pairs, classes, rows, shingle_words, percent).distinct())
 
     def components(links: DataFrame) -> DataFrame:
         return settle(connected_components(links))
 
-    first = settle(to_lead(none, FIRST_BANDS).groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
-    links = linked(first)
+    links = settle(_same_ids(signs, classes))
+    found = components(links)
+    first = settle(to_lead(found, FIRST_BANDS).groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
+    links = links.unionByName(confirmed(settle(_alike(classes, first, percent))))
     found = components(links)
 
     second = settle(to_lead(found, bands).distinct().join(first, ["a", "b"], "left_anti"))
-    more = linked(second)
+    more = confirmed(settle(_alike(classes, second, percent)))
     if not more.isEmpty():
         links = links.unionByName(more)
         found = components(links)
 
-    placed = in_buckets(found, bands)
-    # Sketches join only the members of buckets that are still open.
-    open_ = settle(settle(placed.join(several(placed).select("key"), "key", "left_semi")).join(reps.select("id", "n_shingles", "sketch"), "id"))
-    left = open_.select("key", *[F.col(c).alias(f"{c}_a") for c in ("id", "component", "n_shingles", "sketch")])
-    right = open_.select("key", *[F.col(c).alias(f"{c}_b") for c in ("id", "component", "n_shingles", "sketch")])
-    across = left.join(
-        right,
-        (left["key"] == right["key"]) & (F.col("component_a") != F.col("component_b")) & (F.col("id_a") < F.col("id_b"))
-        & _may_be_alike("n_shingles_a", "n_shingles_b", "sketch_a", "sketch_b", percent),
-    ).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
-    rest = settle(across.join(first.unionByName(second), ["a", "b"], "left_anti"))
-    more = settle(_confirmed(rest, texts, shingle_words, percent).distinct())
-    if not more.isEmpty():
-        found = components(links.unionByName(more))
+    # Where a member stands in every bucket's order of leads, from 0 to 1.
+    turn = (F.xxhash64(F.lit("lead"), "node").cast("double") / F.lit(2.0**64)) + 0.5
+    tried, before, leads = first.unionByName(second), 0, LEADS
+    while True:
+        placed = in_buckets(found, bands)
+        crowded = several(placed).filter(F.col("size") > before).select("key", "size")
+        members = settle(placed.join(crowded, "key")).withColumn("turn", turn)
+        if members.isEmpty():
+            break
+        # Sketches and band keys join only the members of buckets that are still open.
+        open_ = settle(members.join(classes.select("node", "n_shingles", "sketch", "keys"), "node"))
+        sides = ("node", "component", "turn", "n_shingles", "sketch", "keys")
+        now = open_.filter((F.col("turn") >= F.lit(float(before)) / F.col("size")) & (F.col("turn") < F.lit(float(leads)) / F.col("size")))
+        left = now.select("key", "band", *[F.col(c).alias(f"{c}_a") for c in sides])
+        right = open_.select("key", *[F.col(c).alias(f"{c}_b") for c in sides])
+        later = (F.col("turn_a") < F.col("turn_b")) | ((F.col("turn_a") == F.col("turn_b")) & (F.col("node_a") < F.col("node_b")))
+        # A pair that shares several bands is looked at in the first of them.
+        band = F.array_position(F.zip_with("keys_a", "keys_b", lambda x, y: x == y), True) - 1
+        pairs = left.join(
+            right,
+            (left["key"] == right["key"]) & (F.col("component_a") != F.col("component_b")) & later
+            & _may_be_alike("n_shingles_a", "n_shingles_b", "sketch_a", "sketch_b", percent) & (F.col("band") == band),
+        ).select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
+        rest = settle(pairs.join(tried, ["a", "b"], "left_anti"))
+        more = confirmed(rest)
+        if not more.isEmpty():
+            links = links.unionByName(more)
+            found = components(links)
+        tried, before, leads = tried.unionByName(rest), leads, leads * LEADS
+
+    named = classes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    least = named.groupBy("component").agg(F.min("first").alias("chosen"))
+    facts = settle(named.join(least, "component").select(F.hex("digest").alias("key"), "n", F.col("chosen.id").alias("component_id"), F.col("chosen.sha").alias("chosen_sha")))
+    member = signs.select("id", "sha", "n_shingles", "digest")
+    return with_group_facts(member, facts, F.hex("digest"), "key", F.xxhash64("id", "sha"), ["component_id", "chosen_sha"]).select(
+        "id", "sha", "n_shingles", "component_id", "chosen_sha"
+    )
 
-    member = signs.select("id", *sets).join(classes, sets, "left").join(found.withColumnRenamed("node", "rep"), "rep", "left")
-    component = F.coalesce("component", "rep", "id")
-    return member.select(
+
+def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, percent: int = PERCENT, bands: int | None = None, band_rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of ``docs``: its id, ``n_shingles``, ``component_id``, ``kept``.
+
+    Documents are linked when ``100 * shared >= percent * union`` of their shingle sets.
+
+    1. Rows with the same words (exact copies among them) are one class from here on.
+    2. In its first bands, a class is compared with the first class of its buckets: one
+       pair a class. That joins most copies into components.
+    3. In all bands, buckets of several components are looked for; members that are not of
+       one component with the bucket's first class are compared with it.
+    4. In the buckets that still hold several components, rounds of other leads follow: the
+       first 8 members in an order by hash, then 64 and so on, each against the members
+       of other components, until every member of such a bucket has been a lead. What a
+       round links is one component in the next, so copies that hang together are not paired.
+
+    The bands follow from ``percent`` (`bands_for`) unless they are given. Every pair passes
+    size and odd sketch, then its full sets are compared; a pair at the limit fails the
+    sketch by a chance of about 1 in 3 million. Texts without words have no shingles and no
+    links. A null id never names a component: such a row takes the smallest id it is linked
+    with, whatever lies between, or null; it is kept only in that last case. Rows that repeat
+    an id with the same text are kept or dropped alike; one id with several texts links what
+    each of them links. Other columns are ignored; an empty table gives an empty result.
+    """
+    found = _linked_rows(docs, shingle_words, percent, bands, band_rows, id_col, text_col)
+    # A text without words is its own component.
+    component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("id"))
+    return found.select(
         F.col("id").alias(id_col), "n_shingles", component.alias("component_id"),
         F.coalesce(F.col("id") == component, component.isNull()).alias("kept"),
     )
 
 
-def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` with one document of each near-duplicate group, all columns kept."""
-    found = near_duplicates(docs, id_col=id_col, text_col=text_col, **options).filter("kept")
-    kept = settle(found.select(F.col(id_col).cast("bigint").alias("_kept_id")).distinct())
-    return docs.join(kept, docs[id_col].eqNullSafe(kept["_kept_id"]), "left_semi")
+def keep_representatives(
+    docs: DataFrame, shingle_words: int = SHINGLE_WORDS, percent: int = PERCENT, bands: int | None = None, band_rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text",
+) -> DataFrame:
+    """``docs`` with one row of each near-duplicate group, all columns kept.
+
+    The row with the smallest id stays (rows without an id come last; of several texts under
+    that id, the one with the smallest SHA-256; of rows that repeat both, one). Texts without
+    words are in no group and stay, repeated ones too. An empty table stays empty.
+    """
+    def row_key(key, sha):
+        return F.concat(F.coalesce(key.cast("string"), F.lit("-")), F.lit(" "), sha)
+
+    found = _linked_rows(docs, shingle_words, percent, bands, band_rows, id_col, text_col)
+    stays = F.col("id").eqNullSafe(F.col("component_id")) & (F.col("sha") == F.col("chosen_sha"))
+    chosen = found.filter((F.col("n_shingles") == 0) | stays)
+    kept = settle(
+        chosen.groupBy(row_key(F.col("id"), F.lower(F.hex("sha"))).alias("_row")).agg(F.count(F.lit(1)).alias("_rows"), F.max("n_shingles").alias("_shingles"))
+    )
+    keyed = docs.withColumn("_row", row_key(F.col(id_col).cast("bigint"), F.sha2(text_bytes(F.col(text_col)), 256)))
+    once = keyed.join(kept.select("_row"), "_row", "left_semi")
+    again = kept.filter("_rows > 1 and _shingles > 0").select("_row")
+    if not again.isEmpty():
+        once = once.join(again, "_row", "left_anti").unionByName(once.join(again, "_row", "left_semi").dropDuplicates(["_row"]))
+    return once.select(*[F.col(f"`{c}`") for c in docs.columns])

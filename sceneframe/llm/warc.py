@@ -15,8 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sceneframe.llm.common import in_pieces, record, settle, text_bytes, with_group_facts
-from sceneframe.session import ensure_checkpoint_dir
+from sceneframe.llm.common import in_pieces, record, scratch, settle, slices, text_bytes, with_group_facts
 
 #: Payloads from this size on are written once and revisited by their copies.
 LEAST_BYTES = 100
@@ -25,6 +24,8 @@ ROLL_BYTES = 512 << 20
 #: Reads of one archive that start within one block of this size are one task's row, and
 #: records with no more than the gap between them are one read.
 BLOCK_BYTES, GAP_BYTES = 8 << 20, 64 << 10
+#: Bytes of archives that a reading task takes on.
+TASK_BYTES = 64 << 20
 #: Fixed words of the format.
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Pages carry no capture time; a fixed one keeps archives the same from run to run.
@@ -181,8 +182,11 @@ def read_archives(selected: DataFrame, folder: str, payloads: bool = True, block
     Selected ranges are grouped by archive and block, sorted and coalesced, so neighbouring
     records are one read and what was not selected is passed over. A block's reads are one
     row of bounded size, whatever the selection. Without ``payloads`` that column is null.
-    A record that repeats in ``selected`` is read once for each time.
+    A record that repeats in ``selected`` is read once for each time. The number of tasks
+    follows from the bytes to be read, as the rows that name them are small.
     """
+    wanted = selected.agg(F.sum("length")).first()[0] or 0
+    tasks = max(slices(selected.sparkSession), -(-wanted // TASK_BYTES))
     blocks = selected.groupBy("archive", F.floor(F.col("offset") / block_bytes).alias("block")).agg(F.collect_list(F.struct("offset", "length")).alias("ranges"))
     fields = [("page_id", pa.int64()), ("target_uri", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("payload", pa.binary())]
 
@@ -204,7 +208,7 @@ def read_archives(selected: DataFrame, folder: str, payloads: bool = True, block
                         if rows:
                             yield record(fields, list(zip(*rows)))
 
-    return blocks.select("archive", "block", "ranges").mapInArrow(
+    return blocks.select("archive", "block", "ranges").repartition(tasks, "archive", "block").mapInArrow(
         read, "page_id bigint, target_uri string, record_type string, refers_to bigint, payload_bytes bigint, payload_digest string, payload binary"
     )
 
@@ -225,6 +229,6 @@ def archive_pages(pages: DataFrame, folder: str | None = None, least_bytes: int
     empty table gives an empty result. ``folder`` is one that driver and executors share, a
     new one below ``spark.checkpoint.dir`` where it is not given.
     """
-    folder = folder or f"{ensure_checkpoint_dir(pages.sparkSession)}/warc-{uuid.uuid4().hex}"
+    folder = folder or scratch(pages.sparkSession, "warc")
     index = write_archives(record_plan(pages, least_bytes), folder)
     return read_archives(index if selection is None else index.filter(selection), folder, payloads)
