@@ -21,7 +21,7 @@ SHINGLE_WORDS, PERCENT = 3, 85
 ROWS, MOST_MISSED = 6, 1 / 86_000
 #: MinHash samples of the odd sketch: the smallest hash of each of so many equal parts of the
 #: hash range, at every size of the set. And bits of the parity bitmap they are folded into.
-SKETCH_PARTS, SKETCH_BITS = 2048, 2048
+SKETCH_PARTS, SKETCH_BITS = 4096, 2048
 #: Standard deviations below the limit at which a pair is weeded out.
 SKETCH_MARGIN = 5.0
 #: Bands that the first comparisons use.
@@ -209,7 +209,7 @@ def most_odd_bits(n_a, n_b, percent: int, exp, sqrt):
         return (1 - exp(n / -parts)) * parts
 
     spread = sqrt(held(union) * (1 - held(union) / union) * (s * (1 - s))) * 2
-    differ = held(n_a) + held(n_b) - held(union) * (2 * s) + spread * SKETCH_MARGIN + 2
+    differ = held(n_a) + held(n_b) - held(union) * (2 * s) + spread * SKETCH_MARGIN + 1
     odd = (1 - exp(differ * (-2 / bits))) * (bits / 2)
     return odd + sqrt(differ - odd) * 4
 
