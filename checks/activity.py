@@ -238,9 +238,22 @@ def _event_stream(spark, sf):
     )
 
 
-def _service_stream(spark, sf):
-    return _event_stream(spark, sf).select(
-        "run_id", "event_id", "at", (F.col("scope") == "error").alias("refused"), (F.col("scope") == "purchase").alias("answered"))
+def _as_stream(spark, rows, folder, files=3, seconds=0):
+    """A table as a stream of ``files`` files in order of time; with ``seconds``, a last row
+    without a run that only moves the time on so far past the latest event."""
+    dealt = rows.repartitionByRange(files, "at").withColumn("_file", F.spark_partition_id()).persist()
+    for number in range(files):  # one after the other, as files are read in the order in which they came
+        dealt.filter(F.col("_file") == number).drop("_file").coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    dealt.unpersist()
+    if seconds:
+        clock = rows.agg((F.max("at") + F.make_dt_interval(secs=F.lit(seconds))).alias("at")).filter("at IS NOT NULL")
+        columns = [F.col("at") if c == "at" else F.lit(None).cast(t).alias(c) for c, t in rows.dtypes]
+        clock.select(*columns).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+
+
+#: The last row lies this far behind the watermark's delay, so all events are passed by it.
+_PAST = 10 * 60 + 1
 
 
 def stream_log(spark, sf):
@@ -276,15 +289,33 @@ register("stream_fanout", stream_fanout, f"""
 
 
 def stream_throttle(spark, sf):
-    return _plain_episodes(throttle.monitor(_service_stream(spark, sf), sinks.new_folder(spark, "throttle")))
+    folder = sinks.new_folder(spark, "throttle")
+    told = throttle.monitor(_as_stream(spark, _service(spark, sf), folder, seconds=_PAST), folder)
+    return _plain_episodes(throttle.episodes(told))
+
+
+def stream_give_up(spark, sf):
+    folder = sinks.new_folder(spark, "giveup")
+    told = throttle.monitor(_as_stream(spark, _service(spark, sf), folder, seconds=_PAST), folder)
+    return throttle.give_ups(told).select("run_id", "episode", F.unix_micros("at").alias("at_us"), "refusals")
 
 
 def stream_announce(spark, sf):
-    told = throttle.announcements(_service_stream(spark, sf))
-    return sinks.run_append(told, sinks.new_folder(spark, "announce")).select("run_id", "event_id", "episode")
+    folder = sinks.new_folder(spark, "announce")
+    return throttle.announce(_as_stream(spark, _service(spark, sf), folder, seconds=_PAST), folder).select("run_id", "event_id", "episode")
 
 
 register("stream_throttle", stream_throttle, _EPISODES)
+register("stream_give_up", stream_give_up, """
+    WITH streak AS (
+      SELECT run_id, island, min(us) FILTER (refused) AS started, dense_rank() OVER (PARTITION BY run_id ORDER BY island) AS episode,
+        min(us) FILTER (refused) + CASE WHEN island > 0 THEN 3600 ELSE 180 END * 1000000::BIGINT AS limit_us
+      FROM svc_event GROUP BY run_id, island HAVING count(*) FILTER (refused) > 0),
+    ended AS (
+      SELECT s.*, (SELECT min(us) FROM svc_event a WHERE a.run_id = s.run_id AND a.answered AND a.island = s.island + 1) AS answer_us FROM streak s)
+    SELECT run_id, episode, limit_us AS at_us,
+      (SELECT count(*) FROM svc_event r WHERE r.run_id = e.run_id AND r.island = e.island AND r.refused AND r.us < e.limit_us) AS refusals
+    FROM ended e WHERE coalesce(answer_us, (SELECT (max(us) // 1000 + 1000) * 1000 FROM svc_event)) >= limit_us""")
 register("stream_announce", stream_announce, """
     WITH RECURSIVE ep AS (SELECT run_id, event_id, us, dense_rank() OVER (PARTITION BY run_id ORDER BY island) AS episode,
         row_number() OVER (PARTITION BY run_id ORDER BY us, event_id) AS n FROM svc_event WHERE refused),
@@ -298,8 +329,9 @@ register("stream_announce", stream_announce, """
 
 
 def stream_progress(spark, sf):
-    events = _event_stream(spark, sf).select("run_id", F.col("scope").alias("kind"), "at")
-    done = log_stream.run_progress(events, sinks.new_folder(spark, "progress"))
+    folder = sinks.new_folder(spark, "progress")
+    events = R.f_event(spark, sf).select("run_id", F.col("scope").alias("kind"), "at")
+    done = log_stream.run_progress(_as_stream(spark, events, folder, seconds=61 * 86_400), folder, quiet="60 days")
     return done.select("run_id", "kind", "events", F.unix_micros("latest").alias("latest_us"))
 
 

@@ -69,6 +69,10 @@ register("cut_time_bins", lambda s, d: chapters.cut_time(R.f_chapter(s, d)).sele
     SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY para, k) - 1 AS piece, text, length(text) AS chars FROM rows""")
 
 
+# The cheapest cut is a search over all cuts; tests/test_chapters.py holds it against one.
+register("cut_cheapest", lambda s, d: chapters.cut_cheapest(R.f_chapter(s, d)).select("doc_id", "piece", "text", "chars"))
+
+
 def gap_cost(spark, sf):
     """Where each cost falls in each chapter: how often, first, last, and the sum of places."""
     return chapters.gap_costs(R.f_chapter(spark, sf)).groupBy("doc_id", "cost").agg(

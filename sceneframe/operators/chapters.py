@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -149,6 +151,90 @@ def straddle_costs(chapters: DataFrame, sentences_per_piece: int) -> DataFrame:
     return d.select("doc_id", F.posexplode(inner).alias("piece", "cost"))
 
 
+#: What a piece pays for two paragraphs that do not both end in a whole sentence, for two that
+#: do, and for a quotation that opens or closes inside it.
+BROKEN_JOIN, WHOLE_JOIN, QUOTE_JOIN = 1000, 3, 4
+#: A word as an integer: characters, cost of a cut after it, and four marks.
+_STOPS, _LAST, _WHOLE, _QUOTE = 1, 2, 4, 8
+#: All costs are whole numbers of this part of one, as those of ``length_cost_units``.
+_UNITS = 326
+
+
+def cheapest_cuts(chars: np.ndarray, gaps: np.ndarray, marks: np.ndarray, reach: int) -> np.ndarray:
+    """Where the pieces of the cheapest cut of a run of words end, as counts of words.
+
+    One pass over the words: the best cost up to a word is the least, over the last pieces
+    of at most ``reach`` characters that end there, of the best cost before the piece, its
+    length's cost, the cost of the cut and what it joins. Of equal costs the shorter last
+    piece wins. A longer word is a piece alone.
+    """
+    n = len(chars)
+    upto = np.concatenate(([0], np.cumsum(chars + 1)))  # a space after every word
+    stops = (marks & _STOPS) > 0
+    crossing = np.where(marks & _LAST, BROKEN_JOIN, 0)
+    ends = np.flatnonzero(marks & _LAST)
+    whole = (marks[ends] & _WHOLE) > 0
+    if len(ends) > 1:
+        crossing[ends[:-1][whole[:-1] & whole[1:]]] = WHOLE_JOIN
+    paid = np.concatenate(([0], np.cumsum(np.where(stops, crossing + np.where(marks & _QUOTE, QUOTE_JOIN, 0), 0)))) * _UNITS
+    seen = np.concatenate(([0], np.cumsum(stops)))
+    starts_whole = np.concatenate(([True], stops))
+    length = np.arange(max(reach, int(chars.max(initial=0))) + 1)
+    length = np.where(length * 10 < 489, 4 * (489 - 10 * length) + 8 * np.maximum(326 - 10 * length, 0), 0) + np.where(
+        length * 10 > 815, 6 * (10 * length - 815) + 17 * np.maximum(20 * length - 2445, 0), 0)
+    best, origin, low = np.zeros(n + 1, np.int64), np.zeros(n + 1, np.int64), 0
+    for b in range(1, n + 1):
+        while low < b - 1 and upto[b] - upto[low] - 1 > reach:
+            low += 1
+        a = np.arange(b - 1, low - 1, -1)
+        joined = np.where(starts_whole[a] & (b == n or stops[b - 1]), paid[b - 1] - paid[a], BROKEN_JOIN * _UNITS)
+        joined[(a > b - 2) | (seen[b - 1] == seen[a])] = 0
+        costs = best[a] + length[upto[b] - upto[a] - 1] + joined
+        k = int(costs.argmin())
+        best[b], origin[b] = costs[k] + (0 if b == n else int(gaps[b - 1]) * _UNITS), a[k]
+    cuts = []
+    while n > 0:
+        cuts.append(n)
+        n = int(origin[n])
+    return np.array(cuts[::-1], np.int32)
+
+
+def cut_cheapest(chapters: DataFrame, max_seconds: float = C.MAX_PIECE_SECONDS) -> DataFrame:
+    """Chapters cut where it costs least, in length, in where the cuts fall and in what pieces join.
+
+    The words and their costs are native expressions of the chapter's row, as in ``gap_costs``
+    and ``straddle_costs``; only the search itself, over three numbers a word, is a vectorised
+    function. Costs are whole numbers, so the answer does not depend on the order of sums.
+    """
+    reach = int(math.ceil(max_seconds * C.CHARS_PER_SECOND * 3)) + 1
+    closed = F.transform(T.paragraphs(F.col("chapter")), lambda p: F.concat(p, F.lit("\f")))
+    split = settle(spread(chapters.select("doc_id", "chapter")), {"w": F.split(F.array_join(closed, " "), " ")}).drop("chapter").filter("w[0] <> ''")
+    following = F.concat(F.slice("w", F.lit(2), F.greatest(F.size("w") - 1, F.lit(0))), F.array(F.lit("")))
+
+    def measured(marked: Column, after: Column) -> Column:
+        word, last = F.rtrim(marked, F.lit("\f")), marked.endswith("\f")
+        after = F.rtrim(after, F.lit("\f"))
+        ends = T.ends_sentence(word)
+        flags = F.when(ends | last, _STOPS).otherwise(0) + F.when(last, _LAST).otherwise(0) + F.when(ends & last, _WHOLE).otherwise(0)
+        quote = T.opens_quote(after) | T.closes_quote(word)
+        return F.array(F.length(word), gap_cost(word, after, last), flags + F.when(quote, _QUOTE).otherwise(0))
+
+    @F.arrow_udf("array<int>")
+    def search(words: pa.Array) -> pa.Array:
+        offsets, flat = words.offsets.to_numpy(), words.values.values.to_numpy(zero_copy_only=False).reshape(-1, 3).astype(np.int64)
+        found = [cheapest_cuts(*flat[a:b].T, reach) for a, b in zip(offsets[:-1], offsets[1:])]
+        ends = np.concatenate(([0], np.cumsum([len(f) for f in found]))).astype(np.int32)
+        return pa.ListArray.from_arrays(ends, np.concatenate([*found, np.empty(0, np.int32)]).astype(np.int32))
+
+    measured_ = settle(split, {"m": F.zip_with("w", following, measured)})
+    d = measured_.select("doc_id", "w", search("m").alias("cuts"))
+    starts = F.concat(F.array(F.lit(0)), F.slice("cuts", F.lit(1), F.size("cuts") - 1))
+    texts = F.zip_with(starts, "cuts", lambda a, b: F.translate(F.array_join(F.slice("w", a + 1, b - a), " "), "\f", ""))
+    rows = d.select("doc_id", F.posexplode(texts).alias("piece", "text"))
+    chars = F.length("text").cast("bigint")
+    return rows.withColumns({"chars": chars, "seconds": chars / F.lit(C.CHARS_PER_SECOND)})
+
+
 def number_pieces(pieces: DataFrame, taken: DataFrame) -> DataFrame:
     """Scene names for new pieces, after the numbers each project has already taken.
 

@@ -2,34 +2,83 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
+from pyspark.sql.types import Row, StructType
 
 from sceneframe.operators import pairing
 from sceneframe.streaming import sinks
+from sceneframe.streaming.keyed import keyed_store
+
+#: Keys that a project's files are dealt to, so that a very large project is not one task.
+PARTS = 4
+
+
+class Held(StatefulProcessor):
+    """Keeps the files of a key; a key that a batch touches gives out all it holds."""
+
+    def __init__(self, schema: StructType):
+        self.fields = schema
+
+    def init(self, handle) -> None:
+        self.files = handle.getListState("files", self.fields)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        fresh = []
+        for row in rows:
+            if row["_lands"]:
+                fresh.append(tuple(row[f.name] for f in self.fields))
+            if len(fresh) == 1000:
+                self.files.appendList(fresh)
+                fresh = []
+        if fresh:
+            self.files.appendList(fresh)
+        for held in self.files.get():
+            yield Row(**dict(zip(self.fields.names, held)))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def touched_files(assets: DataFrame, parts: int = PARTS) -> DataFrame:
+    """A stream of assets as, batch by batch, all files of the projects it touches.
+
+    The catalog is keyed state. Every file is dealt to one part of its project and wakes the
+    others, so a batch reads the state of its own projects and of no others.
+    """
+    columns = [F.col(c) for c in assets.columns]
+    own = F.pmod(F.xxhash64(*columns), F.lit(parts)).cast("int")
+    dealt = assets.select(F.col("project_id").alias("_project"), own.alias("_own"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("_part"), *columns)
+    lands = F.col("_own") == F.col("_part")
+    # What only wakes a part is one row with nothing else in it.
+    rows = dealt.select("_project", "_part", lands.alias("_lands"), *[F.when(lands, F.col(c)).alias(c) for c in assets.columns])
+    return rows.groupBy("_project", "_part").transformWithState(Held(assets.schema), assets.schema, "update", "None")
 
 
 def intake(assets: DataFrame, folder: str) -> DataFrame:
     """Drive a stream of assets; the latest intake summary of every project.
 
-    Each batch adds its files to the catalog under its own id, then pairs again only the
-    projects it touched, with all the files they have by then.
+    Each batch pairs again only the projects it touched, with all the files they have by
+    then; a batch that is run again overwrites its own summary.
     """
     spark = assets.sparkSession
-    catalog_schema = assets.schema
-    nothing = spark.createDataFrame([], catalog_schema)
+    nothing = spark.createDataFrame([], assets.schema)
     summary_schema = pairing.intake_summary(nothing, nothing).schema
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(sinks.batch_path(folder, "catalog", batch_id))
-        landed = spark.read.schema(catalog_schema).parquet(sinks.batch_path(folder, "catalog", batch_id))
-        known = sinks.read_batches(spark, folder, "catalog", catalog_schema)
-        known = known.filter(F.col("batch") <= batch_id).drop("batch")
-        touched = known.join(landed.select("project_id").distinct(), "project_id", "left_semi")
-        summary = pairing.intake_summary(touched, touched)
-        summary.write.mode("overwrite").parquet(sinks.batch_path(folder, "summary", batch_id))
-
-    sinks.run_batches(assets, folder, each)
+        # Written once, as the summary reads it more than once; the next batch replaces it.
+        batch.write.mode("overwrite").parquet(f"{folder}/touched")
+        touched = batch.sparkSession.read.schema(assets.schema).parquet(f"{folder}/touched")
+        pairing.intake_summary(touched, touched).write.mode("overwrite").parquet(sinks.batch_path(folder, "summary", batch_id))
+
+    with keyed_store(spark):
+        sinks.run_batches(touched_files(assets), folder, each, mode="update")
     rows = sinks.read_batches(spark, folder, "summary", summary_schema)
     columns = [c for c in rows.columns if c not in ("project_id", "batch")]
     latest = rows.groupBy("project_id").agg(F.max_by(F.struct(*columns), "batch").alias("s"))

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Callable
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,15 +18,40 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/streams/{name}-{uuid.uuid4().hex}"
 
 
-def run_append(df: DataFrame, folder: str) -> DataFrame:
-    """Drive an append-only stream over what is there now; the written rows."""
-    query = (
-        df.writeStream.format("parquet").outputMode("append")
-        .option("checkpointLocation", f"{folder}/checkpoint").option("path", f"{folder}/out")
-        .trigger(availableNow=True).start()
-    )
-    query.awaitTermination()
-    return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/out")
+def run_append(df: DataFrame, folder: str, keep_metrics: bool = False) -> DataFrame:
+    """Drive an append-only stream over what is there now; the written rows.
+
+    With ``keep_metrics`` the observed metrics of every batch are written beside them.
+    """
+    spark = df.sparkSession
+    writer = df.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{folder}/checkpoint").option("path", f"{folder}/out")
+    with _progress_kept(spark, 100_000 if keep_metrics else None):
+        query = writer.trigger(availableNow=True).start()
+        query.awaitTermination()
+    if keep_metrics:
+        told = [(p["batchId"], name, json.dumps(row.asDict())) for p in query.recentProgress for name, row in p.observedMetrics.items()]
+        for batch in sorted({b for b, _, _ in told}):
+            rows = spark.createDataFrame([(n, v) for b, n, v in told if b == batch], "name string, value string")
+            rows.coalesce(1).write.mode("overwrite").parquet(batch_path(folder, "metrics", batch))
+    return spark.read.schema(df.schema).parquet(f"{folder}/out")
+
+
+@contextmanager
+def _progress_kept(spark: SparkSession, batches: int | None):
+    name = "spark.sql.streaming.numRecentProgressUpdates"
+    before = spark.conf.get(name)
+    if batches:
+        spark.conf.set(name, batches)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def metrics(spark: SparkSession, folder: str, name: str) -> list[dict]:
+    """One metric of every batch that was driven, this run's and earlier ones'."""
+    found = read_batches(spark, folder, "metrics", "name string, value string").filter(F.col("name") == name)
+    return [json.loads(r["value"]) for r in found.select("value").collect()]
 
 
 def run_batches(df: DataFrame, folder: str, each: Callable[[DataFrame, int], None], mode: str = "append") -> None:

@@ -1,129 +1,127 @@
-"""The throttle monitor: streaks of refusals across micro-batches, and when to announce them.
+"""The throttle monitor: streaks of refusals, when patience runs out, and when to announce them.
 
-The monitor keeps one small row per run between batches and folds each batch into it with the
-same ordered jobs the batch report uses, so a run that fills a whole batch is still spread
-over tasks. State is written under the id of the batch that made it; a batch that is run
-again reads the state before it and overwrites its own.
+Both follow the events of a run in their order, out of the engine's keyed state, and are told
+of the time by event-time timers; see ``keyed``. What they tell is only ever appended, so a
+batch that is run again changes nothing.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import Row
 
-from sceneframe.constants import ANNOUNCE_SECONDS
+from sceneframe import constants as C
 from sceneframe.operators import activity
 from sceneframe.streaming import sinks
+from sceneframe.streaming.keyed import InOrder, in_order, keyed_store
+
+#: How late an event may be, and how long a run is quiet before its state is dropped.
+WATERMARK, QUIET_DAYS = "10 minutes", 90
+
+_SECOND, _DAY = 1_000_000, 86_400_000_000
 
-STATE = "run_id bigint, episodes bigint, refusals bigint, started timestamp, ended timestamp, spoken_any boolean, open boolean"
 EPISODE = ("run_id bigint, episode bigint, started timestamp, ended timestamp, refusals bigint, spoken_any boolean, "
            "last_wait bigint, waited bigint, gave_up boolean")
+#: ``what`` is going, closed or gave_up; ``turn`` orders what is told about a run.
+TOLD = "run_id bigint, turn bigint, what string, at_us bigint, episode bigint, started_us bigint, ended_us bigint, refusals bigint, spoken_any boolean"
+ANNOUNCED = "run_id bigint, event_id bigint, at timestamp, episode bigint"
 
 
-def fold(state: DataFrame, batch: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """One batch folded into the state: the streaks it closed, and the state after it."""
-    found = activity.streaks(batch)
-    told = batch.filter("refused OR answered").groupBy("run_id").agg(F.count_if("answered").alias("answers"))
-    old = state.select("run_id", F.col("episodes").alias("o_episodes"), F.col("refusals").alias("o_refusals"),
-                       F.col("started").alias("o_started"), F.col("ended").alias("o_ended"),
-                       F.col("spoken_any").alias("o_spoken"), F.col("open").alias("o_open"))
-    # A streak left open goes on in the batch's streak before its first answer.
-    carried = old.filter("o_open").join(told, "run_id").select(
-        "run_id", F.lit(0).cast("bigint").alias("island"), F.col("o_started").alias("started"),
-        F.col("o_ended").alias("ended"), F.col("o_refusals").alias("refusals"), F.lit(1).alias("_continued"))
-    streaks = (
-        found.withColumn("island", F.col("island").cast("bigint")).withColumn("_continued", F.lit(0)).unionByName(carried)
-        .groupBy("run_id", "island").agg(
-            F.min("started").alias("started"), F.max("ended").alias("ended"), F.sum("refusals").alias("refusals"),
-            F.max("_continued").alias("_continued"))
-    )
-    ranked = activity.numbered(streaks, ["run_id"], ["island"], "_nth")
-    known = ranked.join(told, "run_id").join(old.select("run_id", "o_episodes", "o_spoken", "o_open"), "run_id", "left")
-    before = F.coalesce("o_episodes", F.lit(0)) - F.when(F.coalesce("o_open", F.lit(False)), 1).otherwise(0)
-    numbered = known.select(
-        "run_id", (before + F.col("_nth")).alias("episode"), "started", "ended", "refusals",
-        ((F.col("island") > 0) | F.coalesce("o_spoken", F.lit(False))).alias("spoken_any"),
-        (F.col("island") == F.col("answers")).alias("open"),
-    )
-    closed = activity.finished(numbered.filter("NOT open").drop("open"))
-    last = numbered.groupBy("run_id").agg(
-        F.max("episode").alias("n_episodes"), F.max_by(F.struct("started", "ended", "refusals", "open"), "episode").alias("s"))
-    after = told.join(last, "run_id", "left").join(old, "run_id", "full")
-    still = F.col("s.open")
-    touched = F.col("answers").isNotNull()
-    state_after = after.select(
-        "run_id", F.coalesce("n_episodes", "o_episodes", F.lit(0)).alias("episodes"),
-        F.when(touched, F.when(still, F.col("s.refusals"))).otherwise(F.col("o_refusals")).alias("refusals"),
-        F.when(touched, F.when(still, F.col("s.started"))).otherwise(F.col("o_started")).alias("started"),
-        F.when(touched, F.when(still, F.col("s.ended"))).otherwise(F.col("o_ended")).alias("ended"),
-        (F.coalesce("o_spoken", F.lit(False)) | F.coalesce(F.col("answers") > 0, F.lit(False))).alias("spoken_any"),
-        F.when(touched, F.coalesce(still, F.lit(False))).otherwise(F.coalesce("o_open", F.lit(False))).alias("open"),
-    )
-    return closed, state_after
-
-
-def open_episodes(state: DataFrame) -> DataFrame:
-    """Streaks that have not been answered yet, as episodes."""
-    left = state.filter("open").select(
-        "run_id", F.col("episodes").alias("episode"), "started", "ended", "refusals", "spoken_any")
-    return activity.finished(left)
-
-
-def monitor(events: DataFrame, folder: str) -> DataFrame:
-    """Drive the monitor over a stream of service events; every episode, closed or open."""
-    spark = events.sparkSession
-
-    def state_of(batch_id: int) -> DataFrame:
-        if batch_id < 0:
-            return spark.createDataFrame([], STATE)
-        return spark.read.schema(STATE).parquet(sinks.batch_path(folder, "state", batch_id))
-
-    def each(batch: DataFrame, batch_id: int) -> None:
-        closed, state = fold(state_of(batch_id - 1), batch)
-        closed.write.mode("overwrite").parquet(sinks.batch_path(folder, "closed", batch_id))
-        state.write.mode("overwrite").parquet(sinks.batch_path(folder, "state", batch_id))
-
-    sinks.run_batches(events, folder, each)
-    # From storage: a restart may bring no batch of its own.
-    batches = sinks.written_batches(spark, folder, "state")
-    if not batches:
-        return spark.createDataFrame([], EPISODE)
-    done = sinks.read_batches(spark, folder, "closed", EPISODE).drop("batch")
-    return done.unionByName(open_episodes(state_of(batches[-1])))
+class Monitor(InOrder):
+    """Streaks of a run: going on at every refusal, given up when patience runs out, closed by an answer."""
 
+    STATE = ("episode bigint, started_us bigint, ended_us bigint, refusals bigint, spoken_any boolean, given_up boolean, "
+             "turn bigint, last_us bigint")
+    NEW = {"episode": 0, "started_us": None, "ended_us": None, "refusals": 0, "spoken_any": False, "given_up": False, "turn": 0, "last_us": None}
 
-ANNOUNCED = "run_id bigint, event_id bigint, at timestamp, episode bigint"
-_TOLD = "episode bigint, streak boolean, told_episode bigint, told_us bigint"
-
-
-def _announce(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    episode, streak, told_episode, told_us = state.get if state.exists else (0, False, -1, 0)
-    rows = pd.concat(list(frames)).sort_values(["at", "event_id"], kind="stable")
-    said = []
-    for event_id, at, refused in zip(rows["event_id"], rows["at"], rows["refused"]):
-        if not refused:
-            streak = False
-            continue
-        if not streak:
-            streak, episode = True, episode + 1
-        now = at.value // 1000 if at.unit == "ns" else int(at.timestamp() * 1_000_000)
-        if told_episode < 0 or (told_episode != episode and now - told_us >= ANNOUNCE_SECONDS * 1_000_000):
-            told_episode, told_us = episode, now
-            said.append((key[0], int(event_id), at, episode))
-    state.update((episode, streak, told_episode, told_us))
-    yield pd.DataFrame(said, columns=["run_id", "event_id", "at", "episode"])
-
-
-def announcements(events: DataFrame) -> DataFrame:
-    """Refusals worth telling somebody about: a new episode, at most one in ten minutes.
-
-    Whether one is told depends on when the last one was, so it is kept as state per run. A
-    micro-batch holds what one trigger admits, which bounds what a run can bring at once.
-    """
-    service = events.filter("refused OR answered").select("run_id", "event_id", "at", "refused")
-    return service.groupBy("run_id").applyInPandasWithState(
-        _announce, ANNOUNCED, _TOLD, "append", GroupStateTimeout.NoTimeout)
+    def _tell(self, key, state: dict, what: str, at_us: int) -> Row:
+        state["turn"] += 1
+        return Row(run_id=key[0], turn=state["turn"], what=what, at_us=at_us, **{c: state[c] for c in ("episode", "started_us", "ended_us", "refusals", "spoken_any")})
+
+    def due(self, state):
+        if state["started_us"] is None or state["given_up"]:
+            return None
+        patience = C.PATIENCE_SECONDS if state["spoken_any"] else C.PATIENCE_COLD_SECONDS
+        return state["started_us"] + patience * _SECOND
+
+    def moment(self, key, state, now_us) -> Iterator[Row]:
+        limit = self.due(state)
+        if limit is not None and limit <= now_us:
+            state["given_up"] = True
+            yield self._tell(key, state, "gave_up", limit)
+
+    def event(self, key, state, row) -> Iterator[Row]:
+        yield from self.moment(key, state, row.at_us)
+        if not row.refused:
+            if state["started_us"] is not None:
+                yield self._tell(key, state, "closed", row.at_us)
+            state.update(started_us=None, ended_us=None, refusals=0, spoken_any=True, given_up=False)
+            return
+        if state["started_us"] is None:
+            state.update(episode=state["episode"] + 1, started_us=row.at_us)
+        state.update(refusals=state["refusals"] + 1, ended_us=row.at_us)
+        yield self._tell(key, state, "going", row.at_us)
+
+
+class Announcer(InOrder):
+    """Refusals worth telling somebody about: a new episode, at most one in ten minutes."""
+
+    STATE = "episode bigint, streak boolean, told_episode bigint, told_us bigint, last_us bigint"
+    NEW = {"episode": 0, "streak": False, "told_episode": None, "told_us": None, "last_us": None}
+
+    def event(self, key, state, row) -> Iterator[Row]:
+        if not row.refused:
+            state["streak"] = False
+            return
+        if not state["streak"]:
+            state.update(streak=True, episode=state["episode"] + 1)
+        told = state["told_us"]
+        if told is None or (state["told_episode"] != state["episode"] and row.at_us - told >= C.ANNOUNCE_SECONDS * _SECOND):
+            state.update(told_episode=state["episode"], told_us=row.at_us)
+            yield Row(run_id=key[0], event_id=row.event_id, at_us=row.at_us, episode=state["episode"])
+
+
+def _service(events: DataFrame) -> DataFrame:
+    # A row that says neither still tells the time.
+    silent = ~(F.coalesce("refused", F.lit(False)) | F.coalesce("answered", F.lit(False)))
+    return events.select(F.when(~silent, F.col("run_id")).alias("run_id"), "event_id", "at", F.coalesce("refused", F.lit(False)).alias("refused"))
+
+
+def watch(events: DataFrame, watermark: str = WATERMARK, quiet_days: int = QUIET_DAYS) -> DataFrame:
+    """A stream of ``run_id, event_id, at, refused, answered`` as what the monitor tells of it."""
+    return in_order(_service(events), "run_id", Monitor(quiet_days * _DAY), TOLD, watermark)
+
+
+def episodes(told: DataFrame) -> DataFrame:
+    """Every episode as it was last told, open ones too."""
+    seen = told.filter("what IN ('going', 'closed')").groupBy("run_id", "episode").agg(
+        F.max_by(F.struct("started_us", "ended_us", "refusals", "spoken_any"), "turn").alias("s"))
+    return activity.finished(seen.select(
+        "run_id", "episode", F.timestamp_micros("s.started_us").alias("started"), F.timestamp_micros("s.ended_us").alias("ended"),
+        "s.refusals", "s.spoken_any"))
+
+
+def give_ups(told: DataFrame) -> DataFrame:
+    """When patience ran out, per episode in which it did."""
+    return told.filter("what = 'gave_up'").select("run_id", "episode", F.timestamp_micros("at_us").alias("at"), "refusals")
+
+
+def monitor(events: DataFrame, folder: str, watermark: str = WATERMARK) -> DataFrame:
+    """Drive the monitor over a stream of service events; everything told so far, earlier runs' included."""
+    with keyed_store(events.sparkSession):
+        return sinks.run_append(watch(events, watermark), folder)
+
+
+def announcements(events: DataFrame, watermark: str = WATERMARK, quiet_days: int = QUIET_DAYS) -> DataFrame:
+    """Announcements of a stream of service events, once each, as soon as the watermark makes them final."""
+    told = in_order(_service(events), "run_id", Announcer(quiet_days * _DAY), "run_id bigint, event_id bigint, at_us bigint, episode bigint", watermark)
+    return told.select("run_id", "event_id", F.timestamp_micros("at_us").alias("at"), "episode")
+
+
+def announce(events: DataFrame, folder: str, watermark: str = WATERMARK) -> DataFrame:
+    """Drive ``announcements``; all that were made so far."""
+    with keyed_store(events.sparkSession):
+        return sinks.run_append(announcements(events, watermark), folder)
