@@ -10,7 +10,7 @@ from checks.relations_sql import RELATIONS
 from checks.validate import SP
 from sceneframe import constants as C
 from sceneframe.operators import captions, chapters, voices
-from sceneframe.sources import scripts
+from sceneframe.sources import imports, scripts
 from sceneframe.sources import voices as voice_source
 
 CL = """["'')\\]»”’*_]"""  # closing marks, quoted for SQL
@@ -118,6 +118,32 @@ register("import_pieces", import_pieces, f"""
     SELECT project_id, piece, lpad(CAST(number AS VARCHAR), greatest(3, length(CAST(last AS VARCHAR)))::INT, '0') AS scene_id, text, strlen(text) > 262144 AS too_long FROM placed""")
 
 
+def import_plan(spark, sf):
+    """Chapters again, with a cap that some pieces break and every eleventh project led by a manifest."""
+    from sceneframe.operators.catalog import next_numbers
+
+    pieces = _pieces(spark, sf).select(F.col("doc_id").alias("project_id"), "piece", "text")
+    blank = R.table(spark, sf, "documents").filter("doc_id % 9 = 4").selectExpr("doc_id AS project_id", "CAST(-1 AS INT) AS piece", "' ' AS text")
+    empty = R.table(spark, sf, "documents").selectExpr("-doc_id - 1 AS project_id", "0 AS piece", "'' AS text")
+    manifests = R.table(spark, sf, "documents").filter("doc_id % 11 = 3").selectExpr("doc_id AS project_id")
+    taken = next_numbers(R.f_asset(spark, sf)).select("project_id", "next_scene")
+    return imports.import_plan(pieces.unionByName(blank).unionByName(empty), taken, manifests, max_bytes=1500)
+
+
+register("import_plan", import_plan, f"""
+    WITH {PIECES_SQL.format(n=2)}, taken AS (SELECT project_id, coalesce(max(CASE WHEN kind IS NOT NULL AND regexp_full_match(stem, '[0-9]+') THEN CAST(stem AS BIGINT) END), 0) + 1 AS nxt
+      FROM kinded GROUP BY project_id),
+    placed AS (SELECT doc_id AS project_id, piece, text, coalesce(nxt, 1) + piece AS number, coalesce(nxt, 1) + count(*) OVER (PARTITION BY doc_id) - 1 AS last,
+        min(CASE WHEN strlen(text) > 1500 THEN piece END) OVER (PARTITION BY doc_id) AS long, doc_id % 11 = 3 AS led
+      FROM pieces LEFT JOIN taken ON project_id = doc_id)
+    SELECT project_id, CAST(piece AS INT) AS piece, lpad(CAST(number AS VARCHAR), greatest(3, length(CAST(last AS VARCHAR)))::INT, '0') AS scene_id, text, NULL AS problem
+    FROM placed WHERE NOT led AND long IS NULL
+    UNION ALL SELECT project_id, CAST(long AS INT), NULL, NULL, 'too_long' FROM placed WHERE NOT led AND piece = long
+    UNION ALL SELECT doc_id, NULL, NULL, NULL, 'manifest_project' FROM documents WHERE doc_id % 11 = 3 AND (doc_id % 9 = 4 OR doc_id IN (SELECT doc_id FROM pieces))
+    UNION ALL SELECT doc_id, NULL, NULL, NULL, 'empty' FROM documents WHERE doc_id % 11 <> 3 AND doc_id % 9 = 4 AND doc_id NOT IN (SELECT doc_id FROM pieces)
+    UNION ALL SELECT -doc_id - 1, NULL, NULL, NULL, 'empty' FROM documents""")
+
+
 def script_scan(spark, sf):
     """Documents as file contents, some with a byte order mark, some with a stray byte."""
     raw = F.col("text").cast("binary")
