@@ -26,8 +26,8 @@ SKETCH_PARTS, SKETCH_BITS = 4096, 2048
 SKETCH_MARGIN = 5.0
 #: Bands that the first comparisons use.
 FIRST_BANDS = 4
-#: Members of a crowded bucket that are compared with the others in a round, times as many
-#: in each next one.
+#: Half so many members of a crowded bucket are compared with the others in the first round,
+#: and so many times as many in each next one.
 LEADS = 8
 #: Digests of texts that may be broadcast: under 4 megabytes.
 FEW_TEXTS = 100_000
@@ -220,10 +220,12 @@ def _may_be_alike(n_a: str, n_b: str, s_a: str, s_b: str, percent: int):
     return sizes & (odd <= most_odd_bits(F.col(n_a).cast("double"), F.col(n_b).cast("double"), percent, F.exp, F.sqrt))
 
 
-def _same_ids(signs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Links between the classes of rows that carry one id."""
+def _same_ids(signs: DataFrame, classes: DataFrame) -> DataFrame | None:
+    """Links between the classes of rows that carry one id, None without such rows."""
     held = signs.filter("id is not null and digest is not null").groupBy("id", "digest").agg(F.count(F.lit(1)).alias("n"))
     shared = settle(held.groupBy("id").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi"), F.count(F.lit(1)).alias("n")).filter("lo < hi").withColumn("key", F.concat(F.lit("id "), "id")))
+    if shared.isEmpty():
+        return None
     nodes = classes.select("digest", "node")
     ends = with_group_facts(held, shared, F.concat(F.lit("id "), "id"), "key", F.xxhash64("digest"), ["lo"]).filter("lo is not null")
     return (
@@ -260,9 +262,8 @@ def _linked_rows(docs: DataFrame, shingle_words: int, percent: int, bands: int |
         lead = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi"), F.min(F.struct("node", "component")).alias("lead"))
         return lead.filter("lo < hi").select("key", "size", F.col("lead.node").alias("a"), F.col("lead.component").alias("component_a"))
 
-    def to_lead(found: DataFrame, most: int) -> DataFrame:
+    def to_lead(rows: DataFrame) -> DataFrame:
         """Pairs of a bucket's first class and its members of other components."""
-        rows = in_buckets(found, most)
         lead = several(rows)
         return rows.join(lead, (rows["key"] == lead["key"]) & (rows["component"] != lead["component_a"])).select("a", F.col("node").alias("b"))
 
@@ -272,47 +273,61 @@ def _linked_rows(docs: DataFrame, shingle_words: int, percent: int, bands: int |
     def components(links: DataFrame) -> DataFrame:
         return settle(connected_components(links))
 
-    links = settle(_same_ids(signs, classes))
-    found = components(links)
-    first = settle(to_lead(found, FIRST_BANDS).groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
-    links = links.unionByName(confirmed(settle(_alike(classes, first, percent))))
+    found: DataFrame = classes.select("node", F.col("node").alias("component")).limit(0)
+    links = _same_ids(signs, classes)
+    if links is not None:
+        links = settle(links)
+        found = components(links)
+    first = settle(to_lead(in_buckets(found, FIRST_BANDS)).groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
+    more = confirmed(settle(_alike(classes, first, percent)))
+    links = more if links is None else links.unionByName(more)
     found = components(links)
 
-    second = settle(to_lead(found, bands).distinct().join(first, ["a", "b"], "left_anti"))
-    more = confirmed(settle(_alike(classes, second, percent)))
-    if not more.isEmpty():
-        links = links.unionByName(more)
-        found = components(links)
+    # Members of the buckets that hold several components; from here on these only get fewer.
+    placed = in_buckets(found, bands)
+    members = settle(placed.join(several(placed).select("key", "size"), "key"))
+
+    def put_together(pairs: DataFrame) -> None:
+        nonlocal links, found, tried
+        fresh = settle(pairs.distinct().join(tried, ["a", "b"], "left_anti"))
+        alike = settle(_alike(classes, fresh, percent))
+        tried = tried.unionByName(fresh)
+        if alike.isEmpty():
+            return
+        more = confirmed(alike)
+        if not more.isEmpty():
+            links = links.unionByName(more)
+            found = components(links)
+
+    def still_open(before: int) -> DataFrame:
+        """Members of the buckets that hold several components yet, of more members than ``before``."""
+        now = members.drop("component").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        crowded = several(now.filter(F.col("size") > before)).select("key")
+        return settle(now.join(crowded, "key", "left_semi"))
+
+    tried = first
+    put_together(to_lead(members))
 
     # Where a member stands in every bucket's order of leads, from 0 to 1.
     turn = (F.xxhash64(F.lit("lead"), "node").cast("double") / F.lit(2.0**64)) + 0.5
-    tried, before, leads = first.unionByName(second), 0, LEADS
+    # Whether two members share an earlier band; 38 bands of 32 bits differ by chance once in 100 million.
+    short = classes.select("node", F.transform("keys", lambda k: F.hash(k)).alias("short"))
+    before, leads = 0, LEADS // 2
     while True:
-        placed = in_buckets(found, bands)
-        crowded = several(placed).filter(F.col("size") > before).select("key", "size")
-        members = settle(placed.join(crowded, "key")).withColumn("turn", turn)
+        members = still_open(before)
         if members.isEmpty():
             break
-        # Sketches and band keys join only the members of buckets that are still open.
-        open_ = settle(members.join(classes.select("node", "n_shingles", "sketch", "keys"), "node"))
-        sides = ("node", "component", "turn", "n_shingles", "sketch", "keys")
+        open_ = members.join(short, "node").withColumn("turn", turn)
+        sides = ("node", "component", "turn", "short")
         now = open_.filter((F.col("turn") >= F.lit(float(before)) / F.col("size")) & (F.col("turn") < F.lit(float(leads)) / F.col("size")))
         left = now.select("key", "band", *[F.col(c).alias(f"{c}_a") for c in sides])
         right = open_.select("key", *[F.col(c).alias(f"{c}_b") for c in sides])
         later = (F.col("turn_a") < F.col("turn_b")) | ((F.col("turn_a") == F.col("turn_b")) & (F.col("node_a") < F.col("node_b")))
         # A pair that shares several bands is looked at in the first of them.
-        band = F.array_position(F.zip_with("keys_a", "keys_b", lambda x, y: x == y), True) - 1
-        pairs = left.join(
-            right,
-            (left["key"] == right["key"]) & (F.col("component_a") != F.col("component_b")) & later
-            & _may_be_alike("n_shingles_a", "n_shingles_b", "sketch_a", "sketch_b", percent) & (F.col("band") == band),
-        ).select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
-        rest = settle(pairs.join(tried, ["a", "b"], "left_anti"))
-        more = confirmed(rest)
-        if not more.isEmpty():
-            links = links.unionByName(more)
-            found = components(links)
-        tried, before, leads = tried.unionByName(rest), leads, leads * LEADS
+        band = F.array_position(F.zip_with("short_a", "short_b", lambda x, y: x == y), True) - 1
+        pairs = left.join(right, (left["key"] == right["key"]) & (F.col("component_a") != F.col("component_b")) & later & (F.col("band") == band))
+        put_together(pairs.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")))
+        before, leads = leads, leads * LEADS
 
     named = classes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = named.groupBy("component").agg(F.min("first").alias("chosen"))
@@ -334,7 +349,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, percent
     3. In all bands, buckets of several components are looked for; members that are not of
        one component with the bucket's first class are compared with it.
     4. In the buckets that still hold several components, rounds of other leads follow: the
-       first 8 members in an order by hash, then 64 and so on, each against the members
+       first 4 members in an order by hash, then 32 and so on, each against the members
        of other components, until every member of such a bucket has been a lead. What a
        round links is one component in the next, so copies that hang together are not paired.
 
