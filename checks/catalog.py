@@ -8,6 +8,7 @@ from checks import relations as R
 from checks.registry import register
 from checks.relations_sql import RELATIONS
 from sceneframe.operators import arrange, catalog, pairing
+from sceneframe.sources import assets
 
 
 # --- catalog -----------------------------------------------------------------
@@ -31,6 +32,41 @@ register("asset_scan", asset_scan, """
     SELECT 'p' || project_id AS project, name, stem, ext, kind, folded, bytes, epoch_us(modified_at) AS modified_us
     FROM kinded WHERE file_no % 7 <> 0 AND file_no % 11 <> 0""")
 
+def asset_inventory(spark, sf):
+    """Project folders out of an inventory of one root, with files of other roots and hidden ones among them."""
+    a = R.f_asset(spark, sf)
+    folder = F.when(F.col("file_no") % 5 == 0, "/other/").when(F.col("file_no") % 7 == 0, "/media/_parked/").otherwise("/media/")
+    takes = F.when(F.col("file_no") % 3 == 0, "takes/").otherwise("")
+    below = F.when(F.col("file_no") % 13 == 0, F.lit("")).otherwise(F.concat(F.lit("p"), F.col("project_id").cast("string"), F.lit("/"), takes))
+    inventory = a.select(F.concat(folder, below, "name").alias("path"), F.col("bytes").alias("length"), F.col("modified_at").alias("modificationTime"))
+    return assets.from_inventory(inventory, "/media/").select("project", "name", "kind", "bytes")
+
+
+register("asset_inventory", asset_inventory, """
+    SELECT CASE WHEN file_no % 13 = 0 THEN 'media' WHEN file_no % 3 = 0 THEN 'p' || project_id || '/takes' ELSE 'p' || project_id END AS project, name, kind, bytes
+    FROM kinded WHERE file_no % 5 <> 0 AND file_no % 7 <> 0""")
+
+
+def asset_changes(spark, sf):
+    """The catalog of a day and of the day before: files that came, went, grew or were touched."""
+    path = F.concat(F.lit("/media/p"), F.col("project_id").cast("string"), F.lit("/"), "name", F.lit("-"), F.col("file_no").cast("string"))
+    a = R.f_asset(spark, sf).select(path.alias("path"), F.col("bytes").alias("length"), F.col("modified_at").alias("modificationTime"), "file_no")
+    before = a.filter("file_no % 7 <> 1").withColumn("length", F.when(F.col("file_no") % 5 == 2, F.col("length") - 1).otherwise(F.col("length")))
+    touched = F.when(F.col("file_no") % 13 == 4, F.col("modificationTime") + F.make_dt_interval(secs=F.lit(1))).otherwise(F.col("modificationTime"))
+    after = a.filter("file_no % 11 <> 3").withColumn("modificationTime", touched)
+    # An older entry of a path beside its latest one.
+    older = after.filter("file_no % 3 = 0").withColumns(
+        {"modificationTime": F.col("modificationTime") - F.make_dt_interval(days=F.lit(1)), "length": F.lit(0).cast("bigint")})
+    return assets.asset_changes(before, after.unionByName(older))
+
+
+register("asset_changes", asset_changes, """
+    SELECT '/media/p' || project_id || '/' || name || '-' || file_no AS path,
+      CASE WHEN file_no % 7 = 1 THEN 'added' WHEN file_no % 11 = 3 THEN 'gone' ELSE 'changed' END AS change,
+      CASE WHEN file_no % 7 <> 1 THEN bytes - CASE WHEN file_no % 5 = 2 THEN 1 ELSE 0 END END AS old_length,
+      CASE WHEN file_no % 11 <> 3 THEN bytes END AS length
+    FROM kinded WHERE NOT (file_no % 7 = 1 AND file_no % 11 = 3) AND (file_no % 7 = 1 OR file_no % 11 = 3 OR file_no % 5 = 2 OR file_no % 13 = 4)""")
+
 register(
     "asset_kind",
     lambda s, d: catalog.classified(R.f_asset(s, d)).select("project_id", "file_no", "kind", "folded"),

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from checks import relations as R
 from checks.registry import register
 from sceneframe.operators import cache, conformance, timeline
 from sceneframe.sources import probes
+from sceneframe.sources import sinks
+from sceneframe.streaming.sinks import new_folder
 
 def fps30():
     return F.lit(30).cast("bigint")
@@ -42,6 +46,19 @@ register("join_list", join_list, f"""
       || '.mp4''' || chr(10) || 'duration ' || (micros // 1000000) || '.' || lpad(CAST(micros % 1000000 AS VARCHAR), 6, '0') AS line FROM timed""")
 
 
+def join_list_files(spark, sf):
+    """Every film's list, written into containers and cut out again by the index; long films in several parts."""
+    path = new_folder(spark, "lists")
+    sinks.write_join_lists(join_list(spark, sf), path, buckets=16, entries=3)
+    return sinks.read_join_lists(spark, path)
+
+
+register("join_list_files", join_list_files, f"""
+    WITH {TIMELINE_SQL} SELECT film_id, string_agg('file ''seg-' || lpad(CAST(scene AS VARCHAR), 4, '0') || '-' || lpad(CAST(film_id AS VARCHAR), 16, '0')
+      || '.mp4''' || chr(10) || 'duration ' || (micros // 1000000) || '.' || lpad(CAST(micros % 1000000 AS VARCHAR), 6, '0') || chr(10), '' ORDER BY scene) AS text
+    FROM timed GROUP BY film_id""")
+
+
 def stopped_at(spark, sf):
     films = R.table(spark, sf, "orders").select(F.col("o_orderkey").alias("film_id"), F.floor(F.col("o_totalprice") / 1000).alias("actual"))
     return timeline.stopped_at(R.f_segment(spark, sf).select("film_id", "scene", "frames"), films)
@@ -61,6 +78,14 @@ def _plan(spark, sf):
 
 register("cache_plan", lambda s, d: cache.cache_plan(_plan(s, d), R.f_stored(s, d)), """
     SELECT film_id, scene, key, frames, kind, provider, key IN (SELECT key FROM f_stored) AS reused FROM f_plan""")
+def cache_plan_store(spark, sf):
+    """The plan against a store that lies in buckets by key."""
+    name = f"store_{uuid.uuid4().hex}"
+    return cache.cache_plan(_plan(spark, sf), cache.write_store(R.f_stored(spark, sf), name, new_folder(spark, "store"), buckets=16))
+
+
+register("cache_plan_store", cache_plan_store, """
+    SELECT film_id, scene, key, frames, kind, provider, key IN (SELECT key FROM f_stored) AS reused FROM f_plan""")
 register("work_list", lambda s, d: cache.work_list(_plan(s, d), R.f_stored(s, d)), """
     SELECT key, count(*) AS wanted_by, min(film_id) AS film_id, min(scene) AS scene FROM f_plan WHERE key NOT IN (SELECT key FROM f_stored) GROUP BY key""")
 register("distinct_work", lambda s, d: cache.distinct_work(

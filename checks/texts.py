@@ -12,6 +12,7 @@ from sceneframe import constants as C
 from sceneframe.operators import captions, chapters, voices
 from sceneframe.sources import imports, scripts
 from sceneframe.sources import voices as voice_source
+from sceneframe.functions.numbers import plain_number
 
 CL = """["'')\\]»”’*_]"""  # closing marks, quoted for SQL
 EN = "[.!?…।॥。！？]"
@@ -144,6 +145,25 @@ register("import_plan", import_plan, f"""
     UNION ALL SELECT -doc_id - 1, NULL, NULL, NULL, 'empty' FROM documents""")
 
 
+_CELLS = ("5", "5.", ".5", "+3.25", "-1e2", "1E-3", "5d", "7f", "0x1p3", "1_0", "inf", "-Infinity", "NaN", "+nan", "1e", ".", "1 2", "soon", "٣", "1e400")
+
+
+def duration_cells(spark, sf):
+    """Durations as people write them, beside every order: which are numbers and which are problems."""
+    cell = F.element_at(F.array(*[F.lit(c) for c in _CELLS]), (F.col("o_orderkey") % len(_CELLS) + 1).cast("int"))
+    rows = R.table(spark, sf, "orders").select(F.col("o_orderkey").alias("position"), cell.alias("cell"))
+    return rows.select("position", F.when(F.isnan(plain_number(F.col("cell"))), "nan").otherwise(plain_number(F.col("cell")).cast("string")).alias("seconds"),
+                       plain_number(F.col("cell")).isNull().alias("problem"))
+
+
+# Every form by hand: what each is read as, or that it is not a number.
+register("duration_cells", duration_cells, f"""
+    SELECT o_orderkey AS position,
+      [{', '.join("'5.0' '5.0' '0.5' '3.25' '-100.0' '0.001' NULL NULL NULL NULL 'Infinity' '-Infinity' 'nan' 'nan' NULL NULL NULL NULL NULL 'Infinity'".split())}][(o_orderkey % {len(_CELLS)} + 1)::INT] AS seconds,
+      o_orderkey % {len(_CELLS)} IN (6, 7, 8, 9, 14, 15, 16, 17, 18) AS problem
+    FROM orders""")
+
+
 def script_scan(spark, sf):
     """Documents as file contents, some with a byte order mark, some with a stray byte."""
     raw = F.col("text").cast("binary")

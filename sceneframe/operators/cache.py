@@ -5,7 +5,7 @@ Plans carry ``film_id, scene, key, frames``; the store carries ``key`` and what
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sceneframe.constants import SPARE_GENERATIONS
@@ -22,6 +22,22 @@ def cache_plan(plan: DataFrame, stored: DataFrame) -> DataFrame:
     return plan.join(held, "key", "left").withColumn("reused", F.col("_held").isNotNull()).drop("_held")
 
 
+def write_store(stored: DataFrame, name: str, path: str, buckets: int) -> DataFrame:
+    """The store as a table bucketed by ``key``, registered as ``name``.
+
+    Everything that joins it by the key then moves the other side only: a plan of thousands
+    of scenes meets a store of billions of artifacts where these lie.
+    """
+    stored.write.bucketBy(buckets, "key").sortBy("key").option("path", path).format("parquet").mode("errorifexists").saveAsTable(name)
+    return stored.sparkSession.table(name)
+
+
+def open_store(spark: SparkSession, name: str, path: str, buckets: int, schema: str) -> DataFrame:
+    """Register a store that another session has written."""
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({schema}) USING parquet CLUSTERED BY (key) SORTED BY (key) INTO {int(buckets)} BUCKETS LOCATION '{path}'")
+    return spark.table(name)
+
+
 def work_list(plan: DataFrame, stored: DataFrame) -> DataFrame:
     """One job per missing key, however many scenes want it."""
     wanted = plan.groupBy("key").agg(

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from sceneframe.constants import MANIFEST_COLUMNS
 from sceneframe.functions import naming as N
+from sceneframe.functions.numbers import plain_number
 from sceneframe.functions.settle import settle
 from sceneframe.functions.text import clean_cell
 
@@ -100,7 +101,7 @@ def drafts(rows: DataFrame) -> DataFrame:
     identifier = F.coalesce(N.manifest_stem(F.col("image")), F.concat(F.lit("row "), F.col("position").cast("string")))
     return cleaned.select(
         "project_id", "position", identifier.alias("id"), "image", "text", F.col("audio_file").alias("audio"),
-        F.col("duration").try_cast("double").alias("duration"),
-        F.when(F.col("duration").try_cast("double").isNull(), F.col("duration")).alias("unread_duration"),
+        plain_number(F.col("duration")).alias("duration"),
+        F.when(plain_number(F.col("duration")).isNull(), F.col("duration")).alias("unread_duration"),
         "voice", "zoom_direction", "zoom_anchor", "caption",
     )

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sceneframe.functions.numbers import plain_number
 from sceneframe.operators.sizing import spread
 
 STREAM_FIELDS = [
@@ -27,7 +28,7 @@ def read_probes(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _number(text: Column) -> Column:
-    n = F.trim(text).try_cast("double")
+    n = plain_number(F.trim(text))
     return F.when(~F.isnan(n) & (F.abs(n) < float("inf")), n)
 
 

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 from pyspark.errors import AnalysisException
 
 PIECES = "project_id bigint, piece int, scene_id string, text string, bucket int"
@@ -28,10 +29,40 @@ def write_pieces(pieces: DataFrame, path: str, buckets: int = 64) -> None:
     new.repartition("bucket", "project_id").write.mode("append").partitionBy("bucket").parquet(path)
 
 
-def write_join_lists(lines: DataFrame, path: str) -> None:
-    """One folder per film; its entries in scene order, over file names that are in order.
+#: Entries of one film that lie in one container file; a longer film goes on in another.
+ENTRIES = 50_000
 
-    Range partitions keep a film together and split a very long one without losing its order.
+INDEX = "film_id bigint, part bigint, bucket int, first bigint, bytes bigint, entries bigint"
+
+
+def write_join_lists(lines: DataFrame, path: str, buckets: int = 64, entries: int = ENTRIES) -> DataFrame:
+    """Join lists in container files, one a bucket, and an index of where each film lies.
+
+    A film is dealt to a bucket by its id, and every further ``entries`` scenes of it to
+    another, so files are as many as buckets, whatever the number of films, and a very long
+    film is not one task. The index gives bucket, first byte and bytes of each part.
     """
-    placed = lines.repartitionByRange("film_id", "scene").sortWithinPartitions("film_id", "scene")
-    placed.select("film_id", F.col("line").alias("value")).write.mode("errorifexists").partitionBy("film_id").text(path)
+    part = F.call_function("div", F.col("scene"), F.lit(entries))
+    placed = lines.select(
+        "film_id", "scene", part.alias("part"), F.pmod(F.hash("film_id", part), F.lit(buckets)).alias("bucket"),
+        F.concat("line", F.lit("\n")).alias("text"))
+    parts = placed.groupBy("bucket", "film_id", "part").agg(F.sum(F.octet_length("text")).cast("bigint").alias("bytes"), F.count(F.lit(1)).alias("entries"))
+    # A bucket's parts, not its entries; in the order in which the file holds them.
+    before = F.sum("bytes").over(W.partitionBy("bucket").orderBy("film_id", "part").rowsBetween(W.unboundedPreceding, -1))
+    parts.select("film_id", "part", "bucket", F.coalesce(before, F.lit(0)).alias("first"), "bytes", "entries").write.mode("errorifexists").parquet(f"{path}/index")
+    # A task holds whole buckets and writes each as one file.
+    ordered = placed.repartition(buckets, "bucket").sortWithinPartitions("bucket", "film_id", "scene")
+    ordered.select("bucket", F.col("text").substr(F.lit(1), F.length("text") - 1).alias("value")).write.mode("errorifexists").option(
+        "maxRecordsPerFile", 0).partitionBy("bucket").text(f"{path}/lists")
+    return lines.sparkSession.read.schema(INDEX).parquet(f"{path}/index")
+
+
+def read_join_lists(spark: SparkSession, path: str, films: DataFrame | None = None) -> DataFrame:
+    """``film_id, text`` of the asked films' join lists, cut out of the containers by the index."""
+    index = spark.read.schema(INDEX).parquet(f"{path}/index")
+    if films is not None:
+        index = index.join(films.select("film_id").distinct(), "film_id", "left_semi")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").load(f"{path}/lists")
+    held = files.select(F.regexp_extract("path", r"/bucket=(\d+)/", 1).cast("int").alias("bucket"), "content")
+    cut = index.join(held, "bucket").select("film_id", "part", F.expr("decode(substring(content, CAST(first + 1 AS INT), CAST(bytes AS INT)), 'UTF-8')").alias("text"))
+    return cut.groupBy("film_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "text"))), lambda p: p["text"]), "").alias("text"))

@@ -9,11 +9,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sceneframe.constants import SILENCE_MIN_SECONDS
+from sceneframe.functions.numbers import plain_number
 from sceneframe.operators.ordered import scan
 
 
 def _after(key: str) -> Column:
-    return F.regexp_extract("line", rf"{key}\s*(\S+)", 1).try_cast("double")
+    return plain_number(F.regexp_extract("line", rf"{key}\s*(\S+)", 1))
 
 
 def silence_spans(lines: DataFrame) -> DataFrame:

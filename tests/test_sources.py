@@ -125,9 +125,54 @@ def test_join_list_of_a_long_film_adds_up(spark, tmp_path):
     timed = timeline.timeline(segments, F.lit(30).cast("bigint"))
     total = timed.agg(F.sum("micros"), F.sum("frames")).first()
     assert total[0] == round(total[1] * 1_000_000 / 30)
-    sinks.write_join_lists(timeline.join_list(timed, F.concat(F.lit("s"), F.col("scene").cast("string"))), str(tmp_path / "lists"))
-    text = "".join(p.read_text() for p in sorted((tmp_path / "lists" / "film_id=1").glob("part-*")))
-    assert [line for line in text.splitlines() if line.startswith("file")] == [f"file 's{i}'" for i in range(1, 801)]
+    lines = timeline.join_list(timed, F.concat(F.lit("s"), F.col("scene").cast("string")))
+    short = lines.filter("scene <= 2").withColumn("film_id", F.lit(7).cast("bigint"))
+    path = str(tmp_path / "lists")
+    index = sinks.write_join_lists(lines.unionByName(short), path, buckets=4, entries=100).collect()
+    files = list((tmp_path / "lists" / "lists").glob("bucket=*/*.txt"))
+    assert len(files) <= 4 and len(files) == len({r["bucket"] for r in index}) and sum(r["entries"] for r in index) == 802
+    assert sum(f.stat().st_size for f in files) == sum(r["bytes"] for r in index)
+    films = spark.createDataFrame([(1,)], "film_id long")
+    found = sinks.read_join_lists(spark, path, films).collect()
+    assert [r["film_id"] for r in found] == [1]
+    assert [line for line in found[0]["text"].splitlines() if line.startswith("file")] == [f"file 's{i}'" for i in range(1, 801)]
+    assert {r["film_id"]: len(r["text"].splitlines()) for r in sinks.read_join_lists(spark, path).collect()} == {1: 1600, 7: 4}
+
+
+def test_only_the_plan_moves_to_a_bucketed_store(spark, tmp_path):
+    stored = spark.range(1000).selectExpr("CAST(id AS STRING) AS key", "id AS nb_frames", "CAST(NULL AS DOUBLE) AS seconds")
+    cache.write_store(stored, "store_of_test", str(tmp_path / "store"), 8)
+    spark.sql("DROP TABLE store_of_test")  # another session has only the files
+    held = cache.open_store(spark, "store_of_test", str(tmp_path / "store"), 8, "key string, nb_frames bigint, seconds double")
+    plan = spark.range(2000).selectExpr("1L AS film_id", "id AS scene", "CAST(id * 2 AS STRING) AS key", "id AS frames").repartition(3)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        made = cache.cache_plan(plan, held)
+        text = made._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert text.count("Exchange hashpartitioning(key") == 1, text
+    assert made.filter("reused").count() == 500
+    assert cache.reuse_check(plan, held, F.lit(30)).count() == 500
+
+
+def test_changes_of_an_inventory(spark):
+    schema = "path string, length long, t long"
+    old = spark.createDataFrame([("a", 1, 1), ("b", 1, 1), ("c", 1, 1), ("c", 9, 0), (None, 1, 1), ("d", None, 1)], schema)
+    new = spark.createDataFrame([("a", 1, 1), ("b", 1, 2), ("e", 5, 1), ("d", None, 1), ("d", None, 1)], schema)
+    plain = [d.select("path", "length", F.timestamp_seconds("t").alias("modificationTime"), F.lit("x").alias("change")) for d in (old, new)]
+    got = sorted(map(tuple, assets.asset_changes(*plain).collect()))
+    assert got == [("b", "changed", 1, 1), ("c", "gone", 1, None), ("e", "added", None, 5)]
+    assert assets.asset_changes(plain[0], plain[0]).count() == 0
+
+
+def test_numbers_are_read_by_one_grammar(spark):
+    from sceneframe.functions.numbers import plain_number
+
+    cells = {"5": 5.0, "5.": 5.0, ".5": 0.5, "-1e2": -100.0, "5d": None, "7f": None, "0x1p3": None, "1_0": None, "inf": float("inf"), " 5": None, "5\n": None, "": None, "1e400": float("inf")}
+    rows = spark.createDataFrame([(k,) for k in cells] + [(None,)], "t string").select("t", plain_number(F.col("t")).alias("n")).collect()
+    assert {r["t"]: r["n"] for r in rows} == {**cells, None: None}
 
 
 def test_a_key_changes_with_every_input(spark):
