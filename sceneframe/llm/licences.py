@@ -198,16 +198,18 @@ def _scores(rows: DataFrame, weights: list[tuple], biases: list[tuple], keys: li
 _COMMON = frozenset("this under with that from which work version free public following terms general you may use the of in and or to is by are not be it any can".split())
 
 
-def anchors(templates=TEMPLATES, least: float = LEAST_LIKENESS) -> list[str]:
-    """Words one of which every line has that shares ``least`` of some template's words.
+def anchors(templates=TEMPLATES, least: float = LEAST_LIKENESS, hits: int = 1) -> list[str]:
+    """Words of which everything that shares ``least`` of some template's words has ``hits`` at least.
 
-    Words are added, those of most templates first and common ones last, until every template
-    has fewer than ``least`` of its words left over. So no line without an anchor is lost.
+    Words are added, those of most templates first and common ones last, until what such a
+    text must share with a template is, but for ``hits``, more than the template has left.
+    A template that asks for fewer words than ``hits`` gives all of its words.
     """
     of = [set(re.findall(r"[a-z0-9]+(?:[.\-]+[a-z0-9]+)*", t.lower())) for _, t in templates]
+    asked = [next(n for n in range(len(t) + 1) if n / len(t) >= least) for t in of]
     chosen: set[str] = set()
     while True:
-        short = [t for t in of if len(t - chosen) >= least * len(t) - 1e-9]
+        short = [t for t, n in zip(of, asked) if len(t - chosen) > max(0, n - hits)]
         if not short:
             return sorted(chosen)
         gain = Counter(w for t in short for w in t - chosen)
@@ -218,46 +220,39 @@ def _pairs(found: Column) -> Column:
     return F.zip_with(F.slice(found, 1, F.greatest(F.size(found) - 1, F.lit(0))), F.slice(found, 2, F.greatest(F.size(found) - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
 
 
-def seeds(templates=TEMPLATES, least: float = LEAST_ORDER) -> list[str]:
-    """Words one of which every text has that holds ``least`` of some template's word pairs; titles apart."""
-    left = []
-    for _, text in templates:
-        of = re.findall(r"[a-z0-9]+(?:[.\-]+[a-z0-9]+)*", text.lower())
-        if len(set(of)) > TITLE_WORDS:
-            made = set(zip(of, of[1:]))
-            left.append((made, least * len(made)))
-    chosen: set[str] = set()
-    while True:
-        gain = Counter(w for made, most in left if len(made) >= most for pair in made for w in set(pair))
-        if not gain:
-            return sorted(chosen)
-        # Of the common words the longest, which are the rarest.
-        word = min(gain, key=lambda w: (w in _COMMON or len(w) < 3, -len(w) if w in _COMMON or len(w) < 3 else -gain[w], w))
-        chosen.add(word)
-        left = [({p for p in made if word not in p}, most) for made, most in left]
+#: What parts words, as in `words`.
+_BETWEEN = r"(?:[^a-z0-9.\-]+|[.\-]+(?![a-z0-9]))+"
 
 
-def units(rows: DataFrame, marked, seeded, every: Column) -> DataFrame:
+def units(rows: DataFrame, long: list[str], short: list[str], alone: list[str], every: Column) -> DataFrame:
     """``id, doc, line_no, n_lines, w, known`` of what is read as one notice.
 
-    That is every ``marked`` line; every 2 to 4 neighbouring lines, blank ones left out of
-    the count, and every longer block between lines without a letter or digit, if a line of
-    it is ``seeded``. ``w`` are the words and ``known`` those of ``every``; ``doc`` is the
-    sha256 of the whole text. All is cut inside the row, so lines are never joined to lines.
+    A line is read if it holds two of the ``long`` or two of the ``short`` anchors or one of
+    ``alone``; 2 to 4 neighbouring lines, blank ones left out of the count, and a longer
+    block between lines without a letter or digit, if they hold two long ones. ``w`` are the
+    words and ``known`` those of ``every``; ``doc`` is the sha256 of the whole text. A text is
+    split into lines and these into words once; all units of a row come out of one array.
     """
-    whole = once(rows, {"_lines": F.split("text", r"\n"), "doc": F.sha2("text", 256)}).drop("text")
-    told = F.transform("_lines", lambda t, i: F.struct(i.alias("at"), t.alias("text"), marked(t).alias("marked"), seeded(t).alias("seeded")))
-    whole = once(whole, {"_told": told}).drop("_lines").filter(F.exists("_told", lambda x: x["marked"] | x["seeded"]))
-    alone = F.transform(F.filter("_told", lambda x: x["marked"]), lambda x: F.struct(x["at"].alias("line_no"), F.lit(1).alias("n_lines"), words(x["text"]).alias("w")))
-    singles = whole.select("id", "doc", F.inline(alone))
-
-    # Only rows with a seed go on to several lines; blank lines are left out of them.
-    several = whole.filter(F.exists("_told", lambda x: x["seeded"]))
-    several = once(several, {"_full": F.filter("_told", lambda x: x["text"].rlike("[A-Za-z0-9]"))}).drop("_told")
-    spots = F.filter(F.transform("_full", lambda x, i: F.when(x["seeded"], i)), lambda i: i.isNotNull())
+    def among(found: Column, of: list[str]) -> Column:
+        return F.array_distinct(F.filter(found, lambda w: w.isin(of or [""])))
+
+    whole = once(rows, {"_words": F.transform(F.split("text", r"\n"), lambda t: F.split(F.lower(t), _BETWEEN))})
+    hits = F.transform("_words", lambda w: F.struct(among(w, long).alias("long"), (
+        (F.size(among(w, short)) > 1) | F.exists(w, lambda x: x.isin(alone or [""]))).alias("short")))
+    whole = once(whole, {"_hits": hits})
+    whole = whole.filter(F.exists("_hits", lambda h: h["short"]) | (F.size(F.array_distinct(F.flatten(F.transform("_hits", lambda h: h["long"])))) > 1))
+    whole = once(whole, {"doc": F.sha2("text", 256), "_lines": F.split("text", r"\n")}).drop("text")
+    told = F.transform(F.arrays_zip("_lines", "_words", "_hits"), lambda x, i: F.struct(
+        i.alias("at"), x["_lines"].rlike("[A-Za-z0-9]").alias("full"), F.filter(x["_words"], lambda w: w != "").alias("w"), x["_hits"]["long"].alias("long"), x["_hits"]["short"].alias("short")))
+    whole = once(whole, {"_told": told}).drop("_lines", "_words", "_hits")
+    single = F.transform(
+        F.filter("_told", lambda x: x["short"] | (F.size(x["long"]) > 1)), lambda x: F.struct(x["at"].alias("line_no"), F.lit(1).alias("n_lines"), x["w"].alias("w")))
+
+    whole = once(whole, {"_single": single, "_full": F.filter("_told", lambda x: x["full"])}).drop("_told")
+    spots = F.filter(F.transform("_full", lambda x, i: F.when(F.size(x["long"]) > 0, i)), lambda i: i.isNotNull())
     # A block begins at a line that the one before does not reach, and ends where the next begins.
     opens = F.filter(F.transform("_full", lambda x, i: F.when((i == 0) | (F.get("_full", i - 1)["at"] < x["at"] - 1), i)), lambda i: i.isNotNull())
-    several = once(several, {"_spots": spots, "_opens": opens, "_size": F.size("_full")})
+    whole = once(whole, {"_spots": spots, "_opens": opens, "_size": F.size("_full")})
 
     def around(i: Column, n: int) -> Column:
         return F.transform(F.sequence(i - n + 1, i), lambda f: F.struct(f.alias("first"), F.lit(n).alias("n")))
@@ -266,17 +261,16 @@ def units(rows: DataFrame, marked, seeded, every: Column) -> DataFrame:
     windows = F.filter(windows, lambda w: (w["first"] >= 0) & (w["first"] + w["n"] <= F.col("_size")))
     blocks = F.filter(
         F.transform("_opens", lambda f, i: F.struct(f.alias("first"), (F.coalesce(F.get("_opens", i + 1), F.col("_size")) - f).alias("n"))),
-        lambda w: (w["n"] > WINDOW_LINES[-1]) & F.exists(F.slice("_full", w["first"] + 1, w["n"]), lambda x: x["seeded"]),
+        lambda w: w["n"] > WINDOW_LINES[-1],
     )
-    several = once(several, {"_cuts": F.concat(windows, blocks)})
+    cuts = F.filter(F.concat(windows, blocks), lambda w: F.size(F.array_distinct(F.flatten(F.transform(F.slice("_full", w["first"] + 1, w["n"]), lambda x: x["long"])))) > 1)
 
     def unit(w: Column) -> Column:
         first, last = F.get("_full", w["first"])["at"], F.get("_full", w["first"] + w["n"] - 1)["at"]
-        text = F.concat_ws("\n", F.transform(F.slice("_full", w["first"] + 1, w["n"]), lambda x: x["text"]))
-        return F.struct(first.alias("line_no"), (last - first + 1).alias("n_lines"), words(text).alias("w"))
+        return F.struct(first.alias("line_no"), (last - first + 1).alias("n_lines"), F.flatten(F.transform(F.slice("_full", w["first"] + 1, w["n"]), lambda x: x["w"])).alias("w"))
 
-    several = several.select("id", "doc", F.inline(F.transform("_cuts", unit)))
-    return once(singles.unionByName(several), {"known": F.array_intersect("w", every)})
+    found = whole.select("id", "doc", F.inline(F.concat("_single", F.transform(cuts, unit))))
+    return once(found, {"known": F.array_intersect("w", every)})
 
 
 def _apart(found: Column) -> Column:
@@ -289,8 +283,8 @@ def _apart(found: Column) -> Column:
 def scan_licences(docs: DataFrame, templates=TEMPLATES, model: tuple[list[tuple], list[tuple]] | None = None, least_probability: float = LEAST_PROBABILITY, least_likeness: float = LEAST_LIKENESS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per id of ``docs``: ``family``, ``probability``, ``likeness``, ``notices``.
 
-    Lines, windows of 2 to 4 lines and blocks (`units`) that hold an anchor word (`anchors`:
-    without one no template confirms the unit) and share at least ``least_likeness`` of some
+    Lines, windows of 2 to 4 lines and blocks (`units`) that hold two anchor words (`anchors`:
+    without them no template confirms the unit) and share at least ``least_likeness`` of some
     template's words are scored by their n-grams; softmax gives each family and the unknown
     class a probability. The best family counts where it beats the unknown class, reaches
     ``least_probability`` and is that of such a template. A unit of several lines needs half
@@ -298,7 +292,7 @@ def scan_licences(docs: DataFrame, templates=TEMPLATES, model: tuple[list[tuple]
     chance; a template of up to three words confirms only a line that it fills by half. Of
     units that overlap the likest counts, the shorter one if they are alike, and blocks last. ``notices`` lists (line_no, family,
     probability, likeness) by first line; the other columns are those of the likeliest
-    notice, ``unknown``, null and null without any. The texts without an anchor are read
+    notice, ``unknown``, null and null without any. The texts without anchors are read
     once and never moved.
 
     Null and empty texts have no notice. Rows that repeat an id are put together under it;
@@ -307,17 +301,11 @@ def scan_licences(docs: DataFrame, templates=TEMPLATES, model: tuple[list[tuple]
     """
     spark = docs.sparkSession
     weights, biases = model or train(docs, templates, id_col=id_col, text_col=text_col)
-    # A coarse cut of texts and lines by the longest part of each anchor, then the exact one.
-    words_in = anchors(templates, least_likeness)
-    marks = F.array(*[F.lit(a) for a in words_in])
-    parts = F.array(*[F.lit(p) for p in sorted({max(re.split(r"[.\-]+", a), key=len) for a in words_in})])
-
-    grown = F.array(*[F.lit(p) for p in sorted({max(re.split(r"[.\-]+", a), key=len) for a in seeds(templates)})])
-    both = F.array_distinct(F.concat(parts, grown))
-
-    def coarse(of: Column):
-        return lambda text: F.arrays_overlap(F.split(F.lower(text), "[^a-z0-9]+"), of)
-
+    sized = [(t, len(set(re.findall(r"[a-z0-9]+(?:[.\-]+[a-z0-9]+)*", t[1].lower())))) for t in templates]
+    # Titles are for lines alone; a title of one word is its own anchor.
+    long = anchors([t for t, n in sized if n > TITLE_WORDS], least_likeness, hits=2)
+    short = anchors([t for t, n in sized if 1 < n <= TITLE_WORDS], least_likeness, hits=2)
+    alone = anchors([t for t, n in sized if n == 1], least_likeness)
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     # The templates are few: their words are constants, so a unit is confirmed where it is read.
     known = [(r["family"], r["w"]) for r in _template_table(spark, templates).withColumn("w", words(F.col("text"))).collect()]
@@ -329,7 +317,7 @@ def scan_licences(docs: DataFrame, templates=TEMPLATES, model: tuple[list[tuple]
             F.array(*[F.lit(x) for x in dict.fromkeys([f"{a} {b}" for a, b in zip(w, w[1:])] or w)]).alias("pairs"),
         ) for f, w in known
     ])
-    cut = units(rows.filter(coarse(both)(F.col("text"))), coarse(parts), coarse(grown), every).filter(F.arrays_overlap("known", marks) | (F.col("n_lines") > 1))
+    cut = units(rows, long, short, alone, every)
     shared = F.transform(of, lambda t: F.struct(t["family"].alias("family"), F.size(F.array_intersect(t["words"], F.col("known"))).alias("n"), F.size(t["words"]).alias("of"), t["pairs"].alias("pairs")))
     cut = once(cut, {"_like": F.filter(shared, lambda t: t["n"] / t["of"] >= least_likeness)}).filter("size(_like) > 0")
     cut = once(cut, {"_pairs": F.when(F.col("n_lines") > 1, F.array_intersect(_pairs(F.col("w")), pairs)), "_size": F.size(F.array_distinct("w"))})
