@@ -17,14 +17,12 @@ from sceneframe.llm.common import class_counts, fold, in_pieces, learning_rows,
 
 #: Bound of the labelled sample: texts of each class, and characters of a text in it.
 MOST_ROWS, MOST_CHARS = 1_000, 8_000
-#: Numbers of terms to choose from, by how well each does on examples kept out of the index.
-TERMS = (16, 64, 256, 1024)
 #: Neighbours that vote, and examples of a block of the index.
-NEIGHBOURS, BLOCK = 15, 64
+NEIGHBOURS, BLOCK = 15, 256
 #: Rows whose crc32 of the id leaves this modulo 5 are never learned from.
 FOLDS, LEFT_OUT = 5, 0
 
-_WORD = re.compile(rb"[a-z\x80-\xff]+")
+_WORD = re.compile(rb"[a-z0-9\x80-\xff]+")
 
 
 def terms(text: bytes) -> list[bytes]:
@@ -37,9 +35,8 @@ def vector(text: bytes, places: dict[bytes, int], idf: np.ndarray) -> tuple[np.n
     if not counts:
         return np.empty(0, np.int64), np.empty(0)
     # One order of terms for one bag of words, so equal texts sum alike.
-    spots = np.array(sorted(places[w] for w in counts))
-    named = {places[w]: n for w, n in counts.items()}
-    weights = np.array([1 + math.log(named[int(s)]) for s in spots]) * idf[spots]
+    spots, times = (np.array(x) for x in zip(*sorted((places[w], n) for w, n in counts.items())))
+    weights = (1 + np.log(times)) * idf[spots]
     return spots, weights / math.sqrt(float(weights @ weights))
 
 
@@ -56,16 +53,18 @@ class BlockMaxIndex:
         self.n = len(vectors)
         self.blocks = -(-self.n // block) if self.n else 0
         self.block = block
-        postings: list[dict[int, tuple[list[int], list[float]]]] = [{} for _ in range(self.blocks)]
         self.top = np.zeros((n_terms, self.blocks))
-        for i, (spots, weights) in enumerate(vectors):
-            b = i // block
-            for t, w in zip(spots.tolist(), weights.tolist()):
-                at, of = postings[b].setdefault(t, ([], []))
-                at.append(i % block)
-                of.append(w)
-                self.top[t, b] = max(self.top[t, b], w)
-        self.postings = [{t: (np.array(at), np.array(of)) for t, (at, of) in p.items()} for p in postings]
+        #: Per block: where each term's postings begin, the examples in them and their weights.
+        self.postings: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for b in range(self.blocks):
+            own = vectors[b * block : (b + 1) * block]
+            spots = np.concatenate([s for s, _ in own]).astype(np.int64)
+            weights = np.concatenate([w for _, w in own])
+            of = np.repeat(np.arange(len(own)), [len(s) for s, _ in own])
+            order = np.argsort(spots, kind="stable")
+            begins = np.concatenate(([0], np.cumsum(np.bincount(spots, minlength=n_terms)))).astype(np.int32)
+            self.postings.append((begins, of[order].astype(np.int32), weights[order]))
+            np.maximum.at(self.top[:, b], spots, weights)
 
     def nearest(self, spots: np.ndarray, weights: np.ndarray, k: int) -> list[tuple[float, int]]:
         """The up to ``k`` examples with the highest cosine above 0, as (cosine, number)."""
@@ -76,14 +75,15 @@ class BlockMaxIndex:
         for b in np.argsort(-bounds, kind="stable").tolist():
             if bounds[b] <= 0 or len(best) == k and bounds[b] < -best[-1][0] - 1e-12:
                 break
-            scores = np.zeros(self.block)
-            lists = self.postings[b]
-            for t, w in zip(spots.tolist(), weights.tolist()):
-                if t in lists:
-                    at, of = lists[t]
-                    scores[at] += w * of
-            best += [(-float(scores[i]), b * self.block + i) for i in np.flatnonzero(scores > 0).tolist()]
-            best = sorted(best)[:k]
+            begins, of, held = self.postings[b]
+            first, lengths = begins[spots], begins[spots + 1] - begins[spots]
+            # The postings of all the query's terms, one after the other.
+            at = np.arange(int(lengths.sum())) + np.repeat(first - np.cumsum(lengths) + lengths, lengths)
+            scores = np.bincount(of[at], np.repeat(weights, lengths) * held[at], self.block)
+            found = np.flatnonzero(scores > 0)
+            if len(found) > k:  # no more than k of a block can be among the k nearest; ties stay
+                found = found[scores[found] >= np.partition(scores[found], -k)[-k]]
+            best = sorted(best + [(-float(scores[i]), b * self.block + i) for i in found.tolist()])[:k]
         return [(-s, i) for s, i in best]
 
 
@@ -108,34 +108,53 @@ def _vote(near: list[tuple[float, int]], marks: np.ndarray) -> tuple[float, floa
     return float(weights @ ones / (weights.sum() + 1.0)), near[0][0]
 
 
-def _pick_terms(rows: list[tuple[int, bytes, int]], shares: tuple[float, float], n: int) -> tuple[dict[bytes, int], np.ndarray]:
-    """The ``n`` terms most tied to the label by chi-squared over documents, and their idf."""
-    of: list[Counter] = [Counter(), Counter()]
+def document_frequencies(docs: DataFrame, vocabulary: list[bytes], text_col: str = "text") -> tuple[np.ndarray, int]:
+    """In how many of all documents each word of a bounded vocabulary occurs, and how many they are."""
+    places = {w: i for i, w in enumerate(vocabulary)}
+    fields = [("term", pa.int32()), ("n", pa.int64())]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, rows = np.zeros(len(places) + 1, np.int64), 0
+        for whole in batches:
+            for batch in in_pieces(whole, 0):
+                for text in batch.column(0).to_pylist():
+                    rows += 1
+                    spots = [places[w] for w in set(terms(text)) if w in places]
+                    found[spots] += 1
+        found[-1] = rows
+        held = np.flatnonzero(found)
+        if len(held):
+            yield record(fields, [held.astype(np.int32), found[held]])
+
+    counted = docs.select(text_bytes(F.col(text_col)).alias("text")).mapInArrow(count, "term int, n bigint").groupBy("term").agg(F.sum("n").alias("n")).collect()
+    out = np.zeros(len(places) + 1, np.int64)
+    for row in counted:
+        out[row["term"]] = row["n"]
+    return out[:-1], int(out[-1])
+
+
+def _label_weights(rows: list[tuple[int, bytes, int]], places: dict[bytes, int]) -> np.ndarray:
+    """How closely each word goes with the label: chi-squared over the examples, 1 at most and never 0."""
+    marks = np.array([y for _, _, y in rows])
+    held = np.zeros((2, len(places)))
     for _, text, y in rows:
-        of[y].update(set(terms(text)))
-    sizes = [max(1, sum(1 for _, _, y in rows if y == v)) for v in (0, 1)]
-    ranked = []
-    for w in of[0].keys() | of[1].keys():
-        a, b = of[1][w], of[0][w]
-        if a + b < 3:
-            continue
-        c, d = sizes[1] - a, sizes[0] - b
-        chi = (a * d - b * c) ** 2 * (sizes[0] + sizes[1]) / ((a + b) * (c + d) * sizes[0] * sizes[1] or 1)
-        # Idf as in all labelled documents: the sample's halves are weighted by their shares.
-        df = shares[1] * a / sizes[1] + shares[0] * b / sizes[0]
-        ranked.append((-chi, w, math.log(1 / max(df, 1e-6)) + 1))
-    ranked.sort()
-    kept = ranked[:n]
-    return {w: i for i, (_, w, _) in enumerate(kept)}, np.array([f for _, _, f in kept] or [1.0])
+        held[y, [places[w] for w in set(terms(text))]] += 1
+    size = np.array([max(1, int((marks == v).sum())) for v in (0, 1)], float)
+    a, b = held[1], held[0]
+    c, d = size[1] - a, size[0] - b
+    chi = (a * d - b * c) ** 2 * size.sum() / np.maximum((a + b) * (c + d) * size[0] * size[1], 1.0)
+    return np.maximum(chi / max(chi.max(initial=0.0), 1e-9), 1e-6)
 
 
 def fit(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS, most_chars: int = MOST_CHARS, neighbours: int = NEIGHBOURS, id_col: str = "doc_id", text_col: str = "text") -> NeighbourModel:
     """An index of labelled examples and the calibration of their votes.
 
-    Two thirds of a bounded labelled sample (`learning_rows`) choose the terms and make the
-    index, the rest calibrates, weighted to the shares of the classes among all rows that
-    may be learned from, and decides how many terms are used. A text in both parts counts
-    in the index alone. Without both classes the score is the share of label 1.
+    Two thirds of a bounded labelled sample (`learning_rows`) make the index, over every word
+    that occurs in them; the rest calibrates, weighted to the shares of the classes among all
+    rows that may be learned from. A word weighs its inverse document frequency, counted over
+    all documents, times how closely it goes with the label among the examples. A text in
+    both parts counts in the index alone. Without both classes the score is the share of
+    label 1.
     """
     rows = learning_rows(docs, labels, "toxic", FOLDS, LEFT_OUT, most_rows, most_chars, id_col, text_col)
     counts = class_counts(labels, "toxic", FOLDS, LEFT_OUT, id_col)
@@ -151,21 +170,16 @@ def fit(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS, most_cha
     outside = [r for part in by_class for r in part[::3]]
     weights = np.array([counts[y] / len(by_class[y]) for _, _, y in outside], float)
     y = np.array([r[2] for r in outside], float)
-    best = None
-    for n in TERMS:
-        places, idf = _pick_terms(inside, shares, n)
-        made = [(r, vector(r[1], places, idf)) for r in inside]
-        # Examples with like terms share blocks, so that the bounds are tight.
-        made.sort(key=lambda m: (m[0][2], m[1][0][np.argmax(m[1][1])] if len(m[1][0]) else -1, m[0][0]))
-        index = BlockMaxIndex([v for _, v in made], max(1, len(idf)))
-        marks = np.array([r[2] for r, _ in made], float)
-        x = np.array([_vote(index.nearest(*vector(r[1], places, idf), neighbours), marks) for r in outside])
-        calibration = logistic(x, y, weights)
-        p = np.clip(probability(x, calibration), 1e-6, 1 - 1e-6)
-        loss = float(-(weights * (y * np.log(p) + (1 - y) * np.log(1 - p))).sum() / weights.sum())
-        if best is None or loss < best[0] - 0.002:
-            best = loss, NeighbourModel(places, idf, index, [r[0] for r, _ in made], marks, calibration, prior, neighbours)
-    return best[1]
+    places = {w: i for i, w in enumerate(sorted({w for r in inside for w in terms(r[1])}))}
+    frequencies, total = document_frequencies(docs, list(places), text_col)
+    idf = (np.log((total + 1) / (frequencies + 1)) + 1) * _label_weights(inside, places)
+    made = [(r, vector(r[1], places, idf)) for r in inside]
+    # Examples with like terms share blocks, so that the bounds are tight.
+    made.sort(key=lambda m: (m[0][2], m[1][0][np.argmax(m[1][1])] if len(m[1][0]) else -1, m[0][0]))
+    index = BlockMaxIndex([v for _, v in made], max(1, len(idf)))
+    marks = np.array([r[2] for r, _ in made], float)
+    x = np.array([_vote(index.nearest(*vector(r[1], places, idf), neighbours), marks) for r in outside])
+    return NeighbourModel(places, idf, index, [r[0] for r, _ in made], marks, logistic(x, y, weights), prior, neighbours)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

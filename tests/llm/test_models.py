@@ -61,6 +61,36 @@ def test_block_max_search_is_exact():
         assert [s for s, _ in got] == [s for s, _ in want]
 
 
+def test_neighbours_are_those_of_the_cosine_over_all_words(labelled):
+    """Evidence against a plain dictionary cosine over every word, frequencies counted over all documents."""
+    docs, labels = labelled
+    model = toxicity.fit(docs, labels)
+    texts = {r.doc_id: (r.text or "").encode() for r in docs.select("doc_id", "text").collect()}
+    df = {}
+    for text in texts.values():
+        for w in set(toxicity.terms(text)):
+            df[w] = df.get(w, 0) + 1
+    inside = [texts[i] for i in model.ids]
+    assert set(model.places) == {w for t in inside for w in toxicity.terms(t)}
+    ties = toxicity._label_weights([(0, t, int(y)) for t, y in zip(inside, model.marks)], model.places)
+
+    def weighed(text):
+        counts = {}
+        for w in toxicity.terms(text):
+            if w in model.places:
+                counts[w] = counts.get(w, 0) + 1
+        made = {w: (1 + math.log(n)) * (math.log((len(texts) + 1) / (df[w] + 1)) + 1) * ties[model.places[w]] for w, n in counts.items()}
+        norm = math.sqrt(sum(x * x for x in made.values()))
+        return {w: x / norm for w, x in made.items()}
+
+    examples = [weighed(t) for t in inside]
+    got = {r.doc_id: [e.cosine for e in r.evidence] for r in toxicity.toxicity(docs, labels).select("doc_id", "evidence").collect()}
+    for key in sorted(texts)[:60]:
+        query = weighed(texts[key])
+        want = sorted((sum(x * e.get(w, 0.0) for w, x in query.items()) for e in examples), reverse=True)[:3]
+        assert got[key] == pytest.approx([x for x in want if x > 0], abs=1e-9)
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><body><header><a href=/>Home</a> Site</header>
 <nav><ul><li><a href=1>One</a><li><a href=2>Two</a></ul></nav><div class="cookie-notice">We use cookies on this site for this and that.</div>
 <article><h1>Fish &amp; chips&nbsp;today</h1><p>First  <b>para</b>graph
