@@ -16,27 +16,36 @@ from sceneframe.session import ensure_checkpoint_dir
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the documents that the quality classifier rejects."""
+    """Without the documents that the quality classifier rejects; without labels none is rejected.
+
+    Null and empty texts are scored like any other; rows repeated stay or go alike.
+    """
     return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def distinct_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts."""
+    """One row of each group of equal texts, the one with the largest id; null counts as empty."""
     return exact_dedup.keep_winners(docs)
 
 
 def distinct_contents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group: five-word shingles, similarity 0.8 or more."""
+    """One row of each near-duplicate group: five-word shingles, similarity 0.8 or more.
+
+    The smallest id stays, rows without an id come last; texts without words are in no group.
+    """
     return near_dedup.keep_representatives(docs, shingle_words=5, percent=80)
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the weights of their sources ask."""
+    """Documents as often as the weights of their sources ask; a null source is one of its own."""
     return mixing.mixed_documents(docs)
 
 
 def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of every document and their places in sequences of 4096 tokens."""
+    """The pieces of every document and their places in sequences of 4096 tokens.
+
+    A document that the mixture repeats is packed as often; an empty text is its end token.
+    """
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), capacity=4096, end_id=1)
 
 

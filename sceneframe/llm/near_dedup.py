@@ -234,9 +234,11 @@ def _same_ids(signs: DataFrame, classes: DataFrame) -> DataFrame | None:
     )
 
 
-def _linked_rows(docs: DataFrame, shingle_words: int, percent: int, bands: int | None, band_rows: int, id_col: str, text_col: str) -> DataFrame:
+def _linked_rows(docs: DataFrame, shingle_words: int, percent: int, bands: int | None, band_rows: int, id_col: str, text_col: str, one_id_one_node: bool) -> DataFrame:
     """Per row of ``docs``: ``id, sha, n_shingles, component_id`` and ``chosen_sha``.
 
+    With ``one_id_one_node``, texts under one id hang together whatever they say.
+
     ``component_id`` is the smallest id of the row's component, null where none of it has
     an id; ``chosen_sha`` belongs to the text that stands for the component: of the rows
     with that id (or, without ids, of all) the smallest.
@@ -274,7 +276,7 @@ def _linked_rows(docs: DataFrame, shingle_words: int, percent: int, bands: int |
         return settle(connected_components(links))
 
     found: DataFrame = classes.select("node", F.col("node").alias("component")).limit(0)
-    links = _same_ids(signs, classes)
+    links = _same_ids(signs, classes) if one_id_one_node else None
     if links is not None:
         links = settle(links)
         found = components(links)
@@ -361,7 +363,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, percent
     an id with the same text are kept or dropped alike; one id with several texts links what
     each of them links. Other columns are ignored; an empty table gives an empty result.
     """
-    found = _linked_rows(docs, shingle_words, percent, bands, band_rows, id_col, text_col)
+    found = _linked_rows(docs, shingle_words, percent, bands, band_rows, id_col, text_col, True)
     # A text without words is its own component.
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("id"))
     return found.select(
@@ -376,13 +378,13 @@ def keep_representatives(
     """``docs`` with one row of each near-duplicate group, all columns kept.
 
     The row with the smallest id stays (rows without an id come last; of several texts under
-    that id, the one with the smallest SHA-256; of rows that repeat both, one). Texts without
-    words are in no group and stay, repeated ones too. An empty table stays empty.
+    that id, the one with the smallest SHA-256; of rows that repeat both, one). Different
+    texts under one id are documents of their own here. Texts without words are in no group and stay, repeated ones too. An empty table stays empty.
     """
     def row_key(key, sha):
         return F.concat(F.coalesce(key.cast("string"), F.lit("-")), F.lit(" "), sha)
 
-    found = _linked_rows(docs, shingle_words, percent, bands, band_rows, id_col, text_col)
+    found = _linked_rows(docs, shingle_words, percent, bands, band_rows, id_col, text_col, False)
     stays = F.col("id").eqNullSafe(F.col("component_id")) & (F.col("sha") == F.col("chosen_sha"))
     chosen = found.filter((F.col("n_shingles") == 0) | stays)
     kept = settle(

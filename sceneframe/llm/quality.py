@@ -126,15 +126,16 @@ def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
 def keep_good(docs: DataFrame, training: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the documents whose score is below 0.5, all columns kept.
 
-    The text of a row is scored in place, so nothing is shuffled.
+    The text of a row is scored in place, so nothing is shuffled. Where too few labels of
+    either class are known to tell good from bad, no document is rejected. Null and empty
+    texts are scored as empty; repeated rows stay or go alike; an empty table stays empty.
     """
     model = fit(training, labels, id_col=id_col, text_col=text_col)
     place = docs.columns.index(text_col)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if model.calibration is None:
-            if model.prior >= 0.5:
-                yield from batches
+            yield from batches
             return
         bad, good = _compressor(model.bad, model.trained[0]), _compressor(model.good, model.trained[1])
         for batch in batches:

@@ -113,7 +113,7 @@ def test_near_on_hostile_and_empty_tables(hostile, empty):
 def test_one_row_of_each_group_stays(spark, docs):
     table, rows = _near_rows(spark, docs)
     groups, none = {}, 0
-    for r in near_dedup._linked_rows(table, 5, 80, None, near_dedup.ROWS, "doc_id", "text").collect():
+    for r in near_dedup._linked_rows(table, 5, 80, None, near_dedup.ROWS, "doc_id", "text", False).collect():
         none += r.n_shingles == 0
         if r.n_shingles:
             groups.setdefault((r.component_id, bytes(r.chosen_sha)), []).append(r.id)
