@@ -165,6 +165,16 @@ register("speech_bounds", speech_bounds, f"""
     x AS (SELECT file_id, arg_min(start_s, line_no) AS fs, arg_min(coalesce(end_s, -1), line_no) AS fe, arg_max(start_s, line_no) AS ls, arg_max(coalesce(end_s, 1e18), line_no) AS le FROM spans GROUP BY file_id),
     y AS (SELECT d.file_id, duration, CASE WHEN fs <= 0.05 AND fe >= 0 THEN fe ELSE 0.0 END AS speech_starts, ls, le FROM d LEFT JOIN x ON x.file_id = d.file_id)
     SELECT file_id, duration, speech_starts, CASE WHEN ls > speech_starts AND le >= duration - 0.05 THEN ls END AS speech_ends FROM y""")
+
+
+def trim_plan(spark, sf):
+    return toollog.trim_plan(speech_bounds(spark, sf), F.lit(0.15), F.lit(-1.0))
+
+
+register("trim_plan", trim_plan, f"""
+    WITH bounds AS ({ORACLES['speech_bounds']}),
+    cut AS (SELECT file_id, duration, greatest(speech_starts - 0.15, 0) AS start_s, CASE WHEN speech_ends IS NOT NULL THEN least(speech_ends + 0, duration) END AS end_s FROM bounds)
+    SELECT file_id, start_s, end_s, start_s > 0.0005 AS cuts_head, coalesce(end_s < duration - 0.0005, false) AS cuts_tail FROM cut""")
 register("loudness", lambda s, d: toollog.loudness(R.f_tool_log(s, d)).select("file_id", "loudness"), """
     SELECT file_id, arg_min(-(floor(value) + 0.25), line_no) AS loudness FROM f_edge WHERE edge = 'loudness' GROUP BY file_id""")
 

@@ -198,6 +198,20 @@ register("segment_keys", segment_keys, """
         lambda v: lpad(CAST(length(v) AS VARCHAR), 8, '0') || v), '')) AS key FROM f_segment""")
 
 
+def settings_key(spark, sf):
+    """A key over settings that are listed in another order on every other row."""
+    pairs = [F.lit("priority"), F.col("o_orderpriority"), F.lit("status"), F.col("o_orderstatus")]
+    turned = F.when(F.col("o_orderkey") % 2 == 0, F.create_map(*pairs)).otherwise(F.create_map(*pairs[2:], *pairs[:2]))
+    rows = R.table(spark, sf, "orders").select(F.col("o_orderkey").alias("scene"), turned.alias("settings"))
+    return rows.select("scene", cache.content_key(cache.settings_field(F.col("settings"))).alias("key"))
+
+
+register("settings_key", settings_key, """
+    WITH f AS (SELECT o_orderkey AS scene, '00000008priority' || lpad(length(o_orderpriority)::VARCHAR, 8, '0') || o_orderpriority
+        || '00000006status' || lpad(length(o_orderstatus)::VARCHAR, 8, '0') || o_orderstatus AS pairs FROM orders)
+    SELECT scene, sha256(lpad(length(pairs)::VARCHAR, 8, '0') || pairs) AS key FROM f""")
+
+
 def timing(spark, sf):
     """Frames, samples, padding and gain worked out for every line of the price list."""
     from sceneframe.functions import timing as T

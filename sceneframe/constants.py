@@ -13,7 +13,6 @@ MAX_SCRIPT_BYTES = 256 * 1024
 MAX_CHAPTER_BYTES = 4 * 1024 * 1024
 SCENES_WORTH_LISTING = 20
 RECENT_PROJECTS = 30
-KEPT_LOG_FILES = 5
 SPARE_GENERATIONS = 2
 
 # --- scenes ----------------------------------------------------------------
@@ -96,7 +95,6 @@ MAX_AMOUNT = 0.50
 
 # --- chapters --------------------------------------------------------------
 CHARS_PER_SECOND = 16.3
-MIN_PIECE_SECONDS = 3.0
 MAX_PIECE_SECONDS = 5.0
 ABBREVIATIONS = ["mr", "mrs", "ms", "dr", "st", "jr", "sr", "prof", "vs", "etc", "e.g", "i.e", "mt"]
 CLAUSE_OPENERS = [
@@ -139,7 +137,6 @@ SILENCE_MIN_SECONDS = 0.05
 AAC_FRAME_SECONDS = 1024.0 / 48_000.0
 
 # --- segment profile -------------------------------------------------------
-VIDEO_TIMESCALE = 90_000
 PROFILE_CONTAINER = "mov,mp4,m4a,3gp,3g2,mj2"
 PROFILE_STREAM_ORDER = "video, audio"
 PROFILE_VIDEO = {

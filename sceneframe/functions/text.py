@@ -42,10 +42,6 @@ def is_blank(text: Column) -> Column:
     return ~text.rlike(f"[^{SPACES}]")
 
 
-def words(text: Column) -> Column:
-    return F.filter(F.split(collapse(text), " "), lambda w: w != "")
-
-
 def paragraphs(text: Column) -> Column:
     """Collapsed runs of lines between blank lines; marks with no letter or digit go."""
     runs = F.split(text, rf"\n[{SPACES}]*\n")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from sceneframe.constants import SILENCE_MIN_SECONDS
 from sceneframe.functions.numbers import plain_number
+from sceneframe.functions.timing import trim_bounds
 from sceneframe.operators.ordered import scan
 
 
@@ -43,10 +44,27 @@ def speech_bounds(spans: DataFrame, durations: DataFrame) -> DataFrame:
     return d.select("file_id", "duration", "speech_starts", ends.alias("speech_ends"))
 
 
+#: A cut of less than half a millisecond is none.
+SMALLEST_CUT_SECONDS = 0.0005
+
+
+def trim_plan(bounds: DataFrame, head: Column, tail: Column) -> DataFrame:
+    """What to keep of every file so that ``head`` and ``tail`` seconds stay around its speech.
+
+    ``bounds`` is what ``speech_bounds`` gives. An edge with less silence than is to stay is
+    left alone; a file whose speech runs to its end is not cut there.
+    """
+    kept = bounds.withColumn("_t", trim_bounds(F.col("speech_starts"), F.col("speech_ends"), F.col("duration"), head, tail))
+    return kept.select(
+        "file_id", F.col("_t.start").alias("start_s"), F.col("_t.end").alias("end_s"), (F.col("_t.start") > SMALLEST_CUT_SECONDS).alias("cuts_head"),
+        F.coalesce(F.col("_t.end") < F.col("duration") - SMALLEST_CUT_SECONDS, F.lit(False)).alias("cuts_tail"),
+    )
+
+
 def loudness(lines: DataFrame) -> DataFrame:
     """First loudness and peak figures of every file's report."""
     def figure(key: str) -> Column:
-        found = F.regexp_extract("line", rf'"{key}"\s*:\s*"([^"]*)"', 1).try_cast("double")
+        found = plain_number(F.regexp_extract("line", rf'"{key}"\s*:\s*"([^"]*)"', 1))
         # A silent file reports infinities; they are no figures.
         return F.when(~F.isnan(found) & (F.abs(found) < float("inf")), found)
 
