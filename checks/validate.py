@@ -371,6 +371,27 @@ def _report(spark, sf):
 register("problem_report", _report, """
     SELECT *, row_number() OVER (PARTITION BY mode, project_id ORDER BY scene_id IS NOT NULL,
         CASE WHEN scene_id IS NULL THEN 0 ELSE coalesce(position, 4611686018427387904) END, kind, coalesce(scene_id, ''), detail) AS line FROM all_problem""")
+def run_problems(spark, sf):
+    """A third of the projects is made at 4K, a third without captions, a third with captions whatever its settings say."""
+    set_up = settings.resolve(R.f_settings(spark, sf))
+    third = F.pmod(F.col("project_id"), F.lit(3))
+    small = R.f_still(spark, sf)
+    planned = validate.still_problems(small, F.lit("16:9"), F.lit(1920), F.lit(1080)).unionByName(
+        validate.undrawable_problems(_captions(spark, sf), set_up.filter("subtitles")))
+    again = validate.still_problems(small, F.lit("16:9"), F.lit(3840), F.lit(2160)).unionByName(
+        validate.undrawable_problems(_captions(spark, sf), _captions(spark, sf).filter(third == 2)))
+    projects = small.select("project_id").unionByName(_captions(spark, sf).select("project_id")).distinct()
+    runs = projects.select("project_id", F.when(third == 0, "undersized_sources").otherwise("undrawable_caption").alias("kind"))
+    return validate.for_run(planned, again, runs).select("project_id", "kind", "detail")
+
+
+_SMALL = "SELECT project_id, 'undersized_sources' AS kind, scenes || ':' || total || ':' || smallest AS detail"
+_UNDRAWN = "SELECT film_id AS project_id, 'undrawable_caption' AS kind, scenes || ':s' || first || ':' || characters AS detail FROM undrawn"
+register("run_problems", run_problems, f"""
+    {_SMALL} FROM st_small WHERE project_id % 3 <> 0
+    UNION ALL {_SMALL} FROM ({RELATIONS['st_small'].replace('1920', '3840').replace('1080', '2160')}) WHERE project_id % 3 = 0
+    UNION ALL {_UNDRAWN} WHERE film_id % 3 = 0 AND film_id IN (SELECT project_id FROM s_clean WHERE subtitles)
+    UNION ALL {_UNDRAWN} WHERE film_id % 3 = 2""")
 register("problem_counts", lambda s, d: problems.problem_counts(_report(s, d)),
          "SELECT mode, project_id, severity, kind, count(*) AS problems FROM all_problem GROUP BY ALL")
 register("problem_severity", lambda s, d: _report(s, d).groupBy("mode", "project_id").agg(

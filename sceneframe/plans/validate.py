@@ -161,6 +161,18 @@ def undrawable_problems(scenes: DataFrame, subtitled: DataFrame) -> DataFrame:
     return _rows(found, "undrawable_caption", F.concat_ws(":", F.col("scenes").cast("string"), F.col("first.scene_id"), "characters"))
 
 
+def for_run(found: DataFrame, again: DataFrame, runs: DataFrame) -> DataFrame:
+    """Problems as a run has them whose choices replace some of a project's settings.
+
+    ``runs`` (``project_id, kind``) names the kinds that the run decides anew: what was
+    ``found`` of them goes, what ``again`` says of them comes, so a warning that left with
+    the choice is gone and one that came with it is there. Everything else stays as it is.
+    """
+    anew = runs.select("project_id", "kind").distinct()
+    kept = found.join(anew, ["project_id", "kind"], "left_anti")
+    return kept.unionByName(again.join(anew, ["project_id", "kind"], "left_semi"))
+
+
 def report(**by_mode: DataFrame) -> DataFrame:
     """All problems with their severity, each in its place in its project's report."""
     tagged = [df.withColumn("mode", F.lit(mode)) for mode, df in by_mode.items()]
