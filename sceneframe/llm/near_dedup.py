@@ -26,9 +26,9 @@ SKETCH_PARTS, SKETCH_BITS = 4096, 2048
 SKETCH_MARGIN = 5.0
 #: Bands that the first comparisons use.
 FIRST_BANDS = 4
-#: Half so many members of a crowded bucket are compared with the others in the first round,
-#: and so many times as many in each next one.
-LEADS = 8
+#: Members of a crowded bucket that are compared with the others in the first round, and how
+#: many times as many in each next one.
+LEADS, MORE_LEADS = 8, 64
 #: Digests of texts that may be broadcast: under 4 megabytes.
 FEW_TEXTS = 100_000
 
@@ -289,14 +289,14 @@ def _linked_rows(docs: DataFrame, shingle_words: int, percent: int, bands: int |
     placed = in_buckets(found, bands)
     members = settle(placed.join(several(placed).select("key", "size"), "key"))
 
-    def put_together(pairs: DataFrame) -> None:
+    def put_together(alike: DataFrame) -> None:
+        """Compare pairs not compared before and take what they link into the components."""
         nonlocal links, found, tried
-        fresh = settle(pairs.distinct().join(tried, ["a", "b"], "left_anti"))
-        alike = settle(_alike(classes, fresh, percent))
+        fresh = settle(alike.join(tried, ["a", "b"], "left_anti"))
         tried = tried.unionByName(fresh)
-        if alike.isEmpty():
+        if fresh.isEmpty():
             return
-        more = confirmed(alike)
+        more = confirmed(fresh)
         if not more.isEmpty():
             links = links.unionByName(more)
             found = components(links)
@@ -308,28 +308,32 @@ def _linked_rows(docs: DataFrame, shingle_words: int, percent: int, bands: int |
         return settle(now.join(crowded, "key", "left_semi"))
 
     tried = first
-    put_together(to_lead(members))
+    put_together(_alike(classes, settle(to_lead(members).distinct()), percent))
 
     # Where a member stands in every bucket's order of leads, from 0 to 1.
     turn = (F.xxhash64(F.lit("lead"), "node").cast("double") / F.lit(2.0**64)) + 0.5
     # Whether two members share an earlier band; 38 bands of 32 bits differ by chance once in 100 million.
-    short = classes.select("node", F.transform("keys", lambda k: F.hash(k)).alias("short"))
-    before, leads = 0, LEADS // 2
+    looks = classes.select("node", "n_shingles", "sketch", F.transform("keys", lambda k: F.hash(k)).alias("short"))
+    before, leads = 0, LEADS
     while True:
         members = still_open(before)
         if members.isEmpty():
             break
-        open_ = members.join(short, "node").withColumn("turn", turn)
-        sides = ("node", "component", "turn", "short")
+        open_ = members.join(looks, "node").withColumn("turn", turn)
+        sides = ("node", "component", "turn", "short", "n_shingles", "sketch")
         now = open_.filter((F.col("turn") >= F.lit(float(before)) / F.col("size")) & (F.col("turn") < F.lit(float(leads)) / F.col("size")))
         left = now.select("key", "band", *[F.col(c).alias(f"{c}_a") for c in sides])
         right = open_.select("key", *[F.col(c).alias(f"{c}_b") for c in sides])
         later = (F.col("turn_a") < F.col("turn_b")) | ((F.col("turn_a") == F.col("turn_b")) & (F.col("node_a") < F.col("node_b")))
-        # A pair that shares several bands is looked at in the first of them.
+        # A pair that shares several bands is looked at in the first of them, so it is one row.
         band = F.array_position(F.zip_with("short_a", "short_b", lambda x, y: x == y), True) - 1
-        pairs = left.join(right, (left["key"] == right["key"]) & (F.col("component_a") != F.col("component_b")) & later & (F.col("band") == band))
+        pairs = left.join(
+            right,
+            (left["key"] == right["key"]) & (F.col("component_a") != F.col("component_b")) & later
+            & _may_be_alike("n_shingles_a", "n_shingles_b", "sketch_a", "sketch_b", percent) & (F.col("band") == band),
+        )
         put_together(pairs.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")))
-        before, leads = leads, leads * LEADS
+        before, leads = leads, leads * MORE_LEADS
 
     named = classes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = named.groupBy("component").agg(F.min("first").alias("chosen"))
@@ -351,7 +355,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, percent
     3. In all bands, buckets of several components are looked for; members that are not of
        one component with the bucket's first class are compared with it.
     4. In the buckets that still hold several components, rounds of other leads follow: the
-       first 4 members in an order by hash, then 32 and so on, each against the members
+       first 8 members in an order by hash, then 512 and so on, each against the members
        of other components, until every member of such a bucket has been a lead. What a
        round links is one component in the next, so copies that hang together are not paired.
 

@@ -134,7 +134,8 @@ def test_crowded_buckets_take_rounds_of_leads(spark, monkeypatch):
             words[place] = f"e{key}x{place}"
         rows.append((key, " ".join(words)))
     table = spark.createDataFrame(rows, "doc_id bigint, text string")
-    monkeypatch.setattr(near_dedup, "LEADS", 2)
+    monkeypatch.setattr(near_dedup, "LEADS", 1)
+    monkeypatch.setattr(near_dedup, "MORE_LEADS", 3)
     got = near_dedup.near_duplicates(table, shingle_words=5, percent=80)
     assert sorted((tuple(r) for r in got.collect()), key=str) == _near(rows, 5, 80)
 
