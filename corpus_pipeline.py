@@ -6,13 +6,11 @@ reads it; all but the last return the columns of ``documents``.
 
 from __future__ import annotations
 
-import uuid
-
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from sceneframe.llm import exact_dedup, mixing, near_dedup, packing, quality
-from sceneframe.session import ensure_checkpoint_dir
+from sceneframe.llm.common import scratch
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,7 +62,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages in order over ``documents``; the result of the last one."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    folder = f"{ensure_checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    folder = scratch(spark, "pipeline")
     for number, (_, stage) in enumerate(STAGES):
         path = f"{folder}/{number}"
         stage(spark, docs, sf_dir).write.parquet(path)

@@ -18,7 +18,9 @@ def scratch(spark: SparkSession, name: str) -> str:
     """A new folder below the shared checkpoint folder; its file system removes it when the driver ends."""
     path = f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    system = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    system.mkdirs(at)
+    system.deleteOnExit(at)
     return path
 
 
@@ -29,7 +31,7 @@ def settle(df: DataFrame) -> DataFrame:
     is lost. Every call takes a folder of its own, which goes when the driver ends.
     """
     spark = df.sparkSession
-    path = scratch(spark, "settled")
+    path = f"{scratch(spark, 'settled')}/rows"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
