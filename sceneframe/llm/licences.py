@@ -216,6 +216,25 @@ def anchors(templates=TEMPLATES, least: float = LEAST_LIKENESS, hits: int = 1) -
         chosen.add(min(gain, key=lambda w: (w in _COMMON or len(w) < 3, -gain[w], w)))
 
 
+def told_apart(words_in: list[str], templates=TEMPLATES) -> tuple[list[str], list[str]]:
+    """A part between points and hyphens of every anchor, and those parts that count for two.
+
+    Anchors of one template get parts of their own, the longest that is left, so a text with
+    two anchors of a template has two parts. Where there is none left, the part counts for two.
+    """
+    of = [set(re.findall(r"[a-z0-9]+(?:[.\-]+[a-z0-9]+)*", t.lower())) for _, t in templates]
+    given: dict[str, str] = {}
+    twice: set[str] = set()
+    for word in words_in:
+        beside = {given[w] for t in of if word in t for w in t if w in given}
+        parts = sorted(re.split(r"[.\-]+", word), key=lambda p: (-len(p), p))
+        free = [p for p in parts if p not in beside]
+        given[word] = (free or parts)[0]
+        if not free:
+            twice.add(parts[0])
+    return sorted(set(given.values())), sorted(twice)
+
+
 def _pairs(found: Column) -> Column:
     return F.zip_with(F.slice(found, 1, F.greatest(F.size(found) - 1, F.lit(0))), F.slice(found, 2, F.greatest(F.size(found) - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
 
@@ -317,7 +336,15 @@ def scan_licences(docs: DataFrame, templates=TEMPLATES, model: tuple[list[tuple]
             F.array(*[F.lit(x) for x in dict.fromkeys([f"{a} {b}" for a, b in zip(w, w[1:])] or w)]).alias("pairs"),
         ) for f, w in known
     ])
-    cut = units(rows, long, short, alone, every)
+    # Whole texts first, by parts of the anchors: most texts have no two and are not cut into lines.
+    parts, twice = told_apart(sorted({*long, *short}), templates)
+    enough = sorted({*twice, *told_apart(alone, templates)[0]})
+    pieces = F.split(F.lower("text"), "[^a-z0-9]+")
+    held = F.array_intersect(pieces, F.array(*[F.lit(p) for p in sorted({*parts, *enough})]))
+    # One split a text: what it holds is at most as many words as there are anchors.
+    likely_rows = once(rows, {"_held": held}).filter(
+        (F.size("_held") > 1) | F.arrays_overlap("_held", F.array(*[F.lit(p) for p in enough or [""]]))).drop("_held")
+    cut = units(likely_rows, long, short, alone, every)
     shared = F.transform(of, lambda t: F.struct(t["family"].alias("family"), F.size(F.array_intersect(t["words"], F.col("known"))).alias("n"), F.size(t["words"]).alias("of"), t["pairs"].alias("pairs")))
     cut = once(cut, {"_like": F.filter(shared, lambda t: t["n"] / t["of"] >= least_likeness)}).filter("size(_like) > 0")
     cut = once(cut, {"_pairs": F.when(F.col("n_lines") > 1, F.array_intersect(_pairs(F.col("w")), pairs)), "_size": F.size(F.array_distinct("w"))})

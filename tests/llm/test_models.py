@@ -61,6 +61,22 @@ def test_block_max_search_is_exact():
         assert [s for s, _ in got] == [s for s, _ in want]
 
 
+def test_two_anchors_of_a_template_have_two_parts():
+    import re
+
+    words = sorted({*licences.anchors(hits=2)})
+    parts, twice = licences.told_apart(words)
+    for _, text in licences.TEMPLATES:
+        of = set(re.findall(r"[a-z0-9]+(?:[.\-]+[a-z0-9]+)*", text.lower()))
+        asked = next(n for n in range(len(of) + 1) if n / len(of) >= licences.LEAST_LIKENESS)
+        # Whatever words of the template a text shares, it shares two anchors, so two parts or one that counts for two.
+        assert len(of - set(words)) <= max(0, asked - 2)
+        for a in of & set(words):
+            for b in of & set(words) - {a}:
+                held = {p for w in (a, b) for p in re.split(r"[.\-]+", w)} & {*parts, *twice}
+                assert len(held) > 1 or held & set(twice)
+
+
 def test_neighbours_are_those_of_the_cosine_over_all_words(labelled):
     """Evidence against a plain dictionary cosine over every word, frequencies counted over all documents."""
     docs, labels = labelled
