@@ -78,7 +78,8 @@ def film_check(totals: DataFrame, probes: DataFrame, fps: Column) -> DataFrame:
 
     ``probes``: ``film_id, nb_frames, video_seconds, container_seconds``.
     """
-    d = totals.join(probes, "film_id")
+    # Probes are a row per film: read from a small file of long texts, they look small enough to broadcast.
+    d = totals.join(probes.hint("merge"), "film_id")
     tolerance = F.lit(1.0) / F.greatest(fps, F.lit(1))
     want = F.col("frames") / fps
 
