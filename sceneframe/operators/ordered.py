@@ -1,10 +1,12 @@
 """Ordered computation inside a key, safe when one key holds a large share of all rows.
 
 Every function takes a *total* ascending order and only builds a plan: no job runs before the
-caller asks for rows. An input whose sources are smaller than one task's share is one window
-over one shuffle. Any other is range-partitioned by key *and* order, so that a hot key spans
-many slices; the edge rows of a slice then travel to the slices that need them, and a window
-per slice does the rest. Both ways give the same rows.
+caller asks for rows. The rows are one window over one shuffle by key, whatever the size of the
+input: it spills what memory does not hold, and what follows by the same key is not shuffled
+again. Where a session sets ``sceneframe.skew.taskBytes``, an input whose sources are larger is
+range-partitioned by key *and* order, so that a hot key spans many slices; the edge rows of a
+slice then travel to the slices that need them, and a window per slice does the rest. That
+costs three shuffles, and every later step by key one more. Both ways give the same rows.
 """
 
 from __future__ import annotations
@@ -55,8 +57,8 @@ def with_totals(df: DataFrame, keys: Sequence[str], totals: Mapping[str, Column]
     """Add whole-key aggregates to every row.
 
     Totals are combined map-side and joined back, which adaptive execution splits where a key
-    is hot; an input that one task holds is a window, which reuses the partitioning of the
-    caller's other windows.
+    is hot, where the session cuts hot keys; elsewhere they are a window, which reuses the
+    partitioning of the caller's other windows.
     """
     if not one_task_holds(df):
         sums = df.groupBy(*[F.col(k).alias(f"_t_{k}") for k in keys]).agg(*[c.alias(n) for n, c in totals.items()])

@@ -105,3 +105,10 @@ def test_types_agree_both_ways(spark):
         assert made().dtypes == plain.dtypes and made().exceptAll(plain).count() == 0
     finally:
         spark.conf.unset("sceneframe.skew.taskBytes")
+
+
+def test_large_inputs_stay_on_one_window_by_default(spark):
+    df = spark.range(2**28).selectExpr("id % 1000 AS k", "id AS o")  # two GB by its statistics
+    out = with_totals(scan(df, ["k"], ["o"], number="n"), ["k"], {"c": F.count(F.lit(1))})
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "_slice" not in plan and plan.count("Exchange ") == 1
