@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.fs as pa_fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -57,12 +61,50 @@ def write_join_lists(lines: DataFrame, path: str, buckets: int = 64, entries: in
     return lines.sparkSession.read.schema(INDEX).parquet(f"{path}/index")
 
 
+#: Bytes of a container that one read takes in.
+BLOCK_BYTES = 4 * 1024 * 1024
+
+
 def read_join_lists(spark: SparkSession, path: str, films: DataFrame | None = None) -> DataFrame:
-    """``film_id, text`` of the asked films' join lists, cut out of the containers by the index."""
+    """``film_id, text`` of the asked films' join lists, cut out of the containers by the index.
+
+    Asked parts are grouped by container and block; a task reads a block's span once and cuts
+    its parts out of it. No container is held whole, and blocks without an asked part are not read.
+    """
     index = spark.read.schema(INDEX).parquet(f"{path}/index")
     if films is not None:
         index = index.join(films.select("film_id").distinct(), "film_id", "left_semi")
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").load(f"{path}/lists")
-    held = files.select(F.regexp_extract("path", r"/bucket=(\d+)/", 1).cast("int").alias("bucket"), "content")
-    cut = index.join(held, "bucket").select("film_id", "part", F.expr("decode(substring(content, CAST(first + 1 AS INT), CAST(bytes AS INT)), 'UTF-8')").alias("text"))
+    # Listed only: a row per container, of which no content is asked.
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").load(f"{path}/lists")
+    held = listed.select("path", F.regexp_extract("path", r"/bucket=(\d+)/", 1).cast("int").alias("bucket"))
+    block = F.call_function("div", F.col("first"), F.lit(BLOCK_BYTES))
+    placed = index.join(F.broadcast(held), "bucket").select("path", block.alias("block"), "film_id", "part", "first", "bytes")
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        opened, file = None, None
+        for batch in batches:
+            names, spots, ids, parts, first, size = batch.columns
+            firsts, stops = first.to_numpy(), first.to_numpy() + size.to_numpy()
+            names, spots = names.to_pylist(), spots.to_numpy()
+            edges = [0, *(i for i in range(1, len(names)) if spots[i] != spots[i - 1] or names[i] != names[i - 1]), len(names)]
+            for low, high in zip(edges[:-1], edges[1:]):
+                if low == high:
+                    continue
+                if names[low] != opened:
+                    if file is not None:
+                        file.close()
+                    local = names[low].startswith("file:")
+                    system, at = (pa_fs.LocalFileSystem(), "/" + names[low][5:].lstrip("/")) if local else pa_fs.FileSystem.from_uri(names[low])
+                    opened, file = names[low], system.open_input_file(at)
+                start = int(firsts[low])
+                file.seek(start)
+                data = file.read(int(stops[high - 1]) - start)
+                texts = [data[a - start : b - start] for a, b in zip(firsts[low:high].tolist(), stops[low:high].tolist())]
+                yield pa.RecordBatch.from_arrays(
+                    [ids.slice(low, high - low), parts.slice(low, high - low), pa.array(texts, pa.binary()).cast(pa.string())], ["film_id", "part", "text"])
+        if file is not None:
+            file.close()
+
+    near = placed.repartition("path", "block").sortWithinPartitions("path", "block", "first")
+    cut = near.mapInArrow(read, "film_id bigint, part bigint, text string")
     return cut.groupBy("film_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "text"))), lambda p: p["text"]), "").alias("text"))
