@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,7 +12,6 @@ from pyspark.sql.types import Row, StructType
 
 from sceneframe.operators import pairing
 from sceneframe.streaming import sinks
-from sceneframe.streaming.keyed import keyed_store
 
 #: Keys that a project's files are dealt to, so that a very large project is not one task.
 PARTS = 4
@@ -49,7 +49,8 @@ class Held(StatefulProcessor):
 def touched_files(assets: DataFrame, parts: int = PARTS) -> DataFrame:
     """A stream of assets as, batch by batch, all files of the projects it touches.
 
-    The catalog is keyed state. Every file is dealt to one part of its project and wakes the
+    For streams whose batches touch few projects: the catalog is keyed state, and every project
+    of a batch is some calls of the state store. ``intake`` keeps its catalog as a table. Every file is dealt to one part of its project and wakes the
     others, so a batch reads the state of its own projects and of no others.
     """
     columns = [F.col(c) for c in assets.columns]
@@ -61,24 +62,44 @@ def touched_files(assets: DataFrame, parts: int = PARTS) -> DataFrame:
     return rows.groupBy("_project", "_part").transformWithState(Held(assets.schema), assets.schema, "update", "None")
 
 
+#: Folders of a batch's files in the catalog: a batch reads the earlier files of its own ones only.
+BUCKETS = 64
+
+
 def intake(assets: DataFrame, folder: str) -> DataFrame:
     """Drive a stream of assets; the latest intake summary of every project.
 
-    Each batch pairs again only the projects it touched, with all the files they have by
-    then; a batch that is run again overwrites its own summary.
+    The catalog is a table: a batch appends its files in buckets by project, and pairs again
+    the projects it touched with all the files they have by then, read from the buckets of
+    these projects. A batch that is run again overwrites its own files and its own summary.
     """
     spark = assets.sparkSession
     nothing = spark.createDataFrame([], assets.schema)
     summary_schema = pairing.intake_summary(nothing, nothing).schema
+    stored = StructType([*assets.schema.fields]).add("_bucket", "integer")
 
     def each(batch: DataFrame, batch_id: int) -> None:
+        session = batch.sparkSession
+        placed = batch.withColumn("_bucket", F.pmod(F.xxhash64("project_id"), F.lit(BUCKETS)).cast("int"))
+        own = sinks.batch_path(folder, "catalog", batch_id)
+        placed.hint("rebalance", "_bucket").write.mode("overwrite").partitionBy("_bucket").parquet(own)
+        mine = session.read.schema(stored).parquet(own)
+        # At most one for each bucket.
+        buckets = [r["_bucket"] for r in mine.select("_bucket").distinct().collect()]
+        earlier = [sinks.batch_path(folder, "catalog", b) for b in sinks.written_batches(spark, folder, "catalog") if b < batch_id]
+        held = mine
+        if earlier and buckets:
+            before = reduce(DataFrame.unionByName, [session.read.schema(stored).parquet(path) for path in earlier])
+            here = before.filter(F.col("_bucket").isin(buckets))
+            woken = mine.select("_bucket", "project_id").distinct().hint("merge")
+            known = F.col("b.project_id").eqNullSafe(F.col("w.project_id")) & (F.col("b._bucket") == F.col("w._bucket"))
+            held = mine.unionByName(here.alias("b").join(woken.alias("w"), known, "left_semi"))
         # Written once, as the summary reads it more than once; the next batch replaces it.
-        batch.write.mode("overwrite").parquet(f"{folder}/touched")
-        touched = batch.sparkSession.read.schema(assets.schema).parquet(f"{folder}/touched")
+        held.select(*assets.columns).write.mode("overwrite").parquet(f"{folder}/touched")
+        touched = session.read.schema(assets.schema).parquet(f"{folder}/touched")
         pairing.intake_summary(touched, touched).write.mode("overwrite").parquet(sinks.batch_path(folder, "summary", batch_id))
 
-    with keyed_store(spark):
-        sinks.run_batches(touched_files(assets), folder, each, mode="update")
+    sinks.run_batches(assets, folder, each)
     rows = sinks.read_batches(spark, folder, "summary", summary_schema)
     columns = [c for c in rows.columns if c not in ("project_id", "batch")]
     latest = rows.groupBy("project_id").agg(F.max_by(F.struct(*columns), "batch").alias("s"))
