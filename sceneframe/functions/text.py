@@ -57,6 +57,14 @@ def sentences(collapsed: Column) -> Column:
     return F.split(mark_sentences(collapsed), "\n")
 
 
+def ends_plainly(word: Column) -> Column:
+    """A word that ends in a small Latin letter ends no sentence, clause or quotation.
+
+    Most words do; a comparison tells it, where the expressions below search the word.
+    """
+    return F.substring(word, -1, 1).between("a", "z")
+
+
 def ends_sentence(word: Column) -> Column:
     return word.rlike(f"^{_NOT_AN_END}[^ ]*{SENTENCE_ENDERS}{CLOSERS}*$")
 
@@ -70,17 +78,18 @@ def ends_with_comma(word: Column) -> Column:
 
 
 def opens_clause(word: Column) -> Column:
-    bare = F.lower(F.regexp_replace(word, f"^[^{LETTER_OR_DIGIT}]+", ""))
-    return bare.isin(CLAUSE_OPENERS)
+    first = F.lower(F.substring(word, 1, 1))
+    bare = F.when(first.between("a", "z"), word).otherwise(F.regexp_replace(word, f"^[^{LETTER_OR_DIGIT}]+", ""))
+    return F.lower(bare).isin(CLAUSE_OPENERS)
 
 
 def dangles(word: Column) -> Column:
-    return word.rlike(f"[{LETTER_OR_DIGIT}]$") & F.lower(word).isin(DANGLING_WORDS)
+    return F.lower(word).isin(DANGLING_WORDS)
 
 
 def opens_quote(word: Column) -> Column:
-    return word.rlike('^["“«‘]')
+    return F.substring(word, 1, 1).isin(*'"“«‘')
 
 
 def closes_quote(word: Column) -> Column:
-    return word.rlike('["”»’]$')
+    return F.substring(word, -1, 1).isin(*'"”»’')

@@ -90,11 +90,12 @@ def pacing_report(pieces: DataFrame) -> DataFrame:
 
 def gap_cost(word: Column, following: Column, last: Column) -> Column:
     """Cost of cutting after a word: free at a sentence or paragraph end, dear inside a clause."""
+    inside = F.when(T.opens_clause(following), 3).otherwise(25)
     base = (
-        F.when(T.ends_sentence(word), 0)
+        F.when(T.ends_plainly(word), inside)
+        .when(T.ends_sentence(word), 0)
         .when(T.ends_clause(word), F.when(T.ends_with_comma(word), 2).otherwise(1))
-        .when(T.opens_clause(following), 3)
-        .otherwise(25)
+        .otherwise(inside)
     )
     return F.when(last, 0).otherwise(base + F.when(T.dangles(word), 20).otherwise(0))
 
@@ -160,43 +161,86 @@ _STOPS, _LAST, _WHOLE, _QUOTE = 1, 2, 4, 8
 _UNITS = 326
 
 
-def cheapest_cuts(chars: np.ndarray, gaps: np.ndarray, marks: np.ndarray, reach: int) -> np.ndarray:
-    """Where the pieces of the cheapest cut of a run of words end, as counts of words.
+#: Words of chapters that are searched side by side, with their padding.
+_SIDE_BY_SIDE = 1_000_000
 
-    One pass over the words: the best cost up to a word is the least, over the last pieces
-    of at most ``reach`` characters that end there, of the best cost before the piece, its
-    length's cost, the cost of the cut and what it joins. Of equal costs the shorter last
-    piece wins. A longer word is a piece alone.
+
+def cheapest_cuts(runs: list[np.ndarray], reach: int) -> list[np.ndarray]:
+    """Where the pieces of the cheapest cut of each run of words end, as counts of words.
+
+    A run has a row of characters, gap cost and marks for every word. One pass over the words:
+    the best cost up to a word is the least, over the last pieces of at most ``reach``
+    characters that end there, of the best cost before the piece, its length's cost, the cost
+    of the cut and what it joins. Of equal costs the shorter last piece wins. A longer word is
+    a piece alone. Runs of about the same length go through the pass side by side, a step for
+    all of them at once.
     """
-    n = len(chars)
-    upto = np.concatenate(([0], np.cumsum(chars + 1)))  # a space after every word
-    stops = (marks & _STOPS) > 0
-    crossing = np.where(marks & _LAST, BROKEN_JOIN, 0)
-    ends = np.flatnonzero(marks & _LAST)
-    whole = (marks[ends] & _WHOLE) > 0
-    if len(ends) > 1:
-        crossing[ends[:-1][whole[:-1] & whole[1:]]] = WHOLE_JOIN
-    paid = np.concatenate(([0], np.cumsum(np.where(stops, crossing + np.where(marks & _QUOTE, QUOTE_JOIN, 0), 0)))) * _UNITS
-    seen = np.concatenate(([0], np.cumsum(stops)))
-    starts_whole = np.concatenate(([True], stops))
-    length = np.arange(max(reach, int(chars.max(initial=0))) + 1)
+    found: list[np.ndarray] = [np.empty(0, np.int32)] * len(runs)
+    order = sorted((i for i, r in enumerate(runs) if len(r)), key=lambda i: -len(runs[i]))
+    while order:
+        many = max(1, _SIDE_BY_SIDE // len(runs[order[0]]))
+        group, order = order[:many], order[many:]
+        for i, cuts in zip(group, _cheapest_of([runs[i] for i in group], reach)):
+            found[i] = cuts
+    return found
+
+
+def _cheapest_of(runs: list[np.ndarray], reach: int) -> list[np.ndarray]:
+    """The cuts of runs that are sorted from the longest to the shortest, none of them empty."""
+    sizes = np.array([len(r) for r in runs])
+    shape = len(runs), int(sizes[0]) + 1
+    # A word's own column is its count; column 0 stands before the first word.
+    upto, paid, seen, gaps = (np.zeros(shape, np.int64) for _ in range(4))
+    starts_whole, may_end = np.zeros(shape, bool), np.zeros(shape, bool)
+    low = np.zeros(shape, np.int32)
+    longest = reach
+    for d, run in enumerate(runs):
+        chars, gap, marks = run.T
+        n, stops = len(run), (marks & _STOPS) > 0
+        upto[d, 1 : n + 1] = np.cumsum(chars + 1)  # a space after every word
+        crossing = np.where(marks & _LAST, BROKEN_JOIN, 0)
+        ends = np.flatnonzero(marks & _LAST)
+        whole = (marks[ends] & _WHOLE) > 0
+        if len(ends) > 1:
+            crossing[ends[:-1][whole[:-1] & whole[1:]]] = WHOLE_JOIN
+        paid[d, 1 : n + 1] = np.cumsum(np.where(stops, crossing + np.where(marks & _QUOTE, QUOTE_JOIN, 0), 0)) * _UNITS
+        seen[d, 1 : n + 1] = np.cumsum(stops)
+        gaps[d, 1:n] = gap[:-1] * _UNITS
+        starts_whole[d, 0], starts_whole[d, 1 : n + 1] = True, stops
+        may_end[d, 1 : n + 1] = stops
+        may_end[d, n] = True
+        spans = upto[d, : n + 1]
+        low[d, 1 : n + 1] = np.minimum(np.searchsorted(spans, spans[1:] - 1 - reach), np.arange(n))
+        longest = max(longest, int(chars.max()))
+    length = np.arange(longest + 1)
     length = np.where(length * 10 < 489, 4 * (489 - 10 * length) + 8 * np.maximum(326 - 10 * length, 0), 0) + np.where(
         length * 10 > 815, 6 * (10 * length - 815) + 17 * np.maximum(20 * length - 2445, 0), 0)
-    best, origin, low = np.zeros(n + 1, np.int64), np.zeros(n + 1, np.int64), 0
-    for b in range(1, n + 1):
-        while low < b - 1 and upto[b] - upto[low] - 1 > reach:
-            low += 1
-        a = np.arange(b - 1, low - 1, -1)
-        joined = np.where(starts_whole[a] & (b == n or stops[b - 1]), paid[b - 1] - paid[a], BROKEN_JOIN * _UNITS)
-        joined[(a > b - 2) | (seen[b - 1] == seen[a])] = 0
-        costs = best[a] + length[upto[b] - upto[a] - 1] + joined
-        k = int(costs.argmin())
-        best[b], origin[b] = costs[k] + (0 if b == n else int(gaps[b - 1]) * _UNITS), a[k]
-    cuts = []
-    while n > 0:
-        cuts.append(n)
-        n = int(origin[n])
-    return np.array(cuts[::-1], np.int32)
+    best, origin = np.zeros(shape, np.int64), np.zeros(shape, np.int32)
+    far = np.iinfo(np.int64).max
+    live = len(runs)
+    for b in range(1, shape[1]):
+        while sizes[live - 1] < b:
+            live -= 1
+        since = low[:live, b]
+        s = int(since.min())
+        a = slice(b - 1, s - 1 if s else None, -1)  # from the shortest last piece to the longest
+        joined = np.where(starts_whole[:live, a] & may_end[:live, b, None], paid[:live, b - 1, None] - paid[:live, a], BROKEN_JOIN * _UNITS)
+        joined[seen[:live, a] == seen[:live, b - 1, None]] = 0
+        joined[:, 0] = 0
+        spans = upto[:live, b, None] - upto[:live, a] - 1
+        costs = best[:live, a] + length.take(spans, mode="clip") + joined
+        costs[np.arange(b - 1, s - 1, -1) < since[:, None]] = far
+        k = costs.argmin(axis=1)
+        best[:live, b] = costs[np.arange(live), k] + gaps[:live, b]
+        origin[:live, b] = b - 1 - k
+    found = []
+    for d, n in enumerate(sizes.tolist()):
+        cuts = []
+        while n > 0:
+            cuts.append(n)
+            n = int(origin[d, n])
+        found.append(np.array(cuts[::-1], np.int32))
+    return found
 
 
 def cut_cheapest(chapters: DataFrame, max_seconds: float = C.MAX_PIECE_SECONDS) -> DataFrame:
@@ -214,15 +258,15 @@ def cut_cheapest(chapters: DataFrame, max_seconds: float = C.MAX_PIECE_SECONDS)
     def measured(marked: Column, after: Column) -> Column:
         word, last = F.rtrim(marked, F.lit("\f")), marked.endswith("\f")
         after = F.rtrim(after, F.lit("\f"))
-        ends = T.ends_sentence(word)
-        flags = F.when(ends | last, _STOPS).otherwise(0) + F.when(last, _LAST).otherwise(0) + F.when(ends & last, _WHOLE).otherwise(0)
+        ends = ~T.ends_plainly(word) & T.ends_sentence(word)
+        flags = F.when(last | ends, _STOPS).otherwise(0) + F.when(last, _LAST).otherwise(0) + F.when(last & ends, _WHOLE).otherwise(0)
         quote = T.opens_quote(after) | T.closes_quote(word)
         return F.array(F.length(word), gap_cost(word, after, last), flags + F.when(quote, _QUOTE).otherwise(0))
 
     @F.arrow_udf("array<int>")
     def search(words: pa.Array) -> pa.Array:
         offsets, flat = words.offsets.to_numpy(), words.values.values.to_numpy(zero_copy_only=False).reshape(-1, 3).astype(np.int64)
-        found = [cheapest_cuts(*flat[a:b].T, reach) for a, b in zip(offsets[:-1], offsets[1:])]
+        found = cheapest_cuts([flat[a:b] for a, b in zip(offsets[:-1], offsets[1:])], reach)
         ends = np.concatenate(([0], np.cumsum([len(f) for f in found]))).astype(np.int32)
         return pa.ListArray.from_arrays(ends, np.concatenate([*found, np.empty(0, np.int32)]).astype(np.int32))
 
