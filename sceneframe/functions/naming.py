@@ -121,10 +121,13 @@ def lexical_path(path: Column) -> Column:
         )
         return F.struct(kept.alias("kept"), (acc["out"] | (up & empty)).alias("out"))
 
-    return F.aggregate(
+    walked = F.aggregate(
         parts, start, step,
         lambda acc: F.when(~acc["out"], F.concat(F.lit("/"), F.array_join(acc["kept"], "/"))),
     )
+    # Most paths hold nothing to work out; no segment of these is empty or begins with a dot.
+    plain = ~(path.contains("//") | path.contains("/.") | path.startswith(".") | path.endswith("/") | (path == ""))
+    return F.when(plain & path.startswith("/"), path).when(plain, F.concat(F.lit("/"), path)).otherwise(walked)
 
 
 def contained_path(root: Column, requested: Column) -> Column:

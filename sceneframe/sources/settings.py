@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from sceneframe import constants as C
 from sceneframe.functions import geometry as G
+from sceneframe.functions.settle import settle
 from sceneframe.functions.text import clean_cell
+from sceneframe.operators.sizing import spread
 
 
 def _lookup(word: Column, table: dict) -> Column:
@@ -25,22 +27,29 @@ def size_of(word: Column) -> Column:
 
 
 def resolve(raw: DataFrame) -> DataFrame:
-    """One row per project: settled values, and ``problems`` as an array of (field, value)."""
-    text = ["output", "aspect", "resolution", "manifest", "provider", "voice", "preset", "theme", "position", "motion_seed"]
-    r = raw.withColumns({c: clean_cell(F.col(c)) for c in text})
+    """One row per project: settled values, and ``problems`` as an array of (field, value).
 
-    aspect = F.when(F.col("aspect").isNull(), F.lit(C.DEFAULT_ASPECT)).otherwise(aspect_of(F.col("aspect")))
-    named = F.when(F.col("short_edge").isNull(), size_of(F.col("resolution")))
-    r = r.withColumns({"_aspect": aspect, "_named": named})
+    Every step is settled: later ones name earlier ones many times, and copies of copies would
+    multiply the work on a row. A row is small and heavy to work on, so small inputs are spread.
+    """
+    text = ["output", "aspect", "resolution", "manifest", "provider", "voice", "preset", "theme", "position", "motion_seed"]
+    r = settle(spread(raw, "project_id"), {c: clean_cell(F.col(c)) for c in text})
+
+    r = settle(r, {
+        "_aspect": F.when(F.col("aspect").isNull(), F.lit(C.DEFAULT_ASPECT)).otherwise(aspect_of(F.col("aspect"))),
+        "_size": size_of(F.col("resolution")),
+        "_theme": F.when(F.lower("theme").isin(list(C.THEME_MAX_CHARS)), F.lower("theme")),
+        "_place": F.when(F.lower("position").isin("bottom", "top"), F.lower("position")),
+        "_seed": F.when(F.lower("motion_seed").isin("v1", "v2"), F.lower("motion_seed")),
+    })
+    r = r.withColumn("_named", F.when(F.col("short_edge").isNull(), F.col("_size")))
     edge = F.coalesce("short_edge", "_named", F.lit(C.DEFAULT_SHORT_EDGE)).cast("bigint")
     fps = F.coalesce("fps", F.lit(C.DEFAULT_FPS)).cast("bigint")
-    r = r.withColumns({"_edge": edge, "_fps": fps})
+    r = settle(r, {"_edge": edge, "_fps": fps})
     refused = F.when(F.col("_aspect").isNotNull(), G.output_refusal(F.col("_aspect"), F.col("_edge"), F.col("_fps")))
-    r = r.withColumn("_refused", refused)
+    r = settle(r, {"_refused": refused})
     usable = F.col("_aspect").isNotNull() & F.col("_refused").isNull()
-    theme = F.when(F.lower("theme").isin(list(C.THEME_MAX_CHARS)), F.lower("theme"))
-    place = F.when(F.lower("position").isin("bottom", "top"), F.lower("position"))
-    seed = F.when(F.lower("motion_seed").isin("v1", "v2"), F.lower("motion_seed"))
+    size, theme, place, seed = F.col("_size"), F.col("_theme"), F.col("_place"), F.col("_seed")
 
     def finite(c: str) -> Column:
         return ~F.isnan(c) & (F.abs(F.col(c)) < float("inf"))
@@ -55,7 +64,6 @@ def resolve(raw: DataFrame) -> DataFrame:
         .when(F.col("_named").isNotNull(), "resolution").otherwise("short_edge")
     )
     said = F.concat(F.col("_edge").cast("string"), F.lit(" at "), "_aspect", F.lit(", "), F.col("_fps").cast("string"), F.lit(" fps"))
-    size = size_of(F.col("resolution"))
 
     def problem(field: Column | str, value: Column, when: Column) -> Column:
         name = F.lit(field) if isinstance(field, str) else field

@@ -4,8 +4,9 @@ import json
 
 from pyspark.sql import functions as F
 
+from sceneframe.functions import naming as N
 from sceneframe.operators import cache, catalog, problems, timeline
-from sceneframe.sources import assets, logs, manifest, probes, scripts, sinks, toollog, voices
+from sceneframe.sources import assets, logs, manifest, probes, scripts, settings, sinks, toollog, voices
 
 
 def test_assets_from_a_folder(spark, tmp_path):
@@ -206,3 +207,19 @@ def test_a_key_stored_twice_is_checked_once(spark):
     plan = spark.createDataFrame([(1, 1, "k", 30)], "film_id long, scene int, key string, frames int")
     stored = spark.createDataFrame([("k", 30, 1.0), ("k", 30, 1.0)], "key string, nb_frames int, seconds double")
     assert [tuple(r) for r in cache.reuse_check(plan, stored, F.lit(30)).collect()] == [(1, 1, "k", True)]
+
+
+def test_settings_steps_are_worked_out_once(spark):
+    text = ["output", "aspect", "resolution", "manifest", "provider", "voice", "preset", "theme", "position", "motion_seed"]
+    made = {c: "string" for c in text} | {c: "bigint" for c in ("project_id", "short_edge", "fps", "crf")}
+    made |= {c: "double" for c in ("trim_head", "trim_tail", "duration", "zoom_amount")} | {"subtitles": "boolean"}
+    raw = spark.range(1).selectExpr(*[f"cast(id AS {kind}) AS {c}" for c, kind in made.items()])
+    found = settings.setting_problems(settings.resolve(raw))
+    # A cell is trimmed once, in a test and its value.
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace(") <= 2 * len(text)
+
+
+def test_plain_paths_are_taken_as_they_are(spark):
+    paths = ["img/001.jpg", "/img/001.jpg", "a//b", "a/./b", "a/../b", "../b", "a/", "", "/", ".a/b", "a/..b", "a b/c"]
+    found = spark.createDataFrame([(p,) for p in paths], "path string").select(N.lexical_path(F.col("path")).alias("p")).collect()
+    assert [r.p for r in found] == ["/img/001.jpg", "/img/001.jpg", "/a/b", "/a/b", "/b", None, "/a", "/", "/", "/.a/b", "/a/..b", "/a b/c"]
