@@ -127,7 +127,13 @@ def lexical_path(path: Column) -> Column:
     )
     # Most paths hold nothing to work out; no segment of these is empty or begins with a dot.
     plain = ~(path.contains("//") | path.contains("/.") | path.startswith(".") | path.endswith("/") | (path == ""))
-    return F.when(plain & path.startswith("/"), path).when(plain, F.concat(F.lit("/"), path)).otherwise(walked)
+    # Without ".." nothing climbs: empty segments and "." are dropped where they stand.
+    dropped = F.regexp_replace(F.concat(F.lit("/"), path), r"/\.?(?=/|\z)", "")
+    level = F.when(dropped == "", "/").otherwise(dropped)
+    return (
+        F.when(plain & path.startswith("/"), path).when(plain, F.concat(F.lit("/"), path))
+        .when(~path.contains(".."), level).otherwise(walked)
+    )
 
 
 def contained_path(root: Column, requested: Column) -> Column:

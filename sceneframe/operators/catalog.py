@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sceneframe.functions import naming as N
+from sceneframe.functions.settle import settle
 from sceneframe.operators.ordered import numbered, with_totals
 
 SLOTS = {"image": "image", "audio": "narration", "text": "text"}
@@ -132,9 +133,8 @@ def next_numbers(assets: DataFrame) -> DataFrame:
 def unlisted_images(assets: DataFrame, drafts: DataFrame) -> DataFrame:
     """Pictures in a folder that no manifest row names. ``drafts``: ``project_id, image``."""
     pictures = classified(assets).filter((F.col("kind") == "image") & ~F.col("name").startswith("."))
-    listed = drafts.filter("image IS NOT NULL").select(
-        "project_id", N.lexical_path(F.translate("image", "\\", "/")).alias("path")
-    )
+    said = drafts.filter("image IS NOT NULL").select("project_id", F.translate("image", "\\", "/").alias("said"))
+    listed = settle(said, {"path": N.lexical_path(F.col("said"))}).select("project_id", "path")
     return (
         pictures.withColumn("path", F.concat(F.lit("/"), F.col("name")))
         .join(listed, ["project_id", "path"], "left_anti")

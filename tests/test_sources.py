@@ -223,3 +223,18 @@ def test_plain_paths_are_taken_as_they_are(spark):
     paths = ["img/001.jpg", "/img/001.jpg", "a//b", "a/./b", "a/../b", "../b", "a/", "", "/", ".a/b", "a/..b", "a b/c"]
     found = spark.createDataFrame([(p,) for p in paths], "path string").select(N.lexical_path(F.col("path")).alias("p")).collect()
     assert [r.p for r in found] == ["/img/001.jpg", "/img/001.jpg", "/a/b", "/a/b", "/b", None, "/a", "/", "/", "/.a/b", "/a/..b", "/a b/c"]
+
+
+def test_segments_that_mean_nothing_are_dropped_in_place(spark):
+    paths = ["./a.jpg", "././a", "///", ".", "a/.", "a/./", "a//.//b", "./.x", "a./b", "..." , "a..b/./c", "./..", "/" * 9000 + "a"]
+    found = spark.createDataFrame([(p,) for p in paths], "path string").select(N.lexical_path(F.col("path")).alias("p")).collect()
+    assert [r.p for r in found] == ["/a.jpg", "/a", "/", "/", "/a", "/a", "/a/b", "/.x", "/a./b", "/...", "/a..b/c", None, "/a"]
+
+
+def test_listed_paths_are_worked_out_once(spark):
+    assets = spark.createDataFrame([(1, 1, "a.jpg", "a", "jpg"), (1, 2, "b.jpg", "b", "jpg")], "project_id long, file_no int, name string, stem string, ext string")
+    drafts = spark.createDataFrame([(1, "x\\..\\a.jpg"), (1, "../b.jpg"), (1, None)], "project_id long, image string")
+    found = catalog.unlisted_images(assets, drafts)
+    assert [r["name"] for r in found.collect()] == ["b.jpg"]
+    # Not a second time in a filter for paths that are null.
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("aggregate(filter(split(") == 1
