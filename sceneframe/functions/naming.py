@@ -60,7 +60,8 @@ def natural_key(text: Column) -> Column:
     Digit runs become a fixed-width number ahead of any text; text is lower-cased and closed
     by NUL, which no file name can hold, so a shorter run sorts before a longer one.
     """
-    runs = F.regexp_extract_all(F.lower(text), F.lit("([0-9]+|[^0-9]+)"), F.lit(1))
+    low = F.lower(text)
+    runs = F.regexp_extract_all(low, F.lit("([0-9]+|[^0-9]+)"), F.lit(1))
 
     def part(run: Column) -> Column:
         digits = F.regexp_replace(run, "^0+", "")
@@ -68,7 +69,14 @@ def natural_key(text: Column) -> Column:
         fits = run.rlike("^[0-9]") & (F.length(digits) <= 39) & (padded <= _LARGEST_U128)
         return F.when(fits, F.concat(F.lit("0"), padded)).otherwise(F.concat(F.lit("1"), run, F.lit("\u0000")))
 
-    return F.array_join(F.transform(runs, part), "")
+    # Most names are words and then a number, either of them perhaps missing: no runs to walk.
+    words = F.rtrim(low, F.lit("0123456789"))
+    digits = F.substring(low, F.length(words) + 1, F.lit(39))
+    plain = F.concat(
+        F.when(words != "", F.concat(F.lit("1"), words, F.lit("\u0000"))).otherwise(""),
+        F.when(digits != "", F.concat(F.lit("0"), F.lpad(digits, 39, "0"))).otherwise(""),
+    )
+    return F.when(low.rlike(r"\A[^0-9]*[0-9]{0,38}\z"), plain).otherwise(F.array_join(F.transform(runs, part), ""))
 
 
 def numbered_stem(number: Column, width: Column) -> Column:

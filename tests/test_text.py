@@ -55,6 +55,21 @@ def test_natural_order(spark):
     assert [r["n"] for r in rows] == ["001", "1b", "9" * 45, "a1b2", "a1b10", "intro", "Scene2", "scene2b", "scene10"]
 
 
+def test_names_with_one_number_at_the_end_sort_as_those_that_are_walked(spark):
+    numbers = ["", "0", "007", "9" * 38, "9" * 39, "9" * 40, "0" * 60, "340282366920938463463374607431768211455"]
+    names = [words + n for words in ("", "Take-", "\u0130 ", "a1b", "\n") for n in numbers]
+
+    def key(name: str) -> str:
+        out = ""
+        for run in re.findall("[0-9]+|[^0-9]+", name.replace("\u0130", "i\u0307").lower()):
+            small = run.isdigit() and int(run) < 2**128
+            out += f"0{int(run):039d}" if small else f"1{run}\0"
+        return out
+
+    rows = spark.createDataFrame([(n,) for n in names], "n string").select("n", N.natural_key(F.col("n")).alias("k")).collect()
+    assert {r["n"]: r["k"] for r in rows} == {n: key(n) for n in names}
+
+
 def test_stems_and_extensions(spark):
     rows = [("a/b\\001.JPG", "001", "JPG"), (".hidden", ".hidden", None), ("x.tar.gz", "x.tar", "gz"), ("bare", "bare", None), ("end.", "end", "")]
     df = spark.createDataFrame([(r[0],) for r in rows], "p string").withColumn("n", N.file_name(F.col("p")))
