@@ -41,6 +41,19 @@ def slices(spark: SparkSession) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
 
 
+#: Rows of a few numbers that are worth a task.
+TASK_ROWS = 50_000
+
+
+def as_many_tasks(df: DataFrame, rows: int, each: int = TASK_ROWS) -> DataFrame:
+    """``df`` with its last step in as many tasks as so many rows ask for, at most as many as it has.
+
+    Where tasks are not put together by the session, a table of some thousand rows would
+    otherwise go through hundreds of nearly empty ones at every step.
+    """
+    return df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, 2, -(-rows // each)))
+
+
 #: Groups that can each hold more than a thousandth of all rows: never more than a thousand.
 MOST_HOT = 1000
 

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sceneframe.llm.common import in_pieces, record, settle, text_bytes, with_group_facts
+from sceneframe.llm.common import as_many_tasks, in_pieces, record, settle, text_bytes, with_group_facts
 from sceneframe.llm.components import connected_components
 
 #: Words of a shingle and the similarity, as a whole percentage, that links two documents.
@@ -29,6 +29,8 @@ FIRST_BANDS = 4
 #: Members of a crowded bucket that are compared with the others in the first round, and how
 #: many times as many in each next one.
 LEADS, MORE_LEADS = 8, 64
+#: Pairs whose full sets one task compares.
+TASK_PAIRS = 250
 #: Digests of texts that may be broadcast: under 4 megabytes.
 FEW_TEXTS = 100_000
 
@@ -153,15 +155,21 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, rows: DataFrame, shingle_wo
     Only the texts of classes in question are kept for it, one each. Up to ``FEW_TEXTS``
     digests are sent to where the texts are; more of them meet the texts in a merge join.
     """
-    asked = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = settle(classes.join(asked, "node", "left_semi").select("node", "sha"))
-    few = wanted.count() <= FEW_TEXTS
-    there = settle(rows.join(F.broadcast(wanted) if few else wanted.hint("merge"), "sha").groupBy("node").agg(F.first("text").alias("text")))
+    held = pairs.count()
+    asked = as_many_tasks(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct(), held)
+    wanted = classes.join(asked, "node", "left_semi").select("node", "sha")
+    few = 2 * held <= FEW_TEXTS
+    if not few:
+        wanted = settle(wanted)
+        few = wanted.count() <= FEW_TEXTS
+    there = rows.join(F.broadcast(wanted) if few else wanted.hint("merge"), "sha").groupBy("node").agg(F.first("text").alias("text"))
+    there = settle(as_many_tasks(there, held, TASK_PAIRS))
     both = (
         pairs.join(there.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
         .join(there.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
         .select("a", "b", "text_a", "text_b")
     )
+    both = as_many_tasks(both, held, TASK_PAIRS)
     fields = [("a", pa.int64()), ("b", pa.int64())]
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,10 +230,11 @@ def _may_be_alike(n_a: str, n_b: str, s_a: str, s_b: str, percent: int):
 
 def _same_ids(signs: DataFrame, classes: DataFrame) -> DataFrame | None:
     """Links between the classes of rows that carry one id, None without such rows."""
-    held = signs.filter("id is not null and digest is not null").groupBy("id", "digest").agg(F.count(F.lit(1)).alias("n"))
-    shared = settle(held.groupBy("id").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi"), F.count(F.lit(1)).alias("n")).filter("lo < hi").withColumn("key", F.concat(F.lit("id "), "id")))
-    if shared.isEmpty():
+    named = signs.filter("id is not null and digest is not null")
+    if named.groupBy("id").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).filter("lo < hi").isEmpty():
         return None
+    held = named.groupBy("id", "digest").agg(F.count(F.lit(1)).alias("n"))
+    shared = settle(held.groupBy("id").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi"), F.count(F.lit(1)).alias("n")).filter("lo < hi").withColumn("key", F.concat(F.lit("id "), "id")))
     nodes = classes.select("digest", "node")
     ends = with_group_facts(held, shared, F.concat(F.lit("id "), "id"), "key", F.xxhash64("digest"), ["lo"]).filter("lo is not null")
     return (
@@ -270,20 +279,18 @@ def _linked_rows(docs: DataFrame, shingle_words: int, percent: int, bands: int |
         return rows.join(lead, (rows["key"] == lead["key"]) & (rows["component"] != lead["component_a"])).select("a", F.col("node").alias("b"))
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        return settle(_confirmed(pairs, classes, rows, shingle_words, percent).distinct())
+        return settle(_confirmed(pairs, classes, rows, shingle_words, percent))
 
-    def components(links: DataFrame) -> DataFrame:
-        return settle(connected_components(links))
+    def components(more: DataFrame) -> DataFrame:
+        """What new links make of the components so far."""
+        return settle(connected_components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)))
 
     found: DataFrame = classes.select("node", F.col("node").alias("component")).limit(0)
     links = _same_ids(signs, classes) if one_id_one_node else None
     if links is not None:
-        links = settle(links)
-        found = components(links)
+        found = components(settle(links))
     first = settle(to_lead(in_buckets(found, FIRST_BANDS)).groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
-    more = confirmed(settle(_alike(classes, first, percent)))
-    links = more if links is None else links.unionByName(more)
-    found = components(links)
+    found = components(confirmed(settle(_alike(classes, first, percent))))
 
     # Members of the buckets that hold several components; from here on these only get fewer.
     placed = in_buckets(found, bands)
@@ -291,15 +298,14 @@ def _linked_rows(docs: DataFrame, shingle_words: int, percent: int, bands: int |
 
     def put_together(alike: DataFrame) -> None:
         """Compare pairs not compared before and take what they link into the components."""
-        nonlocal links, found, tried
+        nonlocal found, tried
         fresh = settle(alike.join(tried, ["a", "b"], "left_anti"))
         tried = tried.unionByName(fresh)
         if fresh.isEmpty():
             return
         more = confirmed(fresh)
         if not more.isEmpty():
-            links = links.unionByName(more)
-            found = components(links)
+            found = components(more)
 
     def still_open(before: int) -> DataFrame:
         """Members of the buckets that hold several components yet, of more members than ``before``."""

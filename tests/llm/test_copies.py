@@ -168,6 +168,33 @@ def test_components_of_a_long_chain(spark):
     assert got == {**{i: 0 for i in range(61)}, 100: 100, 101: 100}
 
 
+def test_components_of_few_links_take_few_tasks_however_many_partitions_there_are(spark, monkeypatch):
+    settings = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    steps = []
+
+    def settle(df, write=components.settle):
+        rows = write(df)
+        steps.append(df.rdd.getNumPartitions())
+        return rows
+
+    monkeypatch.setattr(components, "settle", settle)
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        # A hub above its leaves, a hub below them, a chain downwards and links that are stars at once.
+        links = [(50, i) for i in range(40, 50)] + [(100, i) for i in range(101, 140)] + [(i + 1, i) for i in range(200, 220)]
+        least = {**{i: 40 for i in range(40, 51)}, **{i: 100 for i in range(100, 140)}, **{i: 200 for i in range(200, 221)}}
+        for rows, goal in ((links, least), ([(1, 2), (1, 3), (5, 9)], {1: 1, 2: 1, 3: 1, 5: 5, 9: 5})):
+            found = components.connected_components(spark.createDataFrame(rows, "a bigint, b bigint"))
+            assert {r.node: r.component for r in found.collect()} == goal
+            assert found.rdd.getNumPartitions() < 64
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert steps and max(steps) < 64
+
+
 def test_bands_follow_from_the_similarity(monkeypatch, hostile):
     assert near_dedup.bands_for(85) == 24
     for percent in (70, 80, 85, 90, 100):
