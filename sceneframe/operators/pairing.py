@@ -107,16 +107,30 @@ def intake_summary(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     placed = placed.join(starts, "project_id", "left").withColumn("start", F.coalesce("start", F.lit(1)))
     last = F.col("start") + F.col("_photos") - 1
     number = N.numbered_stem(F.col("start") + F.col("ordinal") - 1, N.number_width(last))
-    filled = placed.withColumn("stem", F.when(still, number)).join(waiting_files(existing), ["project_id", "stem"], "left")
     audio, text = F.col("has_audio"), F.col("has_text")
-    bare = still & ~audio & ~text
-    return filled.groupBy("project_id").agg(
-        F.count_if(still).alias("photos"),
-        F.count_if(still & audio).alias("narrations"),
-        F.count_if(still & text & ~audio).alias("spoken"),
-        F.count_if(still & text & audio).alias("captions"),
-        F.count_if(bare & F.col("waiting").isNotNull()).alias("filled"),
-        F.count_if(bare & F.col("waiting").isNull()).alias("silent"),
+    # Stills under their new stems beside the stems that wait: one aggregate by stem stands for a
+    # join by project and stem, which would be shuffled anew however the projects already lie.
+    stems = placed.select(
+        "project_id", F.when(still, number).alias("stem"), F.lit(1).alias("added"), still.alias("photo"),
+        (still & audio).alias("narrated"), (still & text & ~audio).alias("spoken"), (still & text & audio).alias("captioned"),
+        (still & ~audio & ~text).alias("bare"), "orphans", "skipped", F.lit(None).cast("int").alias("waits"))
+    waiting = waiting_files(existing).filter("project_id IS NOT NULL").select("project_id", "stem", F.lit(1).alias("waits"))
+    per_stem = stems.unionByName(waiting, allowMissingColumns=True).groupBy("project_id", "stem").agg(
+        F.count("added").alias("added"), F.count("waits").alias("waits"),
+        *[F.count_if(c).alias(c) for c in ("photo", "narrated", "spoken", "captioned", "bare")],
+        F.sum("orphans").alias("orphans"), F.sum("skipped").alias("skipped"),
+    )
+    waits = F.col("waits") > 0
+    summed = per_stem.groupBy("project_id").agg(
+        F.sum("added").alias("added"),
+        F.sum("photo").alias("photos"),
+        F.sum("narrated").alias("narrations"),
+        F.sum("spoken").alias("spoken"),
+        F.sum("captioned").alias("captions"),
+        F.sum(F.when(waits, F.col("bare")).otherwise(0)).alias("filled"),
+        F.sum(F.when(waits, 0).otherwise(F.col("bare"))).alias("silent"),
         F.sum("orphans").alias("orphans"),
         F.sum("skipped").alias("skipped"),
     )
+    # A project that only has files waiting is given nothing.
+    return summed.filter("added > 0").drop("added")

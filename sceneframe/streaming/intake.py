@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import reduce
 
@@ -11,6 +12,8 @@ from pyspark.sql.streaming import StatefulProcessor
 from pyspark.sql.types import Row, StructType
 
 from sceneframe.operators import pairing
+from sceneframe.operators.ordered import with_totals
+from sceneframe.operators.sizing import input_bytes
 from sceneframe.streaming import sinks
 
 #: Keys that a project's files are dealt to, so that a very large project is not one task.
@@ -65,13 +68,21 @@ def touched_files(assets: DataFrame, parts: int = PARTS) -> DataFrame:
 #: Folders of a batch's files in the catalog: a batch reads the earlier files of its own ones only.
 BUCKETS = 64
 
+#: What the pairing of a project reads of its files.
+PAIRED = ["project_id", "file_no", "name", "stem", "ext"]
+
+#: Catalog files that a task pairs, so that its sorts stay in memory however large a batch is.
+TASK_BYTES = 8 * 1024 * 1024
+
 
 def intake(assets: DataFrame, folder: str) -> DataFrame:
     """Drive a stream of assets; the latest intake summary of every project.
 
     The catalog is a table: a batch appends its files in buckets by project, and pairs again
     the projects it touched with all the files they have by then, read from the buckets of
-    these projects. A batch that is run again overwrites its own files and its own summary.
+    these projects. Those files are shuffled once, by project, and kept so while they are
+    paired, so that no step of the pairing shuffles them again. A batch that is run again
+    overwrites its own files and its own summary.
     """
     spark = assets.sparkSession
     nothing = spark.createDataFrame([], assets.schema)
@@ -82,22 +93,29 @@ def intake(assets: DataFrame, folder: str) -> DataFrame:
         session = batch.sparkSession
         placed = batch.withColumn("_bucket", F.pmod(F.xxhash64("project_id"), F.lit(BUCKETS)).cast("int"))
         own = sinks.batch_path(folder, "catalog", batch_id)
-        placed.hint("rebalance", "_bucket").write.mode("overwrite").partitionBy("_bucket").parquet(own)
+        # In order of projects, whose rows then lie together in every later shuffle and pack better.
+        dealt = placed.hint("rebalance", "_bucket").sortWithinPartitions("_bucket", "project_id", "file_no")
+        dealt.write.mode("overwrite").partitionBy("_bucket").parquet(own)
         mine = session.read.schema(stored).parquet(own)
         # At most one for each bucket.
         buckets = [r["_bucket"] for r in mine.select("_bucket").distinct().collect()]
         earlier = [sinks.batch_path(folder, "catalog", b) for b in sinks.written_batches(spark, folder, "catalog") if b < batch_id]
-        held = mine
+        known = mine.select(*PAIRED, F.lit(True).alias("_lands"))
+        size = input_bytes(mine)
         if earlier and buckets:
             before = reduce(DataFrame.unionByName, [session.read.schema(stored).parquet(path) for path in earlier])
             here = before.filter(F.col("_bucket").isin(buckets))
-            woken = mine.select("_bucket", "project_id").distinct().hint("merge")
-            known = F.col("b.project_id").eqNullSafe(F.col("w.project_id")) & (F.col("b._bucket") == F.col("w._bucket"))
-            held = mine.unionByName(here.alias("b").join(woken.alias("w"), known, "left_semi"))
-        # Written once, as the summary reads it more than once; the next batch replaces it.
-        held.select(*assets.columns).write.mode("overwrite").parquet(f"{folder}/touched")
-        touched = session.read.schema(assets.schema).parquet(f"{folder}/touched")
-        pairing.intake_summary(touched, touched).write.mode("overwrite").parquet(sinks.batch_path(folder, "summary", batch_id))
+            known = known.unionByName(here.select(*PAIRED, F.lit(False).alias("_lands")))
+            size += input_bytes(before) * len(buckets) // BUCKETS
+        parts = max(session.sparkContext.defaultParallelism, math.ceil(size / TASK_BYTES))
+        woken = with_totals(known.repartition(parts, "project_id"), ["project_id"], {"_woken": F.bool_or("_lands")})
+        # The summary reads them more than once. They are there before it is planned, so that the plan knows how they lie.
+        touched = woken.filter("_woken").select(*PAIRED).persist()
+        try:
+            touched.count()
+            pairing.intake_summary(touched, touched).write.mode("overwrite").parquet(sinks.batch_path(folder, "summary", batch_id))
+        finally:
+            touched.unpersist()
 
     sinks.run_batches(assets, folder, each)
     rows = sinks.read_batches(spark, folder, "summary", summary_schema)
